@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +31,7 @@ def scratch_root(spark: SparkSession) -> str:
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="trajspark-")
             spark.sparkContext._own_scratch = root
-            atexit.register(__import__("shutil").rmtree, root.removeprefix("file://"), True)
+            atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -57,8 +60,23 @@ class Scratch:
         jvm.System.gc()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context: they need not have it on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "_trajspark_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        folder = Path(tempfile.mkdtemp(prefix="trajspark-code-"))
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(folder / "trajspark_code.zip", "w") as file:
+            for path in sorted(package.rglob("*.py")):
+                file.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(folder / "trajspark_code.zip"))
+        context._trajspark_shipped = True
+
+
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's Arrow batch size to `rows`, so that batches of long texts stay small."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

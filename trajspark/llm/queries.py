@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, packing, quality, token_file, toxicity
+from . import bpe, chat, language, near_duplicates, neighbours, packing, quality, substrings, token_file, toxicity
 from .common import Scratch, documents
 
 
@@ -74,12 +74,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_duplicates(documents(spark, sf_dir), Scratch(spark), window=20, texts=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.where(F.col("doc_id").isNotNull() & (id_hash(3) != 1)))
     return language.predict(docs, model).select("doc_id", (id_hash(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_ann_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5, scratch=Scratch(spark))
+
+
+def op10_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir), Scratch(spark), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_binary": op2_token_binary,
@@ -87,7 +100,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
+    "op9_ann_hilbert": op9_ann_hilbert,
+    "op10_minhash_circulant": op10_minhash_circulant,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
