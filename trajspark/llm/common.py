@@ -97,6 +97,17 @@ def per_batch(
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(df: DataFrame, function: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows of df, all columns unchanged, for whose texts (null: empty) `function` is true."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(function([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def to_arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -95,11 +95,11 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), bands, signature (lowest byte of each coordinate)."""
-    schema = fields(docs, ("n_shingles", "bigint"), ("node", "binary"), ("bands", "array<bigint>"), ("signature", "binary"))
+    """doc_id, tie (hash of the text), n_shingles, node (digest of the set), bands, signature (lowest bytes)."""
+    schema = fields(docs, ("tie", "bigint"), ("n_shingles", "bigint"), ("node", "binary"), ("bands", "array<bigint>"), ("signature", "binary"))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": rows["doc_id"], "n_shingles": [], "node": [], "bands": [], "signature": []}
+        out = {"doc_id": rows["doc_id"], "tie": rows["tie"], "n_shingles": [], "node": [], "bands": [], "signature": []}
         for a, b in in_chunks(rows["text"], 1 << 19):
             sets = shingle_sets(rows["text"][a:b], size)
             full = [s for s in sets if len(s)]
@@ -112,7 +112,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 out["signature"].append(next(low).tobytes() if len(own) else None)
         return out
 
-    return per_batch(id_and_text(docs), run, schema)
+    return per_batch(id_and_text(docs).withColumn("tie", F.xxhash64("text")), run, schema)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -170,7 +170,8 @@ def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), and kept (doc_id is that)."""
+    """doc_id, tie (hash of the text), n_shingles, component_id (smallest doc_id reachable over links), and kept
+    (doc_id is that)."""
     sketches = scratch.table(sketch(docs, size), "sketches")
     nodes = (
         sketches.where(F.col("node").isNotNull())
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     placed = placed.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = placed.join(lowest, "root").select("node", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    out = sketches.select("doc_id", "tie", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "tie", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -164,6 +164,12 @@ def apply_rules(docs: DataFrame, rules: dict = RULES, order: list[str] | None =
     return out.drop(_P + "text", _P + "words")
 
 
+def keep(docs: DataFrame, rules: dict = RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with all their columns."""
+    rows = with_words(docs).where(cascade(rules, plan(docs, rules)).isNull())
+    return rows.drop(_P + "text", _P + "words")
+
+
 def report(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """doc_id, the measures of every text, base_failed, and kept by the cascade.
 

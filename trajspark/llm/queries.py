@@ -75,7 +75,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.remove_duplicates(documents(spark, sf_dir), Scratch(spark), window=20, texts=False)
+    out = substrings.remove_duplicates(documents(spark, sf_dir), Scratch(spark), window=20)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
@@ -90,7 +90,8 @@ def op9_ann_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(documents(spark, sf_dir), Scratch(spark), size=3, percent=85)
+    out = near_duplicates.near_duplicates(documents(spark, sf_dir), Scratch(spark), size=3, percent=85)
+    return out.drop("tie")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

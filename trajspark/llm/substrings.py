@@ -90,7 +90,7 @@ def _sketch(docs: DataFrame, window: int) -> DataFrame:
     return per_batch(docs, run, schema)
 
 
-def _looked_up(docs: DataFrame, window: int, texts: bool) -> DataFrame:
+def _looked_up(docs: DataFrame, window: int) -> DataFrame:
     """Per document its digest, and if it has shared anchors its text and their segments' window hashes."""
     segment = "array<struct<anchor:bigint,start:int,hashes:array<bigint>>>"
     schema = fields(docs, ("tie", "bigint"), ("n_words", "bigint"), ("sha256", "string"), ("text", "string"), ("segments", segment))
@@ -101,7 +101,7 @@ def _looked_up(docs: DataFrame, window: int, texts: bool) -> DataFrame:
             words = words_of(text)
             out["n_words"].append(len(words))
             out["sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
-            out["text"].append(text if texts or found else None)
+            out["text"].append(text if found else None)
             own = None
             if found:
                 whole = rolling(hashed(words), window).view(np.int64)
@@ -143,11 +143,11 @@ def _order(place: tuple) -> tuple:
     return (place[0] is not None, place[0] if place[0] is not None else 0, place[1])
 
 
-def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, factors, kept_sha256, and with `texts` kept: the words left, joined by one space.
+def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20) -> DataFrame:
+    """doc_id, tie (hash of the text), n_words, n_removed, factors, kept_sha256 (of the words left, joined by one
+    space), and kept (those words; null if the text loses none and so stays as it is).
 
     factors: array<struct<start, length, ref_doc, ref_start>> in words of the document and of an earlier one.
-    A text that loses no word has its own in `kept`, spaces unchanged; its digest is of its words all the same.
     """
     docs = id_and_text(docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -159,7 +159,7 @@ def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20, texts
 
     tied = docs.withColumn("tie", F.xxhash64("text"))
     asked = tied.join(found, tied["doc_id"].eqNullSafe(found["found_id"]), "left")
-    own = scratch.table(_looked_up(asked, window, texts), "own")
+    own = scratch.table(_looked_up(asked, window), "own")
     scratch.drop("found")
 
     parts = own.where(F.col("segments").isNotNull()).select("doc_id", "tie", F.explode("segments").alias("s"))
@@ -210,10 +210,10 @@ def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20, texts
     scratch.drop("parts", "classes", "windows")
 
     factor = f"array<struct<start:bigint,length:bigint,ref_doc:{id_type},ref_start:bigint>>"
-    schema = fields(own, ("n_words", "bigint"), ("n_removed", "bigint"), ("factors", factor), ("kept_sha256", "string"), ("kept", "string"))
+    schema = fields(own, ("tie", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("factors", factor), ("kept_sha256", "string"), ("kept", "string"))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": rows["doc_id"], "n_words": rows["n_words"], "n_removed": [], "factors": [], "kept_sha256": [], "kept": []}
+        out = {"doc_id": rows["doc_id"], "tie": rows["tie"], "n_words": rows["n_words"], "n_removed": [], "factors": [], "kept_sha256": [], "kept": []}
         for text, spans in zip(rows["text"], rows["spans"], strict=True):
             words = words_of(text)
             factors, covered = _factors(len(words), spans, window)
@@ -222,18 +222,18 @@ def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20, texts
             out["n_removed"].append(removed)
             out["factors"].append(factors)
             out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-            out["kept"].append((left.decode("utf-8", "surrogatepass") if removed else text) if texts else None)
+            out["kept"].append(left.decode("utf-8", "surrogatepass") if removed else None)
         return out
 
     clean = own.where(F.col("segments").isNull()).select(
         "doc_id",
+        "tie",
         "n_words",
         F.lit(0).cast("long").alias("n_removed"),
         F.array().cast(factor).alias("factors"),
         F.col("sha256").alias("kept_sha256"),
-        F.col("text").alias("kept"),
+        F.lit(None).cast("string").alias("kept"),
     )
     rest = own.where(F.col("segments").isNotNull()).select("doc_id", "tie", "n_words", "text")
     rest = rest.join(hits, rest["doc_id"].eqNullSafe(F.col("hit_id")) & (F.col("tie") == F.col("hit_tie")), "left")
-    out = clean.unionByName(per_batch(rest.select("doc_id", "n_words", "text", "spans"), run, schema))
-    return out if texts else out.drop("kept")
+    return clean.unionByName(per_batch(rest.select("doc_id", "tie", "n_words", "text", "spans"), run, schema))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, id_and_text, per_batch
+from .common import fields, id_and_text, kept_rows, per_batch
 
 #: Buckets of hashed n-grams (as a power of 2), n-gram sizes, and dimensions of their vectors.
 BITS, SIZES, DIMENSIONS = 18, (3, 4, 5, 6), 8
@@ -144,22 +144,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_of_class: int = SAMPLE_OF_CLA
     return train(rows["text"].tolist(), rows["toxic"].tolist())
 
 
+def _scored(model: Model, texts: list[str]) -> list[float]:
+    words, out = _scores(model), []
+    for text in texts:
+        found = _WORD.findall(text.lower())
+        out.append(model.score(math.fsum(map(words.__getitem__, found)), len(found)))
+    return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        own = shared.value
-        words = _scores(own)
-        out = []
-        for text in rows["text"]:
-            found = _WORD.findall(text.lower())
-            out.append(own.score(math.fsum(map(words.__getitem__, found)), len(found)))
-        return {"doc_id": rows["doc_id"], "score": out}
+        return {"doc_id": rows["doc_id"], "score": _scored(shared.value, rows["text"])}
 
     return per_batch(id_and_text(docs), run, fields(docs, ("score", "double")))
 
 
+def keep(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score lies below a threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, lambda texts: [s < below for s in _scored(shared.value, texts)])
+
+
 class _Words(dict):
     """Word to its score, for the words that a worker process has met."""
 
