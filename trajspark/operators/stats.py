@@ -35,7 +35,7 @@ def as_arrays(stats: DataFrame, by: list[str]) -> DataFrame:
     names = ["min", "max", "mean", "std", "count", *QUANTILES]
     own = F.sort_array(F.collect_list(F.struct("dim", *names)))
     rows = stats.groupBy(*by).agg(own.alias("s")) if by else stats.agg(own.alias("s"))
-    return rows.select(*by, *[F.transform("s", lambda x, n=n: x[n]).alias(n) for n in names])
+    return rows.select(*by, *[F.col("s")[n].alias(n) for n in names])
 
 
 def merged(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
