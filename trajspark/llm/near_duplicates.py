@@ -7,9 +7,11 @@ coordinate k. Coordinates are cut into bands.
 1. Sets are told apart by a 128-bit digest; documents with equal sets are one node from here on.
 2. Nodes that share a band meet in a bucket. Each is linked to the bucket's smallest node if their whole sets agree
    well enough; a bucket of n nodes so costs n - 1 checks.
-3. Components of these links join most buckets into one. Only in buckets that still hold nodes of different
-   components, pairs across components whose signatures agree about well enough are checked too, so no link is lost
-   that would join two components. Large buckets are split into pairs of chunks for that.
+3. Components of these links join most buckets into one. Buckets that still hold nodes of different components
+   check them against a node drawn at random, another in each bucket, TURNS times over: as linear as step 2.
+4. In buckets that even then hold several components, pairs across components are checked too, so no link is lost
+   that would join two components. What a set can share at most (shingles that another open node has) and the
+   signatures rule most of them out; only verified links leave that step.
 
 With 32 bands of 5 coordinates, a pair of similarity 0.85 shares no bucket with probability 7e-9.
 
@@ -35,9 +37,12 @@ from .shingles import BASE, hashed, in_chunks, mixed, rolling
 #: Bands of the signature and coordinates of a band.
 BANDS, ROWS = 32, 5
 
-#: Nodes of a chunk of a large bucket, and the share of agreeing coordinates below which a pair isn't checked,
-#: under the asked similarity (with 160 coordinates, five standard deviations).
-CHUNK, SLACK = 1024, 0.15
+#: Shingles of a chunk of a large bucket, and how far under the asked similarity the share of agreeing coordinates
+#: may lie for a pair to be checked (with 160 coordinates, five standard deviations).
+CHUNK, SLACK = 1 << 19, 0.15
+
+#: Rounds in which every bucket with several components checks its nodes against one drawn at random.
+TURNS = 2
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -144,26 +149,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's nodes from different components whose sizes and signatures leave a link possible."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are in more than one component so far, with the component as label."""
+    rows = members.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    open_keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+    return rows.join(open_keys.select("key"), "key", "left_semi")
+
+
+def _reach(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n (size of its set), reach (its shingles that another of these nodes has too)."""
+    own = sets.join(nodes, "node", "left_semi")
+    lonely = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    lonely = lonely.agg(F.min("node").alias("node"), F.count("*").alias("c")).where("c = 1")
+    lonely = lonely.groupBy("node").agg(F.count("*").alias("alone"))
+    n = F.size("shingles").cast("long")
+    rows = own.select("node", n.alias("n")).join(lonely, "node", "left")
+    return rows.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach"))
+
+
+def _possible(n, reach, m, reached, percent: int):
+    """Whether two sets can be similar enough, by their sizes and what each can share at most."""
+    most = F.least(reach, reached)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _other_stars(rest: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each unsettled bucket's nodes with one of them drawn at random, where components differ."""
+    drawn = F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("draw"), "node", "label", "n", "reach"))
+    pivots = rest.groupBy("key").agg(drawn.alias("p"))
+    fits = _possible(F.col("n"), F.col("reach"), F.col("p.n"), F.col("p.reach"), percent)
+    pairs = rest.join(pivots, "key").where((F.col("label") != F.col("p.label")) & fits)
+    return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _rest_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Verified pairs (a, b) of a bucket's nodes from different components; only links leave the comparison.
+
+    A pair is looked at in the first bucket that it shares, if sizes, reach and signatures leave a link possible.
+    Buckets are cut into chunks of about CHUNK shingles, and every two chunks meet once.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     rows = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = frame["low"].iat[0], frame["high"].iat[0]
-        signature = np.stack([np.frombuffer(s, np.uint8) for s in frame["signature"]])
-        n, label = frame["n"].to_numpy(), pd.factorize(frame["label"])[0]
-        node, chunk = frame["node"].to_numpy(), frame["chunk"].to_numpy()
+        key, low, high = frame["key"].iat[0], frame["low"].iat[0], frame["high"].iat[0]
+        signature = np.stack([np.frombuffer(x, np.uint8) for x in frame["signature"]])
+        bands, shingles = np.stack(frame["bands"]), frame["shingles"].tolist()
+        n, reach, label = frame["n"].to_numpy(), frame["reach"].to_numpy(), pd.factorize(frame["label"])[0]
+        node, chunk = frame["node"].tolist(), frame["chunk"].to_numpy()
         pairs = []
         for i in np.flatnonzero(chunk == low):
             later = np.arange(len(frame)) > i if low == high else chunk == high
-            near = later & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if near.any():
-                found = np.flatnonzero(near)
-                agree = (signature[found] == signature[i]).mean(1)
-                pairs += [(min(node[i], node[j]), max(node[i], node[j])) for j in found[agree >= percent / 100 - SLACK]]
+            most = np.minimum(reach, reach[i])
+            near = np.flatnonzero(later & (label != label[i]) & (100 * most >= percent * (n + n[i] - most)))
+            if not len(near):
+                continue
+            first = bands[i][(bands[near] == bands[i]).argmax(1)] == key
+            near = near[first & ((signature[near] == signature[i]).mean(1) >= percent / 100 - SLACK)]
+            for j in near.tolist():
+                both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    pairs.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     return rows.groupBy("key", "low", "high").applyInPandas(compare, "a binary, b binary").distinct()
@@ -204,15 +252,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     links = scratch.table(_verified(stars, sets, percent), "star_links")
     joined = components(links, scratch, "first")
 
-    labelled = members.select("key", "node").join(joined, "node", "left")
-    labelled = labelled.select("key", "node", F.coalesce("root", "node").alias("label"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-    rest = labelled.join(mixed_keys.select("key"), "key", "left_semi").join(nodes.select("node", "n", "signature"), "node")
-    pairs = _close_pairs(rest, percent)
-    more = scratch.table(_verified(pairs, sets, percent), "more_links")
-    if not more.isEmpty():
-        roots = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        joined = components(roots.union(more), scratch, "second")
+    joined = scratch.table(joined, "joined")
+    # Only nodes of unsettled buckets can still be linked, and a shingle that just one of them has is in no
+    # intersection: `reach` bounds what a node can share. Nodes that can't reach the similarity at all are done.
+    rest = scratch.table(_unsettled(members.select("key", "node"), joined).drop("label"), "unsettled")
+    reach = scratch.table(_reach(rest.select("node").distinct(), sets), "reach")
+    rest = scratch.table(rest.join(reach.where(100 * F.col("reach") >= percent * F.col("n")), "node"), "open")
+    for turn in range(TURNS + 1):
+        own = scratch.table(_unsettled(rest, joined), f"rest_{turn}")
+        if own.isEmpty():
+            break
+        if turn < TURNS:
+            more = _verified(_other_stars(own, turn, percent), sets, percent)
+        else:
+            more = _rest_links(own.join(nodes.select("node", "signature", "bands"), "node").join(sets, "node"), percent)
+        more = scratch.table(more, f"links_{turn}")
+        if not more.isEmpty():
+            roots = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            joined = scratch.table(components(roots.union(more), scratch, f"again_{turn}"), f"joined_{turn}")
     scratch.drop("sets", "members")
 
     placed = nodes.select("node", "doc_id").join(joined, "node", "left")
