@@ -22,10 +22,13 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Rows of one Arrow batch at most; with it a Python worker holds a few hundred whole texts at a time.
 BATCH_ROWS = 512
 
+#: Spark's setting for removing a finished query's shuffle files at once rather than at some garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark.sparkContext, "_own_scratch", None)
         if root is None:
@@ -45,9 +48,14 @@ class Scratch:
         self.at = f"{scratch_root(spark)}/trajspark-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return it as read again."""
+        """Write df as Parquet and return it as read again; its shuffle files go as soon as it is written."""
         path = f"{self.at}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        usual = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if usual is None else self.spark.conf.set(_CLEANUP, usual)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
