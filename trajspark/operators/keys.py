@@ -19,22 +19,27 @@ def frame_index(order, episode: str = "episode_index") -> Column:
     return F.row_number().over(Window.partitionBy(episode).orderBy(*keys)) - 1
 
 
-def prefix(df: DataFrame, key: str, weight: Column, into: str, bucket: int = BUCKET) -> DataFrame:
-    """df with the sum of `weight` over all rows of smaller integer keys; keys are unique."""
-    rows = df.withColumns({"_w": weight, "_b": F.floor(F.col(key) / bucket)})
-    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"))
+def prefixes(df: DataFrame, key: str, weights: dict[str, Column], bucket: int = BUCKET) -> DataFrame:
+    """df with, for each name, the sum of its weight over all rows of smaller integer keys; keys are unique."""
+    names = list(weights)
+    rows = df.withColumns({f"_w{i}": w for i, w in enumerate(weights.values())} | {"_b": F.floor(F.col(key) / bucket)})
+    sums = rows.groupBy("_b").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(names))])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    sums = sums.select("_b", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_base{i}") for i in range(len(names))])
     inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return rows.join(sums, "_b").withColumn(into, F.col("_base") + F.col("_in")).drop("_b", "_w", "_in", "_base")
+    rows = rows.withColumns({f"_in{i}": F.coalesce(F.sum(f"_w{i}").over(inside), F.lit(0)) for i in range(len(names))})
+    out = rows.join(sums, "_b").withColumns({name: F.col(f"_base{i}") + F.col(f"_in{i}") for i, name in enumerate(names)})
+    return out.drop("_b", *[f"_{part}{i}" for part in ("w", "in", "base") for i in range(len(names))])
+
+
+def prefix(df: DataFrame, key: str, weight: Column, into: str, bucket: int = BUCKET) -> DataFrame:
+    return prefixes(df, key, {into: weight}, bucket)
 
 
 def episode_spans(frames: DataFrame, episode: str = "episode_index") -> DataFrame:
     """Per episode: length, its dense new id, and its range of new frame ids [from, to)."""
     lengths = frames.groupBy(episode).agg(F.count("*").alias("length"))
-    out = prefix(lengths, episode, F.lit(1).cast("long"), "new_episode")
-    out = prefix(out, episode, F.col("length"), "dataset_from_index")
+    out = prefixes(lengths, episode, {"new_episode": F.lit(1).cast("long"), "dataset_from_index": F.col("length")})
     return out.withColumn("dataset_to_index", F.col("dataset_from_index") + F.col("length"))
 
 

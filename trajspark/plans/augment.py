@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import detect_color, extract_object, variants
 from ..operators import sample, stats
-from ..operators.keys import first_seen, frame_index, prefix
+from ..operators.keys import first_seen, frame_index, prefixes
 
 #: The wordings that episodes of a colour take in turn.
 TURNS = [
@@ -42,8 +42,7 @@ def rotating_prompts(episodes: DataFrame, key: str = "episode_index", prompt: st
     Turns count the earlier episodes of a colour by two-level prefix sums, so no window holds a whole colour.
     """
     rows = episodes.withColumn("color", detect_color(F.col(prompt)))
-    for c in ("green", "red", "blue"):
-        rows = prefix(rows, key, F.when(F.col("color") == c, 1).otherwise(0).cast("long"), f"_{c}")
+    rows = prefixes(rows, key, {f"_{c}": F.when(F.col("color") == c, 1).otherwise(0).cast("long") for c in ("green", "red", "blue")})
     turn = F.coalesce(*[F.when(F.col("color") == c, F.col(f"_{c}")) for c in ("green", "red", "blue")])
     wording = F.replace(F.get(F.array(*map(F.lit, TURNS)), (turn % 4).cast("int")), F.lit("{color}"), F.col("color"))
     out = rows.withColumn("new_prompt", F.coalesce(wording, F.col(prompt)))
@@ -71,7 +70,7 @@ def expand_prompts(frames: DataFrame, episodes: DataFrame, prompts: str) -> tupl
     """Every episode once for each prompt of an array column: new frames, episodes and dictionary, densely numbered."""
     copies = episodes.select("episode_index", "length", F.posexplode(prompts).alias("copy", "task"))
     sizes = episodes.select("episode_index", "length", F.size(prompts).cast("long").alias("k"))
-    sizes = prefix(prefix(sizes, "episode_index", F.col("k"), "e0"), "episode_index", F.col("k") * F.col("length"), "f0")
+    sizes = prefixes(sizes, "episode_index", {"e0": F.col("k"), "f0": F.col("k") * F.col("length")})
     placed = copies.join(sizes.select("episode_index", "e0", "f0"), "episode_index")
     start = F.col("f0") + F.col("copy") * F.col("length")
     placed = placed.select("episode_index", "length", "task", (F.col("e0") + F.col("copy")).alias("new_episode"), start.alias("dataset_from_index"))

@@ -35,24 +35,29 @@ def violations(ds: TrajectoryDataset) -> DataFrame:
     """(check, episode_index, detail) of everything that a valid dataset must not have."""
     frames, episodes, tasks = ds.frames, ds.episodes, ds.tasks
     none = F.lit(None).cast("long")
-    own = frames.groupBy("episode_index").agg(
+    known = frames.select("episode_index", "index", "frame_index", "task_index").join(tasks.select("task_index", F.lit(True).alias("there")), "task_index", "left")
+    unknown = F.when(F.col("there").isNull(), F.coalesce(F.col("task_index").cast("string"), F.lit("null")))
+    own = known.groupBy("episode_index").agg(
         F.count("*").alias("n"), F.min("index").alias("low"), F.max("index").alias("high"),
         F.min("frame_index").alias("f0"), F.max("frame_index").alias("f1"), F.count_distinct("frame_index").alias("fn"),
+        F.min(unknown).alias("unknown"),
     )
     both = episodes.select("episode_index", "length", "dataset_from_index", "dataset_to_index", "tasks").join(own, "episode_index", "full")
-    say = lambda name, bad, detail: both.where(bad).select(F.lit(name).alias("check"), "episode_index", detail.cast("string").alias("detail"))
-    rows = [
-        say("episode_without_frames", F.col("n").isNull(), F.col("length")),
-        say("frames_without_episode", F.col("length").isNull(), F.col("n")),
-        say("length", F.col("n") != F.col("length"), F.col("n")),
-        say("range", (F.col("low") != F.col("dataset_from_index")) | (F.col("high") + 1 != F.col("dataset_to_index")), F.col("low")),
-        say("frame_index", (F.col("f0") != 0) | (F.col("f1") != F.col("n") - 1) | (F.col("fn") != F.col("n")), F.col("f1")),
-        say("no_prompt", F.coalesce(F.size("tasks"), F.lit(0)) < 1, F.col("length")),
-    ]
+    say = lambda name, bad, detail: F.when(bad, F.struct(F.lit(name).alias("check"), F.col(detail).cast("string").alias("detail")))
+    found = F.array(
+        say("episode_without_frames", F.col("n").isNull(), "length"),
+        say("frames_without_episode", F.col("length").isNull(), "n"),
+        say("length", F.col("n") != F.col("length"), "n"),
+        say("range", (F.col("low") != F.col("dataset_from_index")) | (F.col("high") + 1 != F.col("dataset_to_index")), "low"),
+        say("frame_index", (F.col("f0") != 0) | (F.col("f1") != F.col("n") - 1) | (F.col("fn") != F.col("n")), "f1"),
+        say("no_prompt", F.coalesce(F.size("tasks"), F.lit(0)) < 1, "length"),
+        say("unknown_task", F.col("unknown").isNotNull(), "unknown"),
+    )
+    # One pass finds all that concerns an episode.
+    spread = both.select("episode_index", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("v"))
+    rows = [spread.select("v.check", "episode_index", "v.detail")]
     for name, df, key in (("episode_ids", episodes, "episode_index"), ("frame_ids", frames, "index")):
         rows.append(dense_ids(df, key).where("NOT dense").select(F.lit(name).alias("check"), none.alias("episode_index"), F.col("n").cast("string").alias("detail")))
-    unknown = frames.join(tasks.select("task_index"), "task_index", "left_anti").select("episode_index", "task_index").distinct()
-    rows.append(unknown.select(F.lit("unknown_task").alias("check"), "episode_index", F.col("task_index").cast("string").alias("detail")))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -472,8 +472,7 @@ def trim_frozen(spark, sf_dir):
     bounds = trim.frozen_bounds(rows, "value", threshold=50)
     left = trim.cut_ends(rows, bounds)
     own = left.groupBy("episode_index").agg(F.count("*").alias("kept"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    own = keys.prefix(own, "episode_index", F.lit(1).cast("long"), "new_episode")
-    own = keys.prefix(own, "episode_index", F.col("kept"), "dataset_from_index")
+    own = keys.prefixes(own, "episode_index", {"new_episode": F.lit(1).cast("long"), "dataset_from_index": F.col("kept")})
     return r6(own.join(bounds.drop("n"), "episode_index"), "mean", "std")
 
 
