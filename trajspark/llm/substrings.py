@@ -90,41 +90,35 @@ def _sketch(docs: DataFrame, window: int) -> DataFrame:
     return per_batch(docs, run, schema)
 
 
-def _looked_up(docs: DataFrame, window: int) -> DataFrame:
-    """Per document its digest, and if it has shared anchors its text and their segments' window hashes."""
-    segment = "array<struct<anchor:bigint,start:int,hashes:array<bigint>>>"
-    schema = fields(docs, ("tie", "bigint"), ("n_words", "bigint"), ("sha256", "string"), ("text", "string"), ("segments", segment))
+def _window_hashes(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, tie, start, anchor, hashes of its windows, for every segment that `found` asks for."""
+    schema = fields(docs, ("tie", "bigint"), ("start", "int"), ("anchor", "bigint"), ("hashes", "array<bigint>"))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": rows["doc_id"], "tie": rows["tie"], "n_words": [], "sha256": [], "text": [], "segments": []}
-        for text, found in zip(rows["text"], rows["found"], strict=True):
-            words = words_of(text)
-            out["n_words"].append(len(words))
-            out["sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
-            out["text"].append(text if found else None)
-            own = None
-            if found:
-                whole = rolling(hashed(words), window).view(np.int64)
-                # Of several rows of one doc_id, a shorter one doesn't have every place that is asked for.
-                own = [
-                    {"anchor": x["anchor"], "start": x["start"], "hashes": whole[x["start"] : x["start"] + x["windows"]]}
-                    for x in found
-                    if x["start"] + x["windows"] <= len(whole)
-                ]
-            out["segments"].append(own)
+        out = {f.name: [] for f in schema}
+        for doc_id, tie, text, found in zip(rows["doc_id"], rows["tie"], rows["text"], rows["found"], strict=True):
+            whole = rolling(hashed(words_of(text)), window).view(np.int64)
+            # Of several rows of one doc_id, a shorter one doesn't have every place that is asked for.
+            own = [x for x in found if x["start"] + x["windows"] <= len(whole)]
+            out["doc_id"] += [doc_id] * len(own)
+            out["tie"] += [tie] * len(own)
+            out["start"] += [x["start"] for x in own]
+            out["anchor"] += [x["anchor"] for x in own]
+            out["hashes"] += [whole[x["start"] : x["start"] + x["windows"]] for x in own]
         return out
 
     return per_batch(docs.select("doc_id", "tie", "text", "found"), run, schema)
 
 
-def _factors(n_words: int, spans: list[dict] | None, window: int) -> tuple[list[dict], np.ndarray]:
+def _factors(n_words: int, spans: list[dict], window: int) -> tuple[list[dict], np.ndarray]:
     """The parse of a document over its duplicate windows, and which words its factors cover."""
     covered = np.zeros(n_words + 1, np.int64)
     reference: dict[int, tuple] = {}
-    for span in spans or ():
+    for span in spans:
         for k in range(span["windows"]):
             place = (span["ref_doc"], span["ref_start"] + k)
-            reference[span["start"] + k] = min(reference.get(span["start"] + k, place), place, key=_order)
+            known = reference.get(span["start"] + k)
+            reference[span["start"] + k] = place if known is None or known == place else min(known, place, key=_order)
     factors: list[dict] = []
     for start in sorted(reference):
         doc, at = reference[start]
@@ -158,20 +152,16 @@ def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20) -> Da
     scratch.drop("sketch")
 
     tied = docs.withColumn("tie", F.xxhash64("text"))
-    asked = tied.join(found, tied["doc_id"].eqNullSafe(found["found_id"]), "left")
-    own = scratch.table(_looked_up(asked, window), "own")
-    scratch.drop("found")
-
-    parts = own.where(F.col("segments").isNotNull()).select("doc_id", "tie", F.explode("segments").alias("s"))
-    size = F.size("s.hashes")
-    parts = parts.select(
-        F.struct("doc_id", F.col("s.start").alias("start")).alias("at"),
+    asked = tied.join(found, tied["doc_id"].eqNullSafe(found["found_id"]))
+    parts = _window_hashes(asked, window).select(
+        F.struct("doc_id", "start").alias("at"),
         "tie",
-        F.col("s.anchor").alias("anchor"),
-        F.struct(size.alias("windows"), F.col("s.hashes")[0].alias("low"), F.element_at("s.hashes", -1).alias("high")).alias("content"),
-        F.col("s.hashes").alias("hashes"),
+        "anchor",
+        F.struct(F.size("hashes").alias("windows"), F.col("hashes")[0].alias("low"), F.element_at("hashes", -1).alias("high")).alias("content"),
+        "hashes",
     )
     parts = scratch.table(parts, "parts")
+    scratch.drop("found")
     classes = parts.groupBy("anchor", "content").agg(F.min("at").alias("first"), F.first("hashes").alias("hashes"), F.count("*").alias("n"))
     classes = scratch.table(classes, "classes")
     several = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -190,9 +180,12 @@ def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20) -> Da
             )
         ).alias("again")
     )
+    again = scratch.table(again, "again")
+    scratch.drop("windows")
     known = classes.select("anchor", "content", "first", "n").join(again, ["anchor", "content"], "left")
     # Classes that came once and hold no window of another are done.
-    known = known.where((F.col("n") > 1) | F.col("again").isNotNull())
+    known = scratch.table(known.where((F.col("n") > 1) | F.col("again").isNotNull()), "known")
+    scratch.drop("classes", "again")
     kind = f"array<struct<k:int,windows:int,ref_doc:{id_type},ref_start:int>>"
     whole = F.array(
         F.struct(
@@ -207,33 +200,27 @@ def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20) -> Da
     span = F.struct((F.col("at.start") + F.col("w.k")).alias("start"), "w.windows", "w.ref_doc", "w.ref_start")
     hits = hits.groupBy(F.col("at.doc_id").alias("hit_id"), F.col("tie").alias("hit_tie"))
     hits = scratch.table(hits.agg(F.collect_list(span).alias("spans")), "hits")
-    scratch.drop("parts", "classes", "windows")
+    scratch.drop("parts", "known")
 
     factor = f"array<struct<start:bigint,length:bigint,ref_doc:{id_type},ref_start:bigint>>"
-    schema = fields(own, ("tie", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("factors", factor), ("kept_sha256", "string"), ("kept", "string"))
+    schema = fields(docs, ("tie", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("factors", factor), ("kept_sha256", "string"), ("kept", "string"))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": rows["doc_id"], "tie": rows["tie"], "n_words": rows["n_words"], "n_removed": [], "factors": [], "kept_sha256": [], "kept": []}
+        out = {"doc_id": rows["doc_id"], "tie": rows["tie"]} | {f.name: [] for f in schema.fields[2:]}
         for text, spans in zip(rows["text"], rows["spans"], strict=True):
             words = words_of(text)
-            factors, covered = _factors(len(words), spans, window)
-            left = b" ".join(w for w, gone in zip(words, covered.tolist(), strict=True) if not gone)
-            removed = int(covered.sum())
+            factors, removed, left = [], 0, words
+            if spans:
+                factors, covered = _factors(len(words), spans, window)
+                removed = int(covered.sum())
+                left = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
+            kept = b" ".join(left)
+            out["n_words"].append(len(words))
             out["n_removed"].append(removed)
             out["factors"].append(factors)
-            out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-            out["kept"].append(left.decode("utf-8", "surrogatepass") if removed else None)
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            out["kept"].append(kept.decode("utf-8", "surrogatepass") if removed else None)
         return out
 
-    clean = own.where(F.col("segments").isNull()).select(
-        "doc_id",
-        "tie",
-        "n_words",
-        F.lit(0).cast("long").alias("n_removed"),
-        F.array().cast(factor).alias("factors"),
-        F.col("sha256").alias("kept_sha256"),
-        F.lit(None).cast("string").alias("kept"),
-    )
-    rest = own.where(F.col("segments").isNotNull()).select("doc_id", "tie", "n_words", "text")
-    rest = rest.join(hits, rest["doc_id"].eqNullSafe(F.col("hit_id")) & (F.col("tie") == F.col("hit_tie")), "left")
-    return clean.unionByName(per_batch(rest.select("doc_id", "tie", "n_words", "text", "spans"), run, schema))
+    rows = tied.join(hits, tied["doc_id"].eqNullSafe(F.col("hit_id")) & (F.col("tie") == F.col("hit_tie")), "left")
+    return per_batch(rows.select("doc_id", "tie", "text", "spans"), run, schema)
