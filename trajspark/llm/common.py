@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import pickle
 import shutil
 import tempfile
 import uuid
@@ -122,6 +123,23 @@ def to_arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def trained(sample: DataFrame, train: Callable, empty: object) -> object:
+    """train(texts, labels) on a bounded sample (text, label), run in one task so that the driver holds the model only.
+
+    The rows are sorted, so equal input gives an equal model; a lost executor costs another run.
+    """
+    ship(sample.sparkSession)
+
+    def run(frames: Iterator) -> Iterator[pa.RecordBatch]:
+        rows = [row for frame in frames for row in zip(frame.column("text").to_pylist(), frame.column("label").to_pylist(), strict=True)]
+        model = train([text for text, _ in rows], [label for _, label in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    rows = sample.repartition(1).sortWithinPartitions("doc_id", "text", "label").select("text", "label")
+    found = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else empty
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, id_and_text, per_batch
+from .common import fields, id_and_text, per_batch, trained
 
 #: Buckets of hashed n-grams (as a power of 2) and n-gram sizes.
 BITS, SIZES = 18, (1, 2, 3, 4)
@@ -82,7 +82,7 @@ def train(
     known: dict[str, np.ndarray] = {}
     bags, target, found = [], [], np.zeros(1 << BITS)
     for text, language in zip(texts, languages, strict=True):
-        if len(known) > 200_000:
+        if len(known) > 50_000:
             known.clear()
         places, tf = shares(text, known)
         if len(places):
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, sample_of_language: int = SAMPLE_OF_LANGUAGE) -> Mo
     """Train on documents with a language (column lang); the caller has taken out what must not be learned from.
 
     The languages' sizes come from all rows; each keeps the documents whose hash of doc_id lies below
-    sample_of_language / its size, so what reaches the driver is bounded for a given set of languages.
+    sample_of_language / its size, so the sample is bounded for a given set of languages.
     """
     own = labelled.where(F.col("lang").isNotNull())
     sizes = {row["lang"]: row["n"] for row in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -143,13 +143,9 @@ def fit(labelled: DataFrame, sample_of_language: int = SAMPLE_OF_LANGUAGE) -> Mo
         return train([], [])
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_of_language / n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    rows = (
-        own.where(draw < share[F.col("lang")])
-        .select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "lang")
-        .orderBy("doc_id", "text", "lang")
-        .toPandas()
-    )
-    return train(rows["text"].tolist(), rows["lang"].tolist())
+    rows = own.where(draw < share[F.col("lang")])
+    rows = rows.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").alias("label"))
+    return trained(rows, train, train([], []))
 
 
 class _Words(dict):

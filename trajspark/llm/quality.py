@@ -166,8 +166,11 @@ def apply_rules(docs: DataFrame, rules: dict = RULES, order: list[str] | None =
 
 def keep(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns."""
-    rows = with_words(docs).where(cascade(rules, plan(docs, rules)).isNull())
-    return rows.drop(_P + "text", _P + "words")
+    rows = with_words(docs).withColumns({_P + "failed": cascade(rules, plan(docs, rules)), _P + "row": F.monotonically_increasing_id()})
+    # The row number, which is never negative, keeps the optimiser from moving the filter below the columns it reads:
+    # it would then split a text once for each time that a rule mentions its words.
+    rows = rows.where(_own("failed").isNull() & (_own("row") >= 0))
+    return rows.drop(*[_P + name for name in ("text", "words", "failed", "row")])
 
 
 def report(docs: DataFrame, rules: dict = RULES) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, id_and_text, kept_rows, per_batch
+from .common import fields, id_and_text, kept_rows, per_batch, trained
 
 #: Buckets of hashed n-grams (as a power of 2), n-gram sizes, and dimensions of their vectors.
 BITS, SIZES, DIMENSIONS = 18, (3, 4, 5, 6), 8
@@ -80,7 +80,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 12, rate: float = 0.
     known: dict[str, np.ndarray] = {}
     bags, found = [], np.zeros(1 << BITS, np.int64)
     for text in texts:
-        if len(known) > 300_000:
+        if len(known) > 50_000:
             known.clear()
         places, shares = bag(text, known)
         found[places] += 1
@@ -129,8 +129,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = 12, rate: float = 0.
 def fit(docs: DataFrame, labels: DataFrame, sample_of_class: int = SAMPLE_OF_CLASS) -> Model:
     """Train on labelled documents; the caller has taken out of `labels` what must not be learned from.
 
-    Each class keeps the labels whose hash of doc_id lies below sample_of_class / its size, so what reaches the
-    driver is bounded at any input size and the same for equal input.
+    Each class keeps the labels whose hash of doc_id lies below sample_of_class / its size, so the sample is
+    bounded at any input size and the same for equal input.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     own = own.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -140,8 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_of_class: int = SAMPLE_OF_CLA
         return train([], [])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     chosen = own.where(draw < share[F.col("toxic")])
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "toxic").toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].tolist())
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumnRenamed("toxic", "label")
+    return trained(rows, train, train([], []))
 
 
 def _scored(model: Model, texts: list[str]) -> list[float]:
