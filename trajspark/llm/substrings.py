@@ -146,10 +146,11 @@ def remove_duplicates(docs: DataFrame, scratch: Scratch, window: int = 20) -> Da
     docs = id_and_text(docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sketch = scratch.table(_sketch(docs, window), "sketch")
-    shared = sketch.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the join are dealt out anew and Spark can split the most frequent anchors.
+    shared = scratch.table(sketch.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
     found = sketch.join(shared, "anchor").groupBy(F.col("doc_id").alias("found_id"))
     found = scratch.table(found.agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("found")), "found")
-    scratch.drop("sketch")
+    scratch.drop("sketch", "shared")
 
     tied = docs.withColumn("tie", F.xxhash64("text"))
     asked = tied.join(found, tied["doc_id"].eqNullSafe(found["found_id"]))
