@@ -149,19 +149,26 @@ def fit(labelled: DataFrame, sample_of_language: int = SAMPLE_OF_LANGUAGE) -> Mo
 
 
 class _Words(dict):
-    """Word to its summed weights and its number of n-grams, for the words that a worker process has met."""
+    """Word to the row of `sums` with its summed weights and number of n-grams, for words that a worker has met."""
 
     def __init__(self, weights: np.ndarray, limit: int = 300_000):
         self.weights, self.limit = weights, limit
+        self.sums = np.zeros((limit, weights.shape[1] + 1))
 
-    def __missing__(self, word: str) -> tuple[float, ...]:
-        own = buckets(word)
-        out = (*self.weights[own].sum(0, dtype=np.float64).tolist(), float(len(own)))
-        if len(word) <= 48:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = out
-        return out
+    def __missing__(self, word: str) -> int:
+        own, row = buckets(word), len(self)
+        self.sums[row, :-1] = self.weights[own].sum(0, dtype=np.float64)
+        self.sums[row, -1] = len(own)
+        self[word] = row
+        return row
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' rows. All is forgotten before a document that might not fit."""
+        if len(self) + len(words) > len(self.sums):
+            self.clear()
+            if len(words) > len(self.sums) or len(self.sums) > self.limit:
+                self.sums = np.zeros((max(self.limit, len(words)), self.sums.shape[1]))
+        return self.sums[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0)
 
 
 _last: list = [None, None]
@@ -182,9 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = np.fromiter(
-                (v for w in found for v in words[w]), np.float64, len(found) * (len(own.languages) + 1)
-            ).reshape(len(found), -1).sum(0)
+            total = words.total(found)
             p = own.probabilities(total[:-1], total[-1])
             best = int(p.argmax())
             names.append(own.languages[best])
