@@ -13,16 +13,18 @@ import re
 import sys
 from array import array
 
+BIG = sys.byteorder == "big"
+
 #: Letters, numbers and white space among the Latin-1 characters.
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WHITE = "\t-\r \x85\xa0"
 
-#: The splits of the two kinds of vocabulary over Latin-1.
+#: The splits of the two kinds of vocabulary over Latin-1; runs of letters stand first, being the most frequent.
 PIECES = {
-    "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{WHITE}{LETTER}{NUMBER}]+"),
+    "word": re.compile(f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^{WHITE}{LETTER}{NUMBER}]+"),
     "byte": re.compile(
-        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{WHITE}{LETTER}{NUMBER}]+"
+        f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^{WHITE}{LETTER}{NUMBER}]+"
         f"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
     ),
 }
@@ -36,24 +38,33 @@ def printable_bytes() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers; at most `limit` pieces are kept."""
+    """Piece to its ids as little-endian unsigned 32-bit integers.
+
+    Two generations of at most `limit` pieces each: when the young one is full it becomes the old one, and pieces
+    that are met again move back; what isn't met for a whole generation is forgotten.
+    """
 
     def __init__(self, model, limit: int):
-        self.model, self.limit, self.shown = model, limit, printable_bytes()
+        # encode(text, pair, is_pretokenized, add_special_tokens)
+        self.encode, self.limit, self.shown, self.old = model.encode, limit, printable_bytes(), {}
 
     def __missing__(self, piece: str) -> bytes:
-        seen = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.shown)
-        ids = packed(self.model.encode(seen, add_special_tokens=False).ids)
-        if len(piece) <= 48:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            seen = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.shown)
+            ids = packed(self.encode(seen, None, False, False).ids)
+            if len(piece) > 48:
+                return ids
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
 def packed(ids: list[int]) -> bytes:
     out = array("I", ids)
-    if sys.byteorder == "big":
+    if BIG:
         out.byteswap()
     return out.tobytes()
 

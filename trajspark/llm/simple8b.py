@@ -16,6 +16,9 @@ import numpy as np
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
+_COUNT = COUNTS.tolist()
+_SELECTOR = {count: selector for selector, count in enumerate(_COUNT[:-1])}
+
 MAGIC = b"S8B1"
 BLOCK = 4096
 HEAD = struct.Struct("<4sIQII")
@@ -23,22 +26,20 @@ HEAD = struct.Struct("<4sIQII")
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits each id needs."""
-    out = np.zeros(len(ids), np.int64)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step)
-        big = high > 0
-        out[big] += step
-        rest = np.where(big, high, rest)
-    return out + (rest > 0)
-
-
-def _widest(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The widest slot of each block, in bits."""
-    widest = np.full(len(starts), 60, np.int64)
+    if len(ids) and int(ids.max()) >> 52:
+        high = ids >> np.uint64(32)
+        return np.where(high > 0, _widths(high) + 32, _widths(ids & np.uint64(0xFFFFFFFF))).astype(np.int8)
+    return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
+
+
+def _widest(ids: np.ndarray, blocks: int, lengths: np.ndarray) -> np.ndarray:
+    """The widest slot of each block, in bits: all ones are kept for escapes, so an id needs the bits of id + 1."""
+    need = _widths(ids + np.uint64(1)).astype(np.int64)
+    counts = np.bincount(np.arange(len(ids)) // BLOCK * 65 + need, minlength=blocks * 65).reshape(blocks, 65)
+    held = np.cumsum(counts, axis=1)
+    widest = np.full(blocks, 60, np.int64)
     for bits in BITS[:1:-1]:
-        over = np.add.reduceat(ids >= np.uint64((1 << int(bits)) - 1), starts)
-        widest = np.where(over * 16 <= lengths, bits, widest)
+        widest = np.where((lengths - held[:, bits]) * 16 <= lengths, bits, widest)
     return widest
 
 
@@ -50,40 +51,52 @@ def encode(ids: np.ndarray) -> tuple[bytes, int, int]:
         return np.zeros(2, "<u4").tobytes(), 0, 0
     starts = np.arange(0, n, BLOCK)
     lengths = np.diff(np.append(starts, n))
-    widest = _widest(ids, starts, lengths)
+    widest = _widest(ids, len(starts), lengths)
     marker = (np.uint64(1) << np.repeat(widest, lengths).astype(np.uint64)) - np.uint64(1)
     escaped = ids >= marker
     slots = np.where(escaped, marker, ids)
     end = np.repeat(starts + lengths, lengths)
-    # The densest selector that fits from each position on; a block's last word may have idle slots.
-    width, here = _widths(slots), np.arange(n)
-    best = np.full(n, 15, np.int8)
-    free = np.ones(n, bool)
-    for selector in range(15):
-        wide = width > BITS[selector]
-        if wide.all():
-            continue
-        blocked = np.where(wide, here, n)
-        blocked = np.minimum.accumulate(blocked[::-1])[::-1]
-        fits = free & (np.minimum(blocked, end) >= np.minimum(here + COUNTS[selector], end))
-        best[fits] = selector
-        free &= ~fits
-    follow = np.minimum(here + COUNTS[best], end).tolist()
-    at, heads = 0, []
-    while at < n:
-        heads.append(at)
-        at = follow[at]
-    heads = np.array(heads)
-    chosen = best[heads].astype(np.int64)
+    # The densest selector that fits from each position on: the widest of the next 2, 3, .. ids, block by block,
+    # as long as any run is narrow enough. A block's last word may have idle slots.
+    lanes = np.zeros((len(starts), BLOCK + 240), np.int8)
+    flat = np.zeros(len(starts) * BLOCK, np.int8)
+    flat[:n] = _widths(slots)
+    lanes[:, :BLOCK] = flat.reshape(-1, BLOCK)
+    run = lanes[:, :BLOCK].copy()
+    best = np.full(run.shape, 15, np.int8)
+    for count in range(2, 241):
+        np.maximum(run, lanes[:, count - 1 : count - 1 + BLOCK], out=run)
+        selector = _SELECTOR.get(count)
+        if selector is not None:
+            best[run <= BITS[selector]] = selector
+        denser = COUNTS[:-1][COUNTS[:-1] > count]
+        if len(denser) and not (run <= BITS[len(denser) - 1]).any():
+            break
+    best = best.reshape(-1)[:n]
+    # All blocks step from word to word at once.
+    at, stop, steps = starts.copy(), end[starts], []
+    jump = COUNTS[best]
+    while len(at):
+        steps.append(at)
+        at = at + jump[at]
+        inside = at < stop
+        if not inside.all():
+            at, stop = at[inside], stop[inside]
+    heads = np.sort(np.concatenate(steps))
+    chosen = best[heads]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.append(slots, np.uint64(0))
-    for selector in np.unique(chosen):
+    room = end[heads] - heads
+    padded = np.concatenate((slots, np.zeros(240, np.uint64)))
+    for selector in np.flatnonzero(np.bincount(chosen, minlength=16)).tolist():
         if BITS[selector]:
-            mine = chosen == selector
-            place = heads[mine][:, None] + np.arange(COUNTS[selector])
-            place = np.where(place < end[heads[mine]][:, None], place, n)
-            shift = (np.arange(COUNTS[selector]) * BITS[selector]).astype(np.uint64)
-            words[mine] |= np.bitwise_or.reduce(padded[place] << shift, axis=1)
+            mine = np.flatnonzero(chosen == selector)
+            at, own = heads[mine], words[mine]
+            short = np.flatnonzero(room[mine] < COUNTS[selector])
+            for k in range(_COUNT[selector]):
+                part = padded[at + k]
+                part[short[room[mine[short]] <= k]] = 0
+                own |= part << np.uint64(k * int(BITS[selector]))
+            words[mine] = own
     word_at = np.append(np.searchsorted(heads, starts), len(heads))
     escape_at = np.append(0, np.cumsum(np.add.reduceat(escaped, starts)))
     return (
@@ -138,14 +151,18 @@ def unpack(data: bytes, only: tuple[int, int] | None = None) -> tuple[np.ndarray
     place = first - first[word_at[low:high] - word_at[low]][word_block] + block_from[word_block]
     out = np.zeros(block_from[-1] + 240, np.uint64)
     limit = block_from[word_block + 1]
-    for selector in np.unique(selectors):
+    for selector in np.flatnonzero(np.bincount(selectors, minlength=16)).tolist():
         if BITS[selector]:
-            mine = selectors == selector
-            shift = (np.arange(COUNTS[selector]) * BITS[selector]).astype(np.uint64)
-            values = (words[mine][:, None] >> shift) & np.uint64((1 << int(BITS[selector])) - 1)
-            to = place[mine][:, None] + np.arange(COUNTS[selector])
-            inside = to < limit[mine][:, None]
-            out[to[inside]] = values[inside]
+            mine = np.flatnonzero(selectors == selector)
+            own, to, mask = words[mine], place[mine], np.uint64((1 << int(BITS[selector])) - 1)
+            short = limit[mine] - to
+            for k in range(_COUNT[selector]):
+                if k and short.min() <= k:
+                    fits = short > k
+                    own, to, short = own[fits], to[fits], short[fits]
+                    if not len(own):
+                        break
+                out[to + k] = (own >> np.uint64(k * int(BITS[selector]))) & mask
     out = out[: block_from[-1]]
     marker = (np.uint64(1) << np.repeat(widest[low:high], sizes).astype(np.uint64)) - np.uint64(1)
     out[out == marker] = escapes

@@ -25,7 +25,7 @@ from .common import bound_batches, id_and_text, per_batch, to_arrow
 from .encoding import encoder
 
 #: Ids of one segment, about; only a single longer document makes a longer one.
-SEGMENT = 1 << 17
+SEGMENT = 1 << 18
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
