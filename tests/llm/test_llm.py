@@ -400,6 +400,20 @@ def test_near_duplicates_of_a_borderline_group(spark):
     same(out, ["doc_id", "n_shingles", "component_id", "kept"], brute_near(rows, 3, 85))
 
 
+def test_near_duplicates_in_a_chain_of_three(spark):
+    """Both ends are alike to the middle only, whose digest is the largest of the three."""
+    random.seed(0)
+    middle = random.sample([f"w{i}" for i in range(1000)], 120)
+    ends = [list(middle), list(middle)]
+    ends[0][20] = ends[0][60] = "left"
+    ends[1][40] = ends[1][90] = "right"
+    rows = [(i, " ".join(own)) for i, own in enumerate([*ends, middle])]
+    digests = [near_duplicates._digest(x) for x in near_duplicates.shingle_sets([t for _, t in rows], 3)]
+    assert digests[2] == max(digests)
+    out = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 3, 85)
+    same(out, ["doc_id", "component_id", "kept"], [(0, 0, True), (1, 0, False), (2, 0, False)])
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert near_duplicates.near_duplicates(empty, Scratch(spark)).collect() == []
 
@@ -418,6 +432,12 @@ def test_components(spark):
     assert sorted(map(tuple, out.collect())) == [(i, 0) for i in range(1, 41)] + [(101, 100)]
 
 
+def test_components_of_a_node_with_two_roots(spark):
+    for edges in ([(0, 2), (1, 2)], [(0, 3), (1, 3), (2, 3)]):
+        out = graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark))
+        assert sorted(map(tuple, out.collect())) == [(i, 0) for i in range(1, edges[-1][1] + 1)]
+
+
 # Neighbours
 
 
