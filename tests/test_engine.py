@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajspark import queries
 from trajspark.functions import text as X
 from trajspark.functions import values as V
 from trajspark.model import TrajectoryDataset, harmonised_stats, normalise_tasks, normalise_videos, require_columns
@@ -180,6 +181,25 @@ def test_nearest_range_and_greedy(spark):
     assert sorted(r.id for r in joins.greedy_boxes(boxes, "f").collect()) == [1, 3]
 
 
+def test_box_queries_take_all_ids(spark, tmp_path):
+    ids = [0, 1, 2, 1999, 2000, 2001, 3700, 5007, 9999, 123_456]
+    spark.createDataFrame([(i, i % 2) for i in ids], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    box = {i: (i * 37 % 100, i * 53 % 100, 20 + i % 30, 20 + i % 17) for i in ids}
+
+    def iou(a, b):
+        (ax, ay, aw, ah), (bx, by, bw, bh) = box[a], box[b]
+        both = max(0, min(ax + aw, bx + bw) - max(ax, bx)) * max(0, min(ay + ah, by + bh) - max(ay, by))
+        return both / (aw * ah + bw * bh - both)
+
+    pairs = {(a, b): round(iou(a, b), 6) for a in ids for b in ids if a < b and a % 2 == b % 2}
+    assert {(r.id, r.other): r.iou for r in queries.iou_pairs(spark, str(tmp_path)).collect()} == pytest.approx(pairs, abs=2e-6)
+    kept = []
+    for i in sorted(ids, key=lambda i: (-box[i][2] * box[i][3], i)):
+        if all(i % 2 != k % 2 or iou(i, k) < 0.35 for k in kept):
+            kept.append(i)
+    assert sorted(r.id for r in queries.greedy_box_dedup(spark, str(tmp_path)).collect()) == sorted(kept)
+
+
 def test_strict_map_raises(spark):
     d = spark.createDataFrame([("a", 1)], "k string, v long")
     with pytest.raises(Exception, match="unknown value"):

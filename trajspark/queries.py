@@ -769,7 +769,7 @@ _BOX = "SELECT event_id AS id, user_id, (event_id * 37 % 100)::DOUBLE AS x, (eve
 def boxes(spark, sf_dir) -> DataFrame:
     i = F.col("event_id")
     own = [(i * 37 % 100).alias("x"), (i * 53 % 100).alias("y"), (20 + i % 30).alias("w"), (20 + i % 17).alias("h")]
-    return table(spark, sf_dir, "events").where("event_id < 2000").select(i.alias("id"), "user_id", *[c.cast("double").alias(n) for c, n in zip(own, "xywh", strict=True)])
+    return table(spark, sf_dir, "events").select(i.alias("id"), "user_id", *[c.cast("double").alias(n) for c, n in zip(own, "xywh", strict=True)])
 
 
 @query(f"""WITH b AS ({_BOX}), p AS (SELECT a.id, b.id AS other, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i,
