@@ -498,6 +498,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r[0] for r in out.select("doc_id").collect()} == kept
 
 
+def test_pipeline_rejects_what_op6_calls_toxic(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    texts, labels = labelled(spark, 6)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for share, n in ((0.55, 0), (0.45, 6)):
+        model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), float(np.log(share / (1 - share))))
+        monkeypatch.setattr(toxicity, "fit", lambda docs, labels, model=model: model)
+        assert corpus_pipeline.toxicity_filter(spark, texts, str(tmp_path)).count() == n
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
