@@ -271,6 +271,16 @@ def test_toxicity_learns_and_meets_unseen_spellings(spark, docs):
     assert toxicity.keep(docs, model).columns == docs.columns
 
 
+def test_toxicity_learns_from_few_toxic_labels():
+    """What marks the six toxic of 606 documents is rare among all of them."""
+    random.seed(4)
+    words = ["".join(random.choice("lmnoprst") for _ in range(6)) for _ in range(200)]
+    clean = [" ".join(random.choice(words) for _ in range(40)) for _ in range(700)]
+    bad = [" ".join(["vizzard", "quagbog"] * 4 + text.split()[8:]) for text in clean[600:620]]
+    model = toxicity.train(clean[:600] + bad[:6], [0] * 600 + [1] * 6)
+    assert min(toxicity._scored(model, bad[6:])) > max(toxicity._scored(model, clean[620:]))
+
+
 def test_toxicity_without_both_classes(spark, empty, docs):
     _, labels = labelled(spark, 6)
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 5"))).collect()} <= {toxicity.train([], []).score(0, 0)}

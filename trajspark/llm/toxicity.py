@@ -34,8 +34,8 @@ BITS, SIZES, DIMENSIONS = 18, (3, 4, 5, 6), 8
 #: Labelled documents used for training, at most about so many of each class, chosen by a hash of doc_id.
 SAMPLE_OF_CLASS = 2500
 
-#: Share of the training documents that a hashed n-gram must occur in to get a vector of its own; others have none.
-COMMON = 0.0125
+#: Training documents that a hashed n-gram must occur in to get a vector of its own; others have none.
+LEAST = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -86,7 +86,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 12, rate: float = 0.
         found[places] += 1
         bags.append((places.astype(np.int32), shares.astype(np.float32)))
     known.clear()
-    kept = np.flatnonzero(found >= max(3, COMMON * len(texts)))
+    kept = np.flatnonzero(found >= LEAST)
     row = np.full(1 << BITS, -1, np.int32)
     row[kept] = np.arange(len(kept))
     for i, (places, shares) in enumerate(bags):
