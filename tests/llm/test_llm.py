@@ -206,6 +206,14 @@ def test_bpe_cuts_are_safe():
     assert own.decode(own.encode(" " * 100_000 + "x")) == b" " * 100_000 + b"x"
 
 
+def test_bpe_cuts_keep_runs_of_control_characters():
+    own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for c in "\x1c\x1d\x1e\x1f":
+        for text in (f"a{c * 999}b", f"a {c * 300} {c} b", f"a{' ' * 300}\n\n{c}b"):
+            whole = own.encoding.encode_ordinary(text)
+            assert sum((own.encoding.encode_ordinary(x) for x in bpe.cuts(text, 7)), []) == whole
+
+
 # Packing
 
 

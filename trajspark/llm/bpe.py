@@ -23,8 +23,9 @@ from .common import fields, id_and_text, per_batch
 LONG = 1 << 16
 
 #: A safe cut (before the space), or a long run of white space, whose last character belongs to what follows.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s{256,}(?=\S)")
+#: U+001C-U+001F are white space to Python and not to tiktoken.
+_SAFE = re.compile(r"(?<=[\S\x1c-\x1f]) (?=[\S\x1c-\x1f])")
+_RUN = re.compile(r"[^\S\x1c-\x1f]{256,}(?=[\S\x1c-\x1f])")
 
 _codecs: dict = {}
 
