@@ -181,6 +181,14 @@ def test_nearest_range_and_greedy(spark):
     assert sorted(r.id for r in joins.greedy_boxes(boxes, "f").collect()) == [1, 3]
 
 
+def test_range_query_reaches_the_largest_index(spark, tmp_path):
+    ids = [0, 776, 777, 799, 800, 9346, 9347, 50_000]
+    rows = spark.createDataFrame([(i, 0, 1.0, "view", None, None) for i in ids], "event_id long, user_id long, value double, event_type string, ts timestamp, props string")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["index"]: r["file"] for r in queries.range_lookup_file(spark, str(tmp_path)).collect()}
+    assert got == {i: min(k for k in range(100) if k * 777 <= i <= k * 777 + 799) for i in ids}
+
+
 def test_box_queries_take_all_ids(spark, tmp_path):
     ids = [0, 1, 2, 1999, 2000, 2001, 3700, 5007, 9999, 123_456]
     spark.createDataFrame([(i, i % 2) for i in ids], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")

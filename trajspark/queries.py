@@ -243,8 +243,11 @@ def list_replace(spark, sf_dir):
 
 @query(f"SELECT e.idx AS index, min(r.file) AS file FROM ({E}) e LEFT JOIN (SELECT range AS file, range * 777 AS start, range * 777 + 799 AS stop FROM range(0, 12)) r ON e.idx BETWEEN r.start AND r.stop GROUP BY 1")
 def range_lookup_file(spark, sf_dir):
-    ranges = spark.range(12).select(F.col("id").alias("file"), (F.col("id") * 777).alias("start"), (F.col("id") * 777 + 799).alias("end"))
-    return joins.range_lookup(frames(spark, sf_dir).select("index"), "index", ranges, 1024)
+    points = frames(spark, sf_dir).select("index")
+    largest = points.agg(F.coalesce(F.max("index"), F.lit(0)).alias("largest"))
+    ranges = largest.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("largest") / 777))).alias("file"))
+    ranges = ranges.select("file", (F.col("file") * 777).alias("start"), (F.col("file") * 777 + 799).alias("end"))
+    return joins.range_lookup(points, "index", ranges, 1024)
 
 
 @query(f"""WITH q AS (SELECT ep, idx, rn / 10.0::DOUBLE + CASE WHEN idx % 3 = 0 THEN 0.03 ELSE 0.0 END AS t FROM ({N})),
