@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..model import TrajectoryDataset, normalise_tasks
+from ..storage import write_text
 
 
 def _path(spark: SparkSession, path: str):
@@ -35,17 +36,6 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, written aside and renamed, so that a reader never sees half of it."""
-    p, fs = _path(spark, path)
-    aside, _ = _path(spark, f"{path}.tmp")
-    out = fs.create(aside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(p, False)
-    fs.rename(aside, p)
-
-
 def read_info(spark: SparkSession, root: str) -> dict:
     return json.loads(read_text(spark, f"{root}/meta/info.json"))
 
