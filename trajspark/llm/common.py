@@ -1,13 +1,11 @@
-"""Helpers shared by the operators: a shared scratch folder, bounded Arrow batches, word splitting."""
+"""Helpers shared by the operators: bounded Arrow batches, one-task training, columns of documents."""
 
 from __future__ import annotations
 
 import atexit
-import gc
 import pickle
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -17,58 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import Scratch, scratch_root
+
+__all__ = ["Scratch", "scratch_root"]
+
 #: What separates words everywhere in this subpackage: space, tab, line feed, vertical tab, form feed, return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 #: Rows of one Arrow batch at most; with it a Python worker holds a few hundred whole texts at a time.
 BATCH_ROWS = 512
 
-#: Spark's setting for removing a finished query's shuffle files at once rather than at some garbage collection.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark.sparkContext, "_own_scratch", None)
-        if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="trajspark-")
-            spark.sparkContext._own_scratch = root
-            atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables of one run in the shared folder. They cut lineage: a lost executor costs a re-read, not a recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.at = f"{scratch_root(spark)}/trajspark-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return it as read again; its shuffle files go as soon as it is written."""
-        path = f"{self.at}/{name}"
-        usual = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            df.write.mode("overwrite").parquet(path)
-        finally:
-            self.spark.conf.unset(_CLEANUP) if usual is None else self.spark.conf.set(_CLEANUP, usual)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads, and let Spark clean the shuffles that made them."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a context: they need not have it on their path."""
     context = spark.sparkContext
@@ -84,7 +40,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows`, so that batches of long texts stay small."""
+    """Lower the session's Arrow batch size to `rows`, so that batches of long texts stay small.
+
+    Spark reads the setting when a plan is run, which for a returned DataFrame is after this call, so it stays lowered.
+    """
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -123,20 +82,42 @@ def to_arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def trained(sample: DataFrame, train: Callable, empty: object) -> object:
-    """train(texts, labels) on a bounded sample (text, label), run in one task so that the driver holds the model only.
+def trained(sample: DataFrame, counted: Callable[[str], dict], train: Callable, empty: object) -> object:
+    """train(features, labels) on a bounded sample (doc_id, text, label) in one task; the driver gets the model only.
 
-    The rows are sorted, so equal input gives an equal model; a lost executor costs another run.
+    Texts become `counted` word counts where they lie, so that what meets in the task grows with distinct words, not
+    with the length of texts. The rows are sorted, so equal input gives an equal model; a lost executor costs another
+    run.
     """
-    ship(sample.sparkSession)
+    bound_batches(sample.sparkSession)
+    schema = T.StructType(
+        [
+            T.StructField("order", T.StringType()),
+            T.StructField("label", sample.schema["label"].dataType),
+            T.StructField("words", T.ArrayType(T.StringType())),
+            T.StructField("counts", T.ArrayType(T.LongType())),
+        ]
+    )
+    arrow = to_arrow(schema)
 
-    def run(frames: Iterator) -> Iterator[pa.RecordBatch]:
-        rows = [row for frame in frames for row in zip(frame.column("text").to_pylist(), frame.column("label").to_pylist(), strict=True)]
-        model = train([text for text, _ in rows], [label for _, label in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dict(sorted(counted(text).items())) for text in batch.column("text").to_pylist()]
+            columns = [batch.column("order").to_pylist(), batch.column("label").to_pylist()]
+            columns += [[list(x) for x in found], [list(x.values()) for x in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    rows = sample.repartition(1).sortWithinPartitions("doc_id", "text", "label").select("text", "label")
-    found = rows.mapInArrow(run, "model binary").collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, labels = [], []
+        for batch in batches:
+            pairs = zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)
+            features += [dict(zip(words, counts, strict=True)) for words, counts in pairs]
+            labels += batch.column("label").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(features, labels))], pa.binary())], names=["model"])
+
+    order = F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 24, "0"), F.xxhash64("text").cast("string"))
+    rows = sample.select(order.alias("order"), "label", "text").mapInArrow(count, schema)
+    found = rows.repartition(1).sortWithinPartitions("order", "label").mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else empty
 
 

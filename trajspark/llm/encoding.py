@@ -3,7 +3,8 @@
 Both vocabularies split text by a regular expression before any merge, so the ids of a text are the ids of its
 pieces in a row. For texts of Latin-1 characters the pieces come from the same expression written out for those
 characters; each distinct piece is encoded once by the library's model and kept. Any other text goes to the
-library whole. The results are the library's either way.
+library whole, and so does every text that holds an added token such as <|endoftext|>, which the library's default
+makes one id wherever it stands. The results are the library's either way.
 """
 
 from __future__ import annotations
@@ -20,6 +21,22 @@ LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WHITE = "\t-\r \x85\xa0"
 
+#: The steps of a vocabulary file, before its model, for which the splits below hold.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+KNOWN = {
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                _BYTE_LEVEL | {"use_regex": False},
+            ],
+        },
+    ),
+    "byte": (None, _BYTE_LEVEL | {"use_regex": True}),
+}
+
 #: The splits of the two kinds of vocabulary over Latin-1; runs of letters stand first, being the most frequent.
 PIECES = {
     "word": re.compile(f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^{WHITE}{LETTER}{NUMBER}]+"),
@@ -76,8 +93,9 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.whole = Tokenizer.from_str(json.dumps(spec))
-        self.whole.encode_special_tokens = True
         self.kind = self._kind(spec)
+        #: Lower-case contents of added tokens, as some are looked for after the text was made lower case.
+        self.added = [token["content"].lower() for token in spec["added_tokens"]]
         if self.kind:
             bare = spec | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "decoder")) | {"added_tokens": []}
             model = Tokenizer.from_str(json.dumps(bare))
@@ -85,15 +103,11 @@ class Encoder:
 
     @staticmethod
     def _kind(spec: dict) -> str | None:
-        """Which of the known splits a tokenizer file has, if any."""
-        steps = spec["pre_tokenizer"] or {}
-        if steps.get("type") == "ByteLevel" and steps["use_regex"] and not steps["add_prefix_space"] and not spec["normalizer"]:
-            return "byte"
-        if steps.get("type") == "Sequence" and [x["type"] for x in steps["pretokenizers"]] == ["Split", "ByteLevel"]:
-            known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-            names = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-            if steps["pretokenizers"][0]["pattern"] == {"Regex": known} and names == ["NFC", "Replace", "Lowercase"]:
-                return "word"
+        """Which of the known splits a tokenizer file has, if any; every field of its steps counts."""
+        plain = spec["post_processor"] is None and spec["truncation"] is None and spec["padding"] is None
+        for kind, steps in KNOWN.items():
+            if plain and (spec["normalizer"], spec["pre_tokenizer"]) == steps:
+                return kind
         return None
 
     def encode(self, text: str) -> bytes:
@@ -104,7 +118,9 @@ class Encoder:
             except UnicodeEncodeError:
                 pass
             else:
-                return b"".join(map(self.pieces.__getitem__, self.split(text.lower() if self.kind == "word" else text)))
+                lower = text.lower()
+                if not any(token in lower for token in self.added):
+                    return b"".join(map(self.pieces.__getitem__, self.split(lower if self.kind == "word" else text)))
         return packed(self.whole.encode(text, add_special_tokens=False).ids)
 
 

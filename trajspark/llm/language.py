@@ -7,8 +7,10 @@ them exactly zero; a temperature fitted on training documents left aside calibra
 
 Features are linear in the words, so a worker keeps the summed weights of words that come again.
 
-A null or empty text, or one without letters, is `und` with score 0. Null languages are not learned; without any
-labelled document every text is `und`. Other columns are ignored; repeated rows get equal results.
+A null or empty text, or one without letters (numbers such as ½ or ² are none), is `und` with score 0. Very long texts
+are judged whole; in training their words are counted before documents meet in one task. Null languages are not
+learned; without any labelled document every text is `und`. Of equally likely languages the first by name is taken.
+Equal texts, and so repeated rows, get equal results; an empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BITS, SIZES = 18, (1, 2, 3, 4)
 #: Training documents of each language, at most about so many, chosen by a hash of doc_id.
 SAMPLE_OF_LANGUAGE = 1200
 
+#: Runs of letters and of numbers other than digits (as in x²); only letters of them count, see `letters`.
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,28 +49,44 @@ class Model:
         return p / p.sum()
 
 
+def letters(word: str) -> str:
+    """The letters (Unicode categories L*) of a word."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
 def buckets(word: str) -> np.ndarray:
+    word = letters(word)
+    if not word:
+        return np.zeros(0, np.int64)
     marked = f"<{word}>"
     mask = (1 << BITS) - 1
     grams = (marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1))
     return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in grams], np.int64)
 
 
-def shares(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a document and their term frequencies."""
-    counts = Counter(_WORD.findall(text.lower()))
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
+def counted(text: str) -> Counter:
+    """The words of a text and how often each comes."""
+    return Counter(_WORD.findall(text.lower()))
+
+
+def shares(counts: dict[str, int], known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a document and their term frequencies; none if it has no letter."""
     for word in counts.keys() - known.keys():
         known[word] = buckets(word)
     parts = [known[w] for w in counts]
+    if not sum(map(len, parts)):
+        return np.zeros(0, np.int64), np.zeros(0)
     places, back = np.unique(np.concatenate(parts), return_inverse=True)
     tf = np.bincount(back, np.repeat(np.array(list(counts.values()), float), [len(p) for p in parts]))
     return places, tf / tf.sum()
 
 
-def train(
-    texts: list[str],
+def train(texts: list[str], languages: list[str], **rest) -> Model:
+    return train_counts([counted(text) for text in texts], languages, **rest)
+
+
+def train_counts(
+    documents: list[dict[str, int]],
     languages: list[str],
     alpha: float = 2.0,
     beta: float = 1.0,
@@ -81,10 +100,10 @@ def train(
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
     known: dict[str, np.ndarray] = {}
     bags, target, found = [], [], np.zeros(1 << BITS)
-    for text, language in zip(texts, languages, strict=True):
+    for counts, language in zip(documents, languages, strict=True):
         if len(known) > 50_000:
             known.clear()
-        places, tf = shares(text, known)
+        places, tf = shares(counts, known)
         if len(places):
             found[places] += 1
             bags.append((places.astype(np.int32), tf.astype(np.float32)))
@@ -145,7 +164,7 @@ def fit(labelled: DataFrame, sample_of_language: int = SAMPLE_OF_LANGUAGE) -> Mo
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     rows = own.where(draw < share[F.col("lang")])
     rows = rows.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").alias("label"))
-    return trained(rows, train, train([], []))
+    return trained(rows, counted, train_counts, train([], []))
 
 
 class _Words(dict):
@@ -185,11 +204,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         words, names, scores = _last[1], [], []
         for text in rows["text"]:
             found = _WORD.findall(text.lower())
-            if not found or not own.languages:
+            total = words.total(found) if found and own.languages else None
+            if total is None or not total[-1]:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = words.total(found)
             p = own.probabilities(total[:-1], total[-1])
             best = int(p.argmax())
             names.append(own.languages[best])

@@ -9,9 +9,11 @@ Both layers are linear, so scoring needs one number for each hashed n-gram: its
 class weights. Executors get those numbers only (4 << BITS bytes, whatever the input) and keep the score of words
 that come again.
 
-Null and empty texts, and texts without a word, get the score of the bias alone. Labels of unknown documents, null
-labels and repeated labels (the larger counts) are harmless; without both classes among the labels every score is
-the share of toxic labels, 0 without any. Other columns are ignored; repeated rows get equal scores.
+Null and empty texts, and texts without a word, get the score of the bias alone. Very long texts are scored whole; in
+training their words are counted before documents meet in one task. Labels of unknown documents, null labels and
+repeated labels (the larger counts) are harmless; without both classes among the labels every score is the share of
+toxic labels, 0 without any. Equal texts, and so repeated rows, get equal scores; a score of exactly `below` is
+rejected by `keep`. An empty table gives no scores. Other columns are ignored by `score` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -57,9 +59,13 @@ def buckets(word: str) -> np.ndarray:
     return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in grams], np.int64)
 
 
-def bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def counted(text: str) -> Counter:
+    """The words of a text and how often each comes."""
+    return Counter(_WORD.findall(text.lower()))
+
+
+def bag(counts: dict[str, int], known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a document and their weights in its average."""
-    counts = Counter(_WORD.findall(text.lower()))
     for word in counts.keys() - known.keys():
         known[word] = buckets(word)
     if not counts:
@@ -71,18 +77,24 @@ def bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return places, np.bincount(back, np.repeat(share, sizes))
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 12, rate: float = 0.2, decay: float = 1e-4, seed: int = 0) -> Model:
-    """Adagrad with weight decay on embeddings and softmax together, in batches of documents."""
+def train(texts: list[str], toxic: list[int], **rest) -> Model:
+    return train_counts([counted(text) for text in texts], toxic, **rest)
+
+
+def train_counts(
+    documents: list[dict[str, int]], toxic: list[int], epochs: int = 12, rate: float = 0.2, decay: float = 1e-4, seed: int = 0
+) -> Model:
+    """Adagrad with weight decay on embeddings and softmax together, in batches of documents (words and their counts)."""
     labels = np.array(toxic, np.int64)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(1 << BITS, np.float32), 60.0 if share else -60.0)
     known: dict[str, np.ndarray] = {}
     bags, found = [], np.zeros(1 << BITS, np.int64)
-    for text in texts:
+    for counts in documents:
         if len(known) > 50_000:
             known.clear()
-        places, shares = bag(text, known)
+        places, shares = bag(counts, known)
         found[places] += 1
         bags.append((places.astype(np.int32), shares.astype(np.float32)))
     known.clear()
@@ -141,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_of_class: int = SAMPLE_OF_CLA
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     chosen = own.where(draw < share[F.col("toxic")])
     rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumnRenamed("toxic", "label")
-    return trained(rows, train, train([], []))
+    return trained(rows, counted, train_counts, train([], []))
 
 
 def _scored(model: Model, texts: list[str]) -> list[float]:
