@@ -4,8 +4,11 @@ A task keeps at most OPEN bins. They are found through a bitset keyed by free sp
 above a piece's length is the bin that it fills best. If none has room and all OPEN are in use, the fullest bin
 (the lowest set bit) closes. Sequences don't cross tasks, so no row is shuffled and memory is OPEN bins a task.
 
-Only documents longer than a sequence are cut: their first piece holds the remainder, the others fill sequences.
-Null texts are empty and have the end id alone. Repeated rows are packed each; other columns are ignored.
+Only documents longer than a sequence are cut: their first piece holds the remainder, the others fill sequences. A
+very long text is encoded whole and gives as many pieces as it needs. Null and empty texts have the end id alone.
+Repeated rows are packed each. Of bins with equal free space the last one put back is taken. An empty table gives no
+pieces. Ids are the tokenizers library's, which makes an added token that stands in a text one id. Other columns are
+ignored.
 """
 
 from __future__ import annotations

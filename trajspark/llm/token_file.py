@@ -5,7 +5,9 @@ of consecutive documents with their ids, numbered in their shard. Spark's writer
 a repeated task leaves no half-written file, and any store that Spark reads will do.
 
 Null texts are empty and get the end id alone; null doc_ids come first; documents of one doc_id keep an order of
-their own (by the hash of their text); an empty table gives an empty table. Other columns are ignored.
+their own (by the hash of their text), repeated rows one place each; an empty table gives an empty table. A very long
+text is encoded whole and makes a segment of its own length. Ids are the tokenizers library's, which makes an added
+token that stands in a text one id. Other columns are ignored.
 """
 
 from __future__ import annotations
