@@ -9,15 +9,19 @@ coordinate k. Coordinates are cut into bands.
    well enough; a bucket of n nodes so costs n - 1 checks.
 3. Components of these links join most buckets into one. Buckets that still hold nodes of different components
    check them against a node drawn at random, another in each bucket, TURNS times over: as linear as step 2.
-4. In buckets that even then hold several components, pairs across components are checked too, so no link is lost
-   that would join two components. What a set can share at most (shingles that another open node has) and the
-   signatures rule most of them out; only verified links leave that step.
+4. In buckets that even then hold several components, pairs across components are checked too, if they can be
+   links: what a set can share at most (shingles that another open node has) and the signatures rule most of them
+   out; only verified links leave that step.
 
-With 32 bands of 5 coordinates, a pair of similarity 0.85 shares no bucket with probability 7e-9.
+Two chances of losing a link remain, both of the method and taken with independent coordinates: a pair of similarity
+0.85 shares none of 32 bands of 5 coordinates with probability 7e-9 (0.8: 3e-6), and in step 4 alone it agrees in so
+few coordinates as to be passed over with 1e-10 (0.8: 6e-9).
 
 Null and empty texts, and texts without words, have no shingle and are linked with nothing. Texts with fewer words
-than a shingle have their whole sequence as one. Repeated rows are duplicates of each other. Rows with a null
-doc_id take part; a component's id is its smallest doc_id that isn't null. Other columns are ignored.
+than a shingle have their whole sequence as one. Very long texts are taken whole: a set is one row. Repeated rows are
+duplicates of each other. Rows with a null doc_id take part; a component's id is its smallest doc_id that isn't null,
+so of several rows with that id all are kept. Ties of digests can't be: equal sets are one node. An empty table gives
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ from .shingles import BASE, hashed, in_chunks, mixed, rolling
 BANDS, ROWS = 32, 5
 
 #: Shingles of a chunk of a large bucket, and how far under the asked similarity the share of agreeing coordinates
-#: may lie for a pair to be checked (with 160 coordinates, five standard deviations).
-CHUNK, SLACK = 1 << 19, 0.15
+#: may lie for a pair to be checked (with 160 coordinates, more than six standard deviations).
+CHUNK, SLACK = 1 << 19, 0.2
 
 #: Rounds in which every bucket with several components checks its nodes against one drawn at random.
 TURNS = 2
@@ -270,7 +274,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
         if not more.isEmpty():
             roots = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
             joined = scratch.table(components(roots.union(more), scratch, f"again_{turn}"), f"joined_{turn}")
-    scratch.drop("sets", "members")
+    scratch.drop("sets", "members", "unsettled", "reach", "open", "star_links", *[f"rest_{i}" for i in range(TURNS + 1)])
 
     placed = nodes.select("node", "doc_id").join(joined, "node", "left")
     placed = placed.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
