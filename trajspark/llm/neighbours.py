@@ -6,12 +6,16 @@ size. A query looks at a window of blocks around its own on every curve; what it
 cosine on the original vectors, and the windows' results are merged.
 
 How wide the windows must be depends on the data: where vectors have no structure, neighbours are spread over the
-whole curve. So a bounded sample of queries is searched exhaustively first, and the narrowest window that finds
-TARGET of their true neighbours is used for all queries.
+whole curve and windows cover most of the table; where they lie in clusters, a few blocks do. So a bounded sample of
+queries is searched exhaustively first, and the narrowest window that finds TARGET of their true neighbours is used
+for all queries. `recall` measures what is found of queries that the width was not fitted on.
 
 Equal vectors are one row of the index, with as many of their smallest ids as a result can need; a vector that
 fills a third of the table so fills no block. Vectors that are null, zero, or hold null or non-finite components,
-of another length than most, or without an id take no part. Repeated ids count once for each distinct vector.
+of another length than most, or without an id take no part. Vectors are scaled by a power of two before products are
+taken, so that very large and very small components neither overflow nor vanish; cosines are not changed by that.
+Repeated ids count once for each distinct vector; equal scores are ranked by vec_id. An empty table, or one without
+a valid vector, gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from pyspark.sql import types as T
 from .common import Scratch, bound_batches, to_arrow
 
 #: Curves, directions of a projection, bits of a coordinate, and vectors of a block.
-CURVES, DIRECTIONS, BITS, BLOCK = 4, 8, 7, 2048
+CURVES, DIRECTIONS, BITS, BLOCK = 4, 8, 7, 1024
 
-#: Vectors on which the projections' ranges are fitted, queries searched exhaustively, and what they must find.
-FIT_ROWS, TRIAL_QUERIES, TARGET = 20_000, 128, 0.97
+#: Queries searched exhaustively to fit the windows' width, and what share of their neighbours windows must find.
+TRIAL_QUERIES, TARGET = 128, 0.97
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,30 +65,57 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """The projections, their ranges and shifts, fitted on a bounded sample of unit vectors."""
+    """The projections and shifts for vectors of one length; `fit` sets the projections' ranges."""
 
-    def __init__(self, sample: np.ndarray, curves: int = CURVES, seed: int = 7):
+    def __init__(self, width: int, curves: int = CURVES, seed: int = 7):
         random = np.random.default_rng(seed)
-        width = sample.shape[1]
         self.n, self.directions = curves, min(DIRECTIONS, width)
         self.project = [np.linalg.qr(random.normal(size=(width, self.directions)))[0] for _ in range(curves)]
-        seen = [sample @ p for p in self.project]
-        self.low = [x.min(0) for x in seen]
-        self.range = [np.maximum(x.max(0) - x.min(0), 1e-9) for x in seen]
         self.shift = [random.uniform(0, 0.5, self.directions) for _ in range(curves)]
 
+    def ends(self, unit: np.ndarray) -> np.ndarray:
+        """The smallest and largest projection on every direction of every curve."""
+        seen = np.hstack([unit @ p for p in self.project])
+        return np.stack([seen.min(0), seen.max(0)])
+
+    def fit(self, ends: np.ndarray) -> Curves:
+        self.low = np.split(ends[0], self.n)
+        self.range = np.split(np.maximum(ends[1] - ends[0], 1e-9), self.n)
+        return self
+
     def keys(self, unit: np.ndarray, curve: int) -> np.ndarray:
         place = (unit @ self.project[curve] - self.low[curve]) / self.range[curve] + self.shift[curve]
         cells = np.clip((place / 1.5 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
         return hilbert(cells, BITS)
 
 
+def fitted(vectors: DataFrame, width: int, curves: int) -> Curves:
+    """Curves whose ranges are those of all vectors; each task returns two numbers for each direction."""
+    own = Curves(width, curves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [own.ends(units(matrix(b.column("vector").to_pylist()))) for b in batches if b.num_rows]
+        if found:
+            low, high = np.min([x[0] for x in found], 0), np.max([x[1] for x in found], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low)), pa.int32()), pa.array(low), pa.array(high)], names=["i", "low", "high"])
+
+    ends = vectors.select("vector").mapInArrow(run, "i int, low double, high double").groupBy("i")
+    rows = ends.agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("i").collect()
+    return own.fit(np.array([[r["low"] for r in rows], [r["high"] for r in rows]]))
+
+
 def matrix(vectors) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components to 0.5..1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision."""
+    a, b = scaled(a), scaled(b)
     top = np.einsum("ij,ij->i", a, b)
     return top / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
@@ -140,10 +171,11 @@ def best(queries: np.ndarray, own: list[int], unit_q: np.ndarray, rows: np.ndarr
 
 
 def units(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def index(vectors: DataFrame, curves: Curves, scratch: Scratch) -> DataFrame:
+def index(vectors: DataFrame, curves: Curves, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """curve, block, vector, ids: every vector once on each curve; blocks are numbered along their curve."""
     schema = T.StructType(
         [
@@ -180,13 +212,13 @@ def index(vectors: DataFrame, curves: Curves, scratch: Scratch) -> DataFrame:
             number = np.empty(len(curve), np.int64)
             for c in np.unique(curve).tolist():
                 mine = curve == c
-                number[mine] = (seen.get(c, 0) + np.arange(mine.sum())) // BLOCK
+                number[mine] = (seen.get(c, 0) + np.arange(mine.sum())) // block
                 seen[c] = seen.get(c, 0) + int(mine.sum())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("curve"), pa.array(np.full(len(curve), part, np.int32)), pa.array(number), *batch.columns[2:]], schema=kept_arrow
             )
 
-    ranges = max(1, -(-vectors.count() * curves.n // (8 * BLOCK)))
+    ranges = max(1, -(-vectors.count() * curves.n // (8 * block)))
     sorted_rows = (
         scratch.table(vectors.mapInArrow(place, schema), "placed")
         .repartitionByRange(ranges, "curve", "key", "vector")
@@ -196,7 +228,9 @@ def index(vectors: DataFrame, curves: Curves, scratch: Scratch) -> DataFrame:
     blocks = table.select("curve", "part", "number").distinct()
     order = Window.partitionBy("curve").orderBy("part", "number")
     blocks = blocks.withColumn("block", (F.row_number().over(order) - 1).cast("int"))
-    return scratch.table(table.join(blocks, ["curve", "part", "number"]).drop("part", "number"), "blocks")
+    out = scratch.table(table.join(blocks, ["curve", "part", "number"]).drop("part", "number"), "blocks")
+    scratch.drop("placed", "index")
+    return out
 
 
 def _exhaustive(queries: pd.DataFrame, vectors: DataFrame, k: int) -> pd.DataFrame:
@@ -234,15 +268,8 @@ def _half_width(trial: pd.DataFrame, vectors: DataFrame, table: DataFrame, k: in
     return int(np.quantile(gap, TARGET, method="higher")) if len(gap) else 0
 
 
-def search(rows: DataFrame, every: int, k: int, scratch: Scratch) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every vector whose id is divisible by `every`."""
-    rows = valid(rows)
-    vectors = scratch.table(distinct_vectors(rows, k + 1), "vectors")
-    named = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
-    spark, kind = rows.sparkSession, "query_id bigint, rank int, vec_id bigint, score double"
-    total = vectors.count()
-    if not total:
-        return spark.createDataFrame([], kind)
+def _queries(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """query_id, vector of rows, once for each distinct vector."""
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,13 +278,19 @@ def search(rows: DataFrame, every: int, k: int, scratch: Scratch) -> DataFrame:
                 own = [v.tobytes() for v in np.ascontiguousarray(x + 0.0, "<f8")]
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(own, pa.binary())], names=["query_id", "vector"])
 
-    queries = scratch.table(named.select("vec_id", "embedding").mapInArrow(as_bytes, "query_id bigint, vector binary"), "queries")
-    draw = F.xxhash64("vector")
-    sample = vectors.where(F.pmod(draw, F.lit(1 << 30)) < min(1.0, FIT_ROWS / total) * (1 << 30)).select("vector").toPandas()
-    if not len(sample):
-        sample = vectors.select("vector").limit(1).toPandas()
-    curves = Curves(units(matrix(sample["vector"].tolist())))
-    table = index(vectors, curves, scratch)
+    named = rows.dropDuplicates(["vec_id", "embedding"])
+    return scratch.table(named.select("vec_id", "embedding").mapInArrow(as_bytes, "query_id bigint, vector binary"), "queries")
+
+
+def search(rows: DataFrame, every: int, k: int, scratch: Scratch, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every vector whose id is divisible by `every`."""
+    rows = valid(rows)
+    vectors = scratch.table(distinct_vectors(rows, k + 1), "vectors")
+    queries = _queries(rows.where(F.col("vec_id") % every == 0), scratch)
+    first = vectors.select(F.octet_length("vector").alias("bytes")).limit(1).collect()
+    if not first:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    table = index(vectors, fitted(vectors, first[0]["bytes"] // 8, curves), scratch, block)
     trial = queries.orderBy(F.xxhash64("query_id"), "vector").limit(TRIAL_QUERIES).toPandas()
     half = _half_width(trial, vectors, table, k)
 
@@ -283,3 +316,18 @@ def search(rows: DataFrame, every: int, k: int, scratch: Scratch) -> DataFrame:
     near = asked.groupBy(*keys).cogroup(held.select(*keys, "vector", "ids").groupBy(*keys))
     found = near.applyInPandas(rerank, "query_id bigint, vec_id bigint, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def recall(found: DataFrame, rows: DataFrame, every: int, k: int, scratch: Scratch, queries: int = TRIAL_QUERIES) -> float:
+    """The share of true neighbours in a result of `search`, over queries that its windows were not fitted on (the
+    next ones in the order in which those were taken); 1 if there are none."""
+    rows = valid(rows)
+    vectors = scratch.table(distinct_vectors(rows, k + 1), "recall_vectors")
+    order = _queries(rows.where(F.col("vec_id") % every == 0), scratch).orderBy(F.xxhash64("query_id"), "vector")
+    aside = order.offset(TRIAL_QUERIES).limit(queries).toPandas()
+    if not len(aside):
+        return 1.0
+    true = set(map(tuple, _exhaustive(aside, vectors, k)[["query_id", "vec_id"]].to_numpy().tolist()))
+    wanted = F.col("query_id").isin([int(x) for x in aside["query_id"]])
+    got = {(r["query_id"], r["vec_id"]) for r in found.where(wanted).select("query_id", "vec_id").toLocalIterator()}
+    return len(true & got) / max(1, len(true))
