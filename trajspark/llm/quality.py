@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
 Each rule is a Boolean column over features of a text. On a sample of rows every rule is timed and its rejections
-counted; rules then run in order of rejections per second, as branches of one CASE, so a later rule is evaluated
-only for rows that every earlier one passed. The order changes the cost and the rule that is named first, never
-which rows are kept.
-
-A null text is empty: it has no words, so the rule on words rejects it. Repeated rows get equal verdicts; other
-columns, also ones named like a feature, pass through untouched.
+counted, over the same ready columns that it reads later; rules then run in order of rejections per second, as
+branches of one CASE, so a later rule is evaluated only for rows that every earlier one passed. The order changes the
+cost and the rule that is named first, never which rows are kept.
+
+A null text is empty: it has no words, so the rule on words rejects it. Very long texts are measured whole, in one
+row. Equal texts, and so repeated rows, get equal verdicts; a measure that just meets a limit passes. Rules of equal
+worth keep the order in which they are given; of an empty table all do, and no row comes out. Other columns, also
+ones named like a feature, pass through untouched.
 """
 
 from __future__ import annotations
@@ -129,22 +131,24 @@ RULES = BASE_RULES | {
 }
 
 
-def plan(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on a sample of about `sample_rows` rows."""
-    spark = docs.sparkSession
+def plan(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_ROWS, prepare=with_words) -> list[str]:
+    """Rule names by rejections per second on a sample of about `sample_rows` rows.
+
+    The sample is written with the columns that `prepare` adds, so a rule's time is what it costs beyond those.
+    """
     total = docs.count()
     if not total:
         return list(rules)
     share = min(1.0, sample_rows / total)
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     few = docs.select("text") if share == 1 else docs.select("text").sample(fraction=share, seed=1)
-    sample = with_words(scratch.table(few, "quality_sample"))
+    sample = scratch.table(prepare(few), "quality_sample")
     seconds, hits = {}, {}
     for name, rule in ({"": lambda: F.lit(False)} | rules).items():
         began = time.perf_counter()
         hits[name] = sample.agg(F.count_if(rule())).head()[0]
         seconds[name] = time.perf_counter() - began
-    scratch.drop("quality_sample")
+    scratch.drop("")
     cost = {name: max(seconds[name] - seconds[""], 1e-3) for name in rules}
     return sorted(rules, key=lambda name: -(hits[name] + 0.5) / cost[name])
 
@@ -173,24 +177,29 @@ def keep(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     return rows.drop(*[_P + name for name in ("text", "words", "failed", "row")])
 
 
-def report(docs: DataFrame, rules: dict = RULES) -> DataFrame:
+#: The measures that `report` returns, and the rules as they read them there.
+MEASURES = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+MEASURED_RULES = RULES | {
+    "few_words": lambda: F.col("n_words") < 20,
+    "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
+    "symbols": lambda: 10 * F.col("n_symbols") > 3 * F.col("n_words"),
+    "duplicate_lines": lambda: 10 * F.col("n_dup_lines") > 3 * F.size(lines()),
+    "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 25 * F.col("n_words")),
+}
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    return with_words(docs).withColumns({k: f() for k, f in MEASURES.items()})
+
+
+def report(docs: DataFrame) -> DataFrame:
     """doc_id, the measures of every text, base_failed, and kept by the cascade.
 
-    The base rules' measures are asked for of every row, so they are computed once and the cascade reads them.
+    The measures are asked for of every row, so they are computed once. The rules of the cascade read them; their
+    costs are taken with the measures ready, so rules that only compare come before those with work of their own.
     """
-    names = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols}
-    names |= {"n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
-    order = plan(docs, rules)
-    rows = with_words(docs.select("doc_id", "text")).withColumns({k: f() for k, f in names.items()})
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    known = {
-        "few_words": lambda: F.col("n_words") < 20,
-        "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
-        "symbols": lambda: 10 * F.col("n_symbols") > 3 * F.col("n_words"),
-        "duplicate_lines": lambda: 10 * F.col("n_dup_lines") > 3 * F.size(lines()),
-        "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 25 * F.col("n_words")),
-    }
-    ready = {name: known.get(name, rule) if rules is RULES else rule for name, rule in rules.items()}
-    rows = rows.withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & cascade(ready, order).isNull()
-    return rows.withColumn("kept", kept).select("doc_id", *names, "base_failed", "kept")
+    order = plan(docs, MEASURED_RULES, prepare=measured)
+    failed = MEASURED_RULES["few_words"]() | MEASURED_RULES["repeated_windows"]()
+    rows = measured(docs.select("doc_id", "text")).withColumn("base_failed", failed)
+    kept = ~F.col("base_failed") & cascade(MEASURED_RULES, order).isNull()
+    return rows.withColumn("kept", kept).select("doc_id", *MEASURES, "base_failed", "kept")
