@@ -4,7 +4,9 @@ Texts over LONG characters are cut where the split expression always starts a ne
 follows a character that isn't white space, and before the last character of a run of white space that text
 follows. Pieces are then encoded one after the other; ids are those of the whole text.
 
-Null texts are empty: no ids, no bytes. Other columns are ignored; repeated rows give repeated results.
+Null and empty texts have no ids and no bytes; special tokens that stand in a text are text. A long text without any
+white space is encoded in one call. Merges of equal rank are taken from the left, as the library does. Repeated rows
+give repeated results, an empty table none. Other columns are ignored.
 """
 
 from __future__ import annotations
