@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -63,7 +64,6 @@ def encoded(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -170,12 +170,30 @@ def test_long_chain(spark):
     assert [x.text for x in out[0].t] == [str(i) for i in range(n)]
 
 
+def chat_unescaped(text):
+    return text.replace("~2", "[").replace("~1", "<").replace("~0", "~")
+
+
+def test_a_conversation_of_many_turns_takes_linear_time(spark):
+    n = 60_000
+    rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    began = time.perf_counter()
+    formatted = chat.chains(rows).selectExpr("tree", "1L AS leaf", "1 AS rank", "0.0 AS score", "-node AS above", "role", "text")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chat, "paths", lambda messages, scratch, best: messages)
+        out = Scratch(spark).table(chat.conversations(formatted, None), "long")
+    got = chat.read_back(out).orderBy("turn").select("text", "learned").collect()
+    assert [(r.text, r.learned) for r in got] == [(f"turn {i}", i % 2 == 1) for i in range(n)]
+    assert time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "~0~1~2~", "<|user|>\n<s>", "<<SYS>>", "<", "</s></s>\n", "a|>\nb", "é\U0001f600"])
 def test_escapes_are_reversible(spark, text):
     rows = [(1, 1, None, "us|>er", text, 0.0), (1, 2, 1, "assistant", text, 0.0)]
     out = chat.conversations(messages(spark, rows), Scratch(spark))
-    r = out.select("formatted", chat.turns(F.col("formatted")).alias("t"), chat.learned(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
-    assert [tuple(x) for x in r.t] == [("us|>er", text), ("assistant", text)] and r.l == text
+    r = out.first()
+    assert [(x.role, x.text, x.learned) for x in chat.read_back(out).orderBy("turn").collect()] == [("us|>er", text, False), ("assistant", text, True)]
+    assert [chat_unescaped(r.formatted[s.start : s.start + s.length]) for s in r.loss_spans] == [text]
     assert r.formatted.count("</s>") == 2 and "[INST]" not in r.formatted and r.formatted.count("<|") == 2
 
 
@@ -249,6 +267,29 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     assert packing.cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and packing.cut(20, 10) == [(0, 10), (10, 10)] and packing.cut(3, 10) == [(0, 3)]
 
 
+def test_best_fit_against_a_plain_search():
+    random.seed(12)
+    for size, limit in ((10, 1), (10, 3), (64, 8), (64, 1000)):
+        fast, open_, made = packing.BestFit(size, limit), [], 0  # open_: (bin, free), the last put back at the end
+        for _ in range(600):
+            n = random.choice([random.randint(1, size), random.randint(1, size // 4), size])
+            fits = [(free, -i) for i, (_, free) in enumerate(open_) if free >= n]
+            if n == size:
+                expected, made = (made, 0), made + 1
+            elif fits:
+                free, i = min(fits)
+                bin_, _ = open_.pop(-i)
+                expected = (bin_, size - free)
+                if free > n:
+                    open_.append((bin_, free - n))
+            else:
+                if len(open_) == limit:
+                    open_.pop(-min((free, -i) for i, (_, free) in enumerate(open_))[1])
+                expected, made = (made, 0), made + 1
+                open_.append((expected[0], size - n))
+            assert fast.place(n) == expected
+
+
 # Classifiers
 
 
@@ -334,9 +375,9 @@ def brute_substrings(plain, window):
     return out
 
 
-@pytest.mark.parametrize("window", [8, 20])
-def test_substrings_against_brute_force(spark, docs, plain, window):
-    out = substrings.remove_duplicates(docs, Scratch(spark), window)
+@pytest.mark.parametrize("window,block", [(8, 4096), (20, 4096), (8, 2)])
+def test_substrings_against_brute_force(spark, docs, plain, window, block):
+    out = substrings.remove_duplicates(docs, Scratch(spark), window, block)
     same(out, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute_substrings(plain, window))
     words = {i: WORD.findall(t) for i, t in plain}
     for r in out.where("doc_id > 9 AND n_removed > 0").collect():
@@ -349,8 +390,58 @@ def test_substrings_of_low_variety(spark):
     random.seed(4)
     rows = [(i, " ".join(random.choice("ab") for _ in range(random.randint(0, 60)))) for i in range(40)] + [(99, "a " * 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = substrings.remove_duplicates(df, Scratch(spark), 8)
-    same(out, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute_substrings(rows, 8))
+    for block in (4096, 3):
+        out = substrings.remove_duplicates(df, Scratch(spark), 8, block)
+        same(out, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute_substrings(rows, 8))
+
+
+def test_what_is_removed_comes_from_the_parse(spark, monkeypatch):
+    """Two documents share a passage in different surroundings; without factors nothing of it is found."""
+    random.seed(6)
+    words = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    passage = words(24)
+    df = spark.createDataFrame([(i, f"{words(30)} {passage} {words(30)}") for i in range(2)], "doc_id long, text string")
+    out = substrings.remove_duplicates(df, Scratch(spark), 20).orderBy("doc_id").collect()
+    assert [r.n_removed for r in out] == [0, 24]
+    assert [tuple(f) for f in out[1].factors] == [(30, 24, 0, 30)]
+    anchors_split = len(set(substrings.anchors(shingles.hashed(passage.encode().split()), 20)[1].tolist()))
+    monkeypatch.setattr(substrings, "_factored", lambda blocks, own=substrings._factored: own(blocks).where("false"))
+    left = substrings.remove_duplicates(df, Scratch(spark), 20).agg(F.sum("n_removed")).first()[0]
+    assert left < 24 and anchors_split >= 1
+
+
+def test_longest_matches_against_brute_force():
+    random_ = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(random_.integers(1, 9))
+        sizes, block = random_.integers(1, 8, n), np.sort(random_.integers(0, 3, n))
+        texts = [random_.integers(0, 3, k) for k in sizes]
+        first = random_.permutation(n) * 100
+        length, source = substrings.longest_matches(block, sizes, np.concatenate(texts), first)
+        at = 0
+        for i in range(n):
+            for k in range(sizes[i]):
+                best = (0, 0)
+                for j in range(n):
+                    for m in range(sizes[j]):
+                        place = int(first[j]) + m
+                        if block[j] == block[i] and place < first[i] + k:
+                            same_ = 0
+                            while k + same_ < sizes[i] and m + same_ < sizes[j] and texts[i][k + same_] == texts[j][m + same_]:
+                                same_ += 1
+                            if same_ and (same_, -place) > (best[0], -best[1] if best[0] else -(10**9)):
+                                best = (same_, place)
+                assert (int(length[at]), int(source[at])) == best
+                at += 1
+
+
+def test_a_factor_goes_on_over_segments():
+    import pyarrow as pa
+
+    spans = pa.array([dict(start=40, windows=3, ref_doc=None, ref_start=7), dict(start=0, windows=4, ref_doc=1, ref_start=10), dict(start=4, windows=6, ref_doc=1, ref_start=14)])
+    factors = substrings._joined(spans, 5)
+    assert [tuple(f.values()) for f in factors] == [(0, 14, 1, 10), (40, 7, None, 7)]
+    assert np.flatnonzero(substrings.covered(50, factors)).tolist() == [*range(14), *range(40, 47)]
 
 
 def test_substrings_of_nothing(spark, empty):
@@ -476,6 +567,41 @@ def test_neighbours_of_a_small_table_are_exact(spark):
         assert all(abs(r.score + s) < 1e-9 for r, (s, _) in zip(own, sorted(near), strict=False))
 
 
+def clustered(n, width=16, size=50):
+    """n vectors in n / size clusters around random centres."""
+    random_ = np.random.default_rng(n)
+    centres = random_.normal(size=(n // size, width))
+    return np.repeat(centres, size, 0) + 0.05 * random_.normal(size=(n // size * size, width))
+
+
+def test_many_blocks_find_what_was_not_fitted_and_the_work_grows_with_the_rows(spark):
+    asked = {}
+    for n in (5000, 20000):
+        x = clustered(n)
+        order = np.random.default_rng(1).permutation(len(x))
+        df = spark.createDataFrame([(i, x[j].tolist()) for i, j in enumerate(order)], "vec_id long, embedding array<double>").repartition(4)
+        scratch = Scratch(spark)
+        found = scratch.table(neighbours.search(df, 20, 5, scratch, block=64), "found")
+        assert neighbours.recall(found, df, 20, 5, scratch) >= 0.9
+        rows = spark.read.parquet(f"{scratch.at}/asked")
+        asked[n] = 64 * rows.count() / (n // 20)  # vectors that a query is compared with
+    assert asked[20000] < 2 * asked[5000] and asked[20000] < 20000 / 4
+
+
+def test_vectors_of_extreme_size(spark):
+    random_ = np.random.default_rng(3)
+    x = random_.normal(size=(60, 6))
+    size = np.array([1.0, 1e200, 1e-200, 1e300, 1e-300, 2.0])[np.arange(60) % 6]
+    df = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, size, strict=True))], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, 50, 5, Scratch(spark)).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 50):
+        order = [i for i in np.argsort(-(unit @ unit[q])).tolist() if i != q][:5]
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in own] == order
+        assert all(abs(r.score - float(unit[q] @ unit[r.vec_id])) < 1e-12 for r in own)
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, 50, 5, Scratch(spark)).collect()] == [(0, 1, 1)]

@@ -6,7 +6,9 @@ chosen branches. Leaves are ranked by score in their tree; each chosen root-to-l
 
 A message without a parent, or whose parent isn't there, is a root. Messages on a circle of parents hang from no
 root and are on no path. Null texts, roles and scores are empty, empty and 0. Repeated message ids of one tree are
-one message (the smallest by role, text and score counts). Other columns are ignored.
+one message (the smallest by role, text and score counts). Branches of equal score are ranked by their leaf's id. Very
+long texts and conversations are formatted whole, in time linear in their length; a path is one row. No messages give
+no conversations. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,47 +142,28 @@ def paths(messages: DataFrame, scratch: Scratch, best: int | None = None) -> Dat
 
 def conversations(messages: DataFrame, scratch: Scratch, best: int | None = None, learn: str = "assistant") -> DataFrame:
     """tree, leaf, rank, score, formatted, and loss_spans (start and length in code points of what is learned)."""
-    turn = F.struct((-F.col("above")).alias("at"), "role", "text")
-    rows = paths(messages, scratch, best).groupBy("tree", "leaf", "rank", "score")
-    rows = rows.agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    parts = F.transform(
-        "turns",
-        lambda t: F.struct(
-            F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(SHUT)).alias("head"),
-            escape(t["text"]).alias("body"),
-            (t["role"] == learn).alias("learn"),
-        ),
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(SHUT))
+    rows = paths(messages, scratch, best).withColumns({"head": head, "body": escape(F.col("text"))})
+    size = F.length("head").cast("long") + F.length("body") + len(END)
+    before = Window.partitionBy("tree", "leaf").orderBy(F.col("above").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
+    span = F.struct((F.col("at") + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"))
+    turn = F.struct(
+        (-F.col("above")).alias("order"), F.concat("head", "body", F.lit(END)).alias("piece"), F.when(F.col("role") == learn, span).alias("span")
     )
-    rows = rows.withColumn("parts", parts)
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    spans = F.aggregate(
-        "parts",
-        start,
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-            F.when(
-                p["learn"],
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(p["head"])).alias("start"),
-                            F.length(p["body"]).cast("long").alias("length"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
+    rows = rows.groupBy("tree", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return rows.select(
+        "tree",
+        "leaf",
+        "rank",
+        "score",
+        F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
+        F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
     )
-    return rows.select("tree", "leaf", "rank", "score", whole.alias("formatted"), spans.alias("loss_spans"))
 
 
 def turns(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array<struct<role, text>>."""
+    """The turns of a formatted conversation: array<struct<role, text, head (code points before the text), size>>."""
     pieces = F.split(formatted, END)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
     return F.transform(
@@ -188,11 +171,30 @@ def turns(formatted: Column) -> Column:
         lambda p: F.struct(
             unescape_role(F.substring_index(F.substring(p, len(OPEN) + 1, 1 << 30), SHUT, 1)).alias("role"),
             unescape(F.substring(p, F.instr(p, SHUT) + len(SHUT), F.lit(1 << 30))).alias("text"),
+            (F.instr(p, SHUT) + len(SHUT) - 1).alias("head"),
+            F.length(p).alias("size"),
         ),
     )
 
 
-def learned(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    own = F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return F.array_join(own, "")
+def read_back(formatted: DataFrame) -> DataFrame:
+    """tree, leaf, turn (from 0), role, text, learned (whether the text is a span of the loss mask), and for checks
+    n_spans and formatted_chars of the conversation.
+
+    A turn's place is a running sum over the turns before it, and it meets the mask's spans there.
+    """
+    rows = formatted.select(
+        "tree",
+        "leaf",
+        F.size("loss_spans").alias("n_spans"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.posexplode(turns(F.col("formatted"))).alias("turn", "t"),
+    )
+    before = Window.partitionBy("tree", "leaf").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("t.size").cast("long") + len(END)).over(before), F.lit(0)) + F.col("t.head")
+    rows = rows.withColumns({"at": start, "chars": (F.col("t.size") - F.col("t.head")).cast("long")})
+    spans = formatted.select(F.col("tree").alias("own_tree"), F.col("leaf").alias("own_leaf"), F.explode("loss_spans").alias("s"))
+    same = F.col("tree").eqNullSafe(F.col("own_tree")) & F.col("leaf").eqNullSafe(F.col("own_leaf"))
+    rows = rows.join(spans, same & (F.col("at") == F.col("s.start")) & (F.col("chars") == F.col("s.length")), "left")
+    learned = F.col("s").isNotNull().alias("learned")
+    return rows.select("tree", "leaf", "turn", "t.role", "t.text", learned, "n_spans", "formatted_chars")

@@ -38,17 +38,25 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "'</s>[INST] ok [/INST]'"
     extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) t(conv_id, turn, role, text)")
     scratch = Scratch(spark)
-    written = scratch.table(chat.conversations(chat.chains(rows.union(extra)), scratch), "formatted")
-    formatted, spans = F.col("formatted"), F.col("loss_spans")
-    digest = F.array_join(F.transform(chat.turns(formatted), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = chat.learned(formatted, spans)
-    return written.select(
+    written = scratch.finish(chat.conversations(chat.chains(rows.union(extra)), scratch), "formatted")
+    own = F.struct("turn", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("said"), F.when(F.col("learned"), F.col("text")).alias("learned"))
+    read = chat.read_back(written).groupBy("tree", "leaf").agg(
+        F.sort_array(F.collect_list(own)).alias("turns"),
+        F.count_if("learned").alias("n_learned"),
+        F.first("n_spans").alias("n_spans"),
+        F.first("formatted_chars").alias("formatted_chars"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: t["said"]), "")
+    learned = F.array_join(F.transform("turns", lambda t: t["learned"]), "")  # nulls are left out
+    lost = F.raise_error(F.lit("a span of the loss mask is no turn's text")).cast("string")
+    read = read.withColumn("learned", F.when(F.col("n_learned") == F.col("n_spans"), learned).otherwise(lost))
+    return read.select(
         F.col("tree").alias("conv_id"),
-        F.size(chat.turns(formatted)).cast("long").alias("n_turns"),
-        F.sha2(digest, 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned, 256).alias("loss_sha256"),
-        F.length(formatted).cast("long").alias("formatted_chars"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
     )
 
 
@@ -75,8 +83,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.remove_duplicates(documents(spark, sf_dir), Scratch(spark), window=20)
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    scratch = Scratch(spark)
+    out = substrings.remove_duplicates(documents(spark, sf_dir), scratch, window=20)
+    return scratch.finish(out.select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +95,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ann_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5, scratch=Scratch(spark))
+    scratch = Scratch(spark)
+    return scratch.finish(neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5, scratch=scratch))
 
 
 def op10_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates.near_duplicates(documents(spark, sf_dir), Scratch(spark), size=3, percent=85)
-    return out.drop("tie")
+    scratch = Scratch(spark)
+    return scratch.finish(near_duplicates.near_duplicates(documents(spark, sf_dir), scratch, size=3, percent=85).drop("tie"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -133,9 +143,10 @@ FROM f
 
 
 def _escaped(text: str) -> str:
-    for plain, written in chat.ESCAPES:
-        text = f"replace({text}, '{plain}', '{written}')"
-    return text
+    """What a text becomes, written out for this engine."""
+    text = f"replace(replace({text}, '~', '~0'), '<|', '~1|')"
+    text = f"replace(replace({text}, '</s>', '~1/s>'), '<s>', '~1s>')"
+    return f"replace(replace(replace({text}, '<<', '~1~1'), '[INST]', '~2INST]'), '[/INST]', '~2/INST]')"
 
 
 OP3_SQL = f"""
@@ -151,4 +162,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-SQL = {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL}
+#: A word is covered if a window that starts at it or up to 19 words before it also starts earlier.
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+p AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS w,
+             unnest(list_transform(generate_series(1, len(ws)), lambda k: CASE WHEN k + 19 <= len(ws) THEN md5(array_to_string(ws[k:k + 19], ' ')) END)) AS g FROM d),
+h AS (SELECT *, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM p),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM h),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+#: All pairs that share a shingle, whole intersections, and the smallest id reachable over links.
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(generate_series(1, len(ws) - 2), lambda k: array_to_string(ws[k:k + 2], ' '))
+                                     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2) p
+                   JOIN n u ON u.doc_id = p.a JOIN n v ON v.doc_id = p.b WHERE 100 * c >= 85 * (u.n + v.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, reached) AS (SELECT a, a FROM both_ways UNION SELECT e.b, reach.reached FROM reach JOIN both_ways e ON e.a = reach.doc_id AND reach.reached < e.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.low, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS low FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
+
+SQL = {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op10_minhash_circulant": OP10_SQL}
