@@ -1,6 +1,12 @@
 """A corpus from raw documents: quality rules, toxicity, near-duplicates, repeated passages, packing.
 
 Each stage takes all that the one before kept; all but the last return the columns of documents.
+
+Null and empty texts have no words, so the first stage rejects them; what a later stage would do with them its
+operator's docstring says. Very long texts go through whole. Rows are told apart by doc_id and text: repeated rows are
+one document from the third stage on, different texts of one doc_id or of a null one stay apart. An empty table gives
+empty tables. Other columns pass through all stages but the last, also where their names clash with those of an
+operator.
 """
 
 from __future__ import annotations
@@ -35,16 +41,19 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, of repeated rows too."""
-    found = near_duplicates.near_duplicates(docs, Scratch(spark), size=5, percent=80)
-    stay = found.where("kept").select("doc_id", "tie").distinct()
+    scratch = Scratch(spark)
+    found = near_duplicates.near_duplicates(docs, scratch, size=5, percent=80)
+    stay = scratch.finish(found.where("kept").select("doc_id", "tie").distinct(), "stay")
     tied = _tied(docs)
     return tied.join(stay, _same(tied, stay), "left_semi").dropDuplicates(["doc_id", _TIE]).drop(_TIE)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose passages that stand earlier; n_chars follows them. No document goes."""
-    found = substrings.remove_duplicates(docs, Scratch(spark), window=20)
+    scratch = Scratch(spark)
+    found = substrings.remove_duplicates(docs, scratch, window=20)
     lost = found.where(F.col("kept").isNotNull()).select("doc_id", "tie", "kept").dropDuplicates(["doc_id", "tie"])
+    lost = scratch.finish(lost, "lost")
     tied = _tied(docs)
     rows = tied.join(lost, _same(tied, lost), "left").withColumn("_pipeline_text", F.coalesce(lost["kept"], tied["text"]))
     changed = {"text": F.col("_pipeline_text"), "n_chars": F.when(lost["kept"].isNull(), tied["n_chars"]).otherwise(F.length(lost["kept"]))}
