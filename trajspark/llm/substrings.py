@@ -45,7 +45,7 @@ from .shingles import hashed, in_chunks, mixed, rolling, words_of
 GRAM = 5
 
 #: Segments of one block that are factored together, about, and rows that a task takes up at a time.
-BLOCK, ROWS = 4096, 16384
+BLOCK, ROWS = 1024, 16384
 
 
 def anchors(hashes: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
