@@ -186,16 +186,23 @@ def _other_stars(rest: DataFrame, turn: int, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
+def _chunked(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Buckets cut into chunks of about CHUNK shingles; a row comes once for each pair of chunks (low, high) that it
+    is in. Keys and sizes only, written before whole sets are joined to them."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    sizes = scratch.table(sizes, "sizes")  # written, so that Spark can split the rows of a frequent key
+    rows = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    return scratch.table(rows.drop("chunks", "other"), "chunks")
+
+
 def _rest_links(rows: DataFrame, percent: int) -> DataFrame:
     """Verified pairs (a, b) of a bucket's nodes from different components; only links leave the comparison.
 
     A pair is looked at in the first bucket that it shares, if sizes, reach and signatures leave a link possible.
-    Buckets are cut into chunks of about CHUNK shingles, and every two chunks meet once.
+    Every two chunks of a bucket meet once.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         key, low, high = frame["key"].iat[0], frame["low"].iat[0], frame["high"].iat[0]
@@ -269,12 +276,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
         if turn < TURNS:
             more = _verified(_other_stars(own, turn, percent), sets, percent)
         else:
-            more = _rest_links(own.join(nodes.select("node", "signature", "bands"), "node").join(sets, "node"), percent)
+            chunks = _chunked(own, scratch)
+            more = _rest_links(chunks.join(nodes.select("node", "signature", "bands"), "node").join(sets, "node"), percent)
         more = scratch.table(more, f"links_{turn}")
         if not more.isEmpty():
             roots = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
             joined = scratch.table(components(roots.union(more), scratch, f"again_{turn}"), f"joined_{turn}")
-    scratch.drop("sets", "members", "unsettled", "reach", "open", "star_links", *[f"rest_{i}" for i in range(TURNS + 1)])
+    scratch.drop("sets", "members", "unsettled", "reach", "open", "star_links", "sizes", "chunks", *[f"rest_{i}" for i in range(TURNS + 1)])
 
     placed = nodes.select("node", "doc_id").join(joined, "node", "left")
     placed = placed.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
