@@ -9,28 +9,30 @@ from pyspark.sql import functions as F
 def range_lookup(points: DataFrame, at: str, ranges: DataFrame, width: int) -> DataFrame:
     """points with the first range [start, end] (by `file`) that holds `at`; null if none does.
 
-    Both sides meet on cells of `width`: a range has a row for every cell that it touches, so no nested loop is
-    needed however many ranges there are.
+    Both sides meet on cells of `width` ids: the ranges that touch a cell are one array, so every point is moved once
+    and meets one row. `width` of about a range's length keeps both the cells of a range and the ranges of a cell few.
     """
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    rows = points.withColumns({"_cell": F.floor(F.col(at) / width), "_row": F.monotonically_increasing_id()})
-    hit = (F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))
-    found = rows.join(cells, "_cell", "left").withColumn("_file", F.when(hit, F.col("file")))
-    keep = [F.first(c).alias(c) for c in points.columns]
-    return found.groupBy("_row").agg(*keep, F.min("_file").alias("file")).drop("_row")
+    touched = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
+    cells = ranges.withColumn("_cell", F.explode(touched)).groupBy("_cell")
+    cells = cells.agg(F.collect_list(F.struct("file", "start", "end")).alias("_ranges"))
+    found = points.withColumn("_cell", F.floor(F.col(at) / width)).join(cells, "_cell", "left")
+    hits = F.filter("_ranges", lambda r: (F.col(at) >= r["start"]) & (F.col(at) <= r["end"]))
+    return found.select(*points.columns, F.array_min(F.transform(hits, lambda r: r["file"])).alias("file"))
 
 
 def nearest(queries: DataFrame, times: DataFrame, by: str, at: str, tolerance: float) -> DataFrame:
     """queries with the distance to the nearest time of their group, and whether it is within the tolerance.
 
-    Both tables are one ordered sequence; each query looks at the last time before and the first after it.
+    Both tables are one sequence, passed once upwards for the last time before each query and once downwards for the
+    first one after it; either pass keeps one value, so time grows with the rows of a group.
     """
     q = queries.select("*", F.lit(False).alias("_is"), F.lit(None).cast("double").alias("_t"))
     t = times.select(by, F.col(at), F.lit(True).alias("_is"), F.col(at).cast("double").alias("_t"))
     both = q.unionByName(t, allowMissingColumns=True)
-    order = Window.partitionBy(by).orderBy(F.col(at))
-    before = F.last("_t", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_t", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    upto = lambda order: F.last("_t", ignorenulls=True).over(
+        Window.partitionBy(by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    before, after = upto(F.col(at).asc()), upto(F.col(at).desc())
     gap = F.least(F.abs(F.col(at) - before), F.abs(after - F.col(at)))
     out = both.withColumn("gap", gap).where(~F.col("_is")).drop("_is", "_t")
     return out.withColumn("valid", F.coalesce(F.col("gap") <= tolerance, F.lit(False)))
@@ -89,3 +91,40 @@ def greedy_boxes(boxes: DataFrame, by: str, overlap: float = 0.35) -> DataFrame:
     )
     rows = boxes.groupBy(by).agg(order.alias("all")).withColumn("kept", kept)
     return rows.select(by, F.explode("kept").alias("b")).select(by, "b.id", "b.x", "b.y", "b.w", "b.h")
+
+
+def overlapping_boxes(boxes: DataFrame, by: str, overlap: float = 0.35, cell: float = 50.0) -> DataFrame:
+    """Pairs (id < other) of a group's boxes (id, x, y, w, h) that overlap by `overlap` at least, with their iou.
+
+    Boxes meet on the grid cells that they touch, and a pair counts in the cell of its common corner, so boxes that
+    are apart never meet.
+    """
+    from ..functions.values import iou
+
+    cells = lambda low, size: F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(low) + F.col(size)) / cell))
+    rows = boxes.select(by, "id", *"xywh").withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
+    other = rows.select(by, "cx", "cy", *[F.col(c).alias(f"o{c}") for c in ("id", *"xywh")])
+    met = rows.join(other, [by, "cx", "cy"]).where(F.col("id") < F.col("oid"))
+    first = (F.col("cx") == F.floor(F.greatest("x", "ox") / cell)) & (F.col("cy") == F.floor(F.greatest("y", "oy") / cell))
+    value = iou(tuple(map(F.col, "xywh")), tuple(F.col(f"o{c}") for c in "xywh"))
+    return met.where(first).select(by, "id", F.col("oid").alias("other"), value.alias("iou")).where(F.col("iou") >= overlap)
+
+
+def greedy_centres(shapes: DataFrame, by: str, distance: float) -> DataFrame:
+    """Shapes (id, area, cx, cy) of a frame whose centre is not nearer than `distance` to a larger one that stays."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("a"), "id", "cx", "cy")))
+    near = lambda k, s: F.hypot(k["cx"] - s["cx"], k["cy"] - s["cy"]) < distance
+    add = lambda out, s: F.when(F.exists(out, lambda k: near(k, s)), out).otherwise(F.concat(out, F.array(s)))
+    rows = shapes.groupBy(by).agg(order.alias("all"))
+    rows = rows.select(by, F.explode(F.aggregate("all", F.slice(F.col("all"), 1, 0), add)).alias("s"))
+    return rows.select(by, "s.id", (-F.col("s.a")).alias("area"), "s.cx", "s.cy")
+
+
+def by_file(rows: DataFrame, files: DataFrame, value: str) -> DataFrame:
+    """rows (key, chunk, file, ..) with a value of their file from a dictionary (key, chunk, file, value); a file that
+    isn't in it raises."""
+    at = ["key", "chunk", "file"]
+    joined = rows.join(files.select(*at, F.col(value).alias(value), F.lit(True).alias("_hit")), at, "left")
+    name = F.concat_ws("/", F.col("key"), F.col("chunk").cast("string"), F.col("file").cast("string"))
+    lost = F.raise_error(F.concat(F.lit("no such file: "), name)).cast(joined.schema[value].dataType)
+    return joined.withColumn(value, F.when(F.col("_hit"), F.col(value)).otherwise(lost)).drop("_hit")

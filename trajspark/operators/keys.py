@@ -19,17 +19,43 @@ def frame_index(order, episode: str = "episode_index") -> Column:
     return F.row_number().over(Window.partitionBy(episode).orderBy(*keys)) - 1
 
 
-def prefixes(df: DataFrame, key: str, weights: dict[str, Column], bucket: int = BUCKET) -> DataFrame:
-    """df with, for each name, the sum of its weight over all rows of smaller integer keys; keys are unique."""
-    names = list(weights)
-    rows = df.withColumns({f"_w{i}": w for i, w in enumerate(weights.values())} | {"_b": F.floor(F.col(key) / bucket)})
-    sums = rows.groupBy("_b").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(names))])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_b", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_base{i}") for i in range(len(names))])
-    inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"_in{i}": F.coalesce(F.sum(f"_w{i}").over(inside), F.lit(0)) for i in range(len(names))})
-    out = rows.join(sums, "_b").withColumns({name: F.col(f"_base{i}") + F.col(f"_in{i}") for i, name in enumerate(names)})
-    return out.drop("_b", *[f"_{part}{i}" for part in ("w", "in", "base") for i in range(len(names))])
+def prefixes(df: DataFrame, key: str, weights: dict[str, Column], bucket: int = BUCKET, levels: int = 2) -> DataFrame:
+    """df with, for each name, the sum of its weight over all rows of smaller integer keys; keys are unique.
+
+    Two levels suit keys that are about dense: the upper one has a row for `bucket` keys. Keys that are spread over a
+    far wider range (hashes, say) fill that many more buckets; each further level divides their number by `bucket`.
+    """
+    names, b = list(weights), f"_b{levels}"
+    rows = df.withColumns({f"_w{levels}{i}": w for i, w in enumerate(weights.values())} | {b: F.floor(F.col(key) / bucket)})
+    sums = rows.groupBy(b).agg(*[F.sum(f"_w{levels}{i}").alias(f"_s{i}") for i in range(len(names))])
+    if levels > 2:
+        sums = prefixes(sums, b, {f"_base{levels}{i}": F.col(f"_s{i}") for i in range(len(names))}, bucket, levels - 1)
+        sums = sums.drop(*[f"_s{i}" for i in range(len(names))])
+    else:
+        before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(b, *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_base{levels}{i}") for i in range(len(names))])
+    inside = Window.partitionBy(b).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_in{levels}{i}": F.coalesce(F.sum(f"_w{levels}{i}").over(inside), F.lit(0)) for i in range(len(names))})
+    out = rows.join(sums, b).withColumns({name: F.col(f"_base{levels}{i}") + F.col(f"_in{levels}{i}") for i, name in enumerate(names)})
+    return out.drop(b, *[f"_{part}{levels}{i}" for part in ("w", "in", "base") for i in range(len(names))])
+
+
+def positions(df: DataFrame, bucket: Column, order: list, into: str, by: list[str] | None = None) -> DataFrame:
+    """df with each row's 0-based place in (bucket, order), over all rows or within each group of `by`.
+
+    `bucket` must grow with `order`. Places are counted inside buckets and over the buckets' sizes, so no task holds
+    more than a bucket, or the sizes of one group's buckets.
+    """
+    by = by or []
+    rows = df.withColumn("_b", bucket)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_b").alias("_of_b"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1)
+    same = F.col("_b") == F.col("_of_b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(sizes, same).select(*df.columns, (F.col("_base") + F.col("_in")).alias(into))
 
 
 def prefix(df: DataFrame, key: str, weight: Column, into: str, bucket: int = BUCKET) -> DataFrame:

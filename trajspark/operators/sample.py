@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import positions
+
 
 def seeded_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
@@ -24,9 +26,13 @@ def choice(key: Column, seed: int, values: list) -> Column:
 
 
 def shuffled(rows: DataFrame, key: str, seed: int, into: str = "position") -> DataFrame:
-    """Keys (one row each: episodes or plan rows, not frames) numbered from 1 in a seeded order."""
-    order = Window.orderBy(seeded_key(F.col(key), seed), key)
-    return rows.withColumn(into, F.row_number().over(order))
+    """Rows numbered from 1 in a seeded order of their keys.
+
+    The order is that of hashes, so their first three digits are 4096 buckets of about equal size; no task sorts more.
+    """
+    hashed = rows.withColumn("_hash", seeded_key(F.col(key), seed))
+    out = positions(hashed, F.substring("_hash", 1, 3), ["_hash", key], into).drop("_hash")
+    return out.withColumn(into, F.col(into) + 1)
 
 
 def fraction(rows: DataFrame, key: str, share: float, seed: int, least: int = 0) -> DataFrame:
@@ -48,3 +54,42 @@ def stride(rn: Column, n: Column, target: int) -> Column:
 def linspace(n: Column, count: int = 5) -> Column:
     """Distinct indices at equal distances from the first to the last of n rows."""
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (n - 1) / (count - 1)).cast("long")))
+
+
+def replacements(rows: DataFrame, names: str, target: str, new: str, pool: list[str], seed: int, key: str) -> DataFrame:
+    """rows with `replacement`: for each name of an array column another one of the pool. The target becomes `new`; the
+    others draw, in a seeded order of the pool, one that no name before them got; if none is left, any but `new`."""
+    first = F.struct(F.array(F.col(new)).alias("used"), F.array().cast("array<string>").alias("out"))
+    everyone = F.array(*map(F.lit, pool))
+
+    def ordered(name: Column) -> Column:
+        own = lambda c: seeded_key(F.concat_ws(":", F.col(key).cast("string"), name, c), seed)
+        return F.transform(F.array_sort(F.transform(everyone, lambda c: F.struct(own(c).alias("k"), c.alias("c")))), lambda s: s["c"])
+
+    def step(state: Column, name: Column) -> Column:
+        free = F.array_except(ordered(name), state["used"])
+        drawn = F.coalesce(F.get(free, F.lit(0)), F.get(F.array_except(ordered(name), F.array(F.col(new))), F.lit(0)))
+        chosen = F.when(name == F.col(target), F.col(new)).otherwise(drawn)
+        return F.struct(F.array_append(state["used"], chosen).alias("used"), F.array_append(state["out"], chosen).alias("out"))
+
+    return rows.withColumn("replacement", F.aggregate(names, first, step, lambda state: state["out"]))
+
+
+def scenes(spark, n: int, names: list[str], places: list[str], seed: int) -> DataFrame:
+    """n scenes of distinct names in seeded places: scene_id, target, position, everyone (in the order of places)."""
+    keyed = lambda c: F.struct(seeded_key(F.concat(F.col("scene_id").cast("string"), F.lit(":"), c), seed).alias("k"), c.alias("c"))
+    order = F.transform(F.slice(F.array_sort(F.transform(F.array(*map(F.lit, names)), keyed)), 1, len(places)), lambda s: s["c"])
+    rows = spark.range(n).select(F.col("id").alias("scene_id")).withColumn("everyone", order)
+    rows = rows.select("scene_id", "everyone", F.posexplode("everyone").alias("at", "target"))
+    return rows.select("scene_id", "target", F.get(F.array(*map(F.lit, places)), F.col("at")).alias("position"), "everyone")
+
+
+def combinations(names: DataFrame, name: str, into: str) -> DataFrame:
+    """All combinations of distinct values, in order, as many as `into` has letters (its columns). The values are a
+    dictionary; they are one array from which later places are listed, so only combinations are made."""
+    rows = names.agg(F.array_sort(F.collect_set(name)).alias("_all"))
+    last = F.lit(0)
+    for c in into:
+        rows = rows.withColumn(f"_{c}", F.explode(F.when(last < F.size("_all"), F.sequence(last + 1, F.size("_all")))))
+        last = F.col(f"_{c}")
+    return rows.select(*[F.get("_all", F.col(f"_{c}") - 1).alias(c) for c in into])

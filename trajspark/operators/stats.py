@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Quantiles of every feature.
@@ -21,13 +21,74 @@ def spread_quantiles(df: DataFrame) -> DataFrame:
 
 
 def scalar_stats(frames: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Statistics by group. With groups (episodes, say, which a recording bounds) one buffer holds the distinct values
+    of a group; over the whole table `ranked_stats` counts ranks instead."""
+    if not by:
+        return ranked_stats(frames.select(F.col(value).cast("double").alias("x")), [])
     return spread_quantiles(frames.groupBy(*by).agg(*measures(F.col(value))))
 
 
 def vector_stats(frames: DataFrame, vector: str, by: list[str]) -> DataFrame:
-    """One row for each dimension of each group."""
+    """One row for each dimension of each group, whose sizes nothing bounds: by ranks."""
     rows = frames.select(*by, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    return spread_quantiles(rows.groupBy(*by, "dim").agg(*measures(F.col("x"))))
+    return ranked_stats(rows, [*by, "dim"])
+
+
+#: Rank error of the sketches that find a quantile's surroundings, as one over this; smaller groups are counted whole.
+ACCURACY = 20_000
+
+
+def ranked_stats(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Exact statistics of x by group without a buffer of its values, whatever the group's size.
+
+    A sketch gives two values that enclose each quantile's rank. Rows below are counted, the few between are counted
+    by value and ranked, and the two values next to the rank are interpolated.
+    """
+    levels, margin = list(QUANTILES.values()), 4 / ACCURACY
+    ends = [min(1.0, max(0.0, q + side)) for q in levels for side in (-margin, margin)]
+    x, n = F.col("x"), F.col("count")
+    basic = {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_pop(x), "count": F.count(x)}
+    sketch = F.percentile_approx("x", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("_ends")
+    whole = rows.groupBy(*by).agg(*[c.alias(k) for k, c in basic.items()], sketch)
+
+    def around(i: int) -> Column:
+        low = F.when(n < ACCURACY, F.col("min")).otherwise(F.col("_ends")[2 * i])
+        high = F.when(n < ACCURACY, F.col("max")).otherwise(F.col("_ends")[2 * i + 1])
+        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
+
+    near = whole.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.array(*map(around, range(len(levels)))).alias("_near"))
+    values = rows.where(x.isNotNull())
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        values = values.join(near, same)
+    else:
+        values = values.crossJoin(F.broadcast(near))  # one row
+    # Below the enclosed values only their number counts: map-side they are one row for each quantile.
+    spread = values.select(*by, "x", F.explode("_near").alias("e")).where("x <= e.high")
+    inside = F.when(F.col("x") >= F.col("e.low"), F.col("x"))
+    counted = spread.groupBy(*by, F.col("e.i").alias("i"), inside.alias("v")).agg(F.count("*").alias("c"))
+    last = F.sum("c").over(Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("last", last).where(F.col("v").isNotNull())
+    sizes = whole.drop("_ends")
+    ranked = ranked.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    joined = sizes.join(ranked, same, "left") if by else sizes.join(ranked, how="left", on=F.lit(True))
+    level = F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1)
+    place = level * (n - 1)
+    at = lambda rank: (F.col("last") - F.col("c") <= rank) & (rank < F.col("last"))
+    joined = joined.withColumn("_place", place)
+    low, high = F.floor("_place"), F.ceil("_place")
+    pick = lambda i, rank: F.max(F.when((F.col("i") == i) & at(rank), F.col("v")))
+    part = lambda i: F.max(F.when(F.col("i") == i, F.col("_place") - F.floor("_place")))
+    out = joined.groupBy(*by, *basic).agg(
+        *[c for i in range(len(levels)) for c in (pick(i, low).alias(f"_l{i}"), pick(i, high).alias(f"_h{i}"), part(i).alias(f"_p{i}"))]
+    )
+    value = lambda i: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_p{i}")
+    return out.select(*by, *basic, *[value(i).alias(name) for i, name in enumerate(QUANTILES)])
 
 
 def as_arrays(stats: DataFrame, by: list[str]) -> DataFrame:

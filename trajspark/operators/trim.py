@@ -123,12 +123,14 @@ def clip_to_limit(frames: DataFrame, limits: DataFrame, tolerance: float = 1e-6,
 
 
 def clip_to_intervals(frames: DataFrame, slices: DataFrame, tolerance: float = 1e-4, time: str = "timestamp", episode: str = "episode_index") -> DataFrame:
-    """Frames whose time falls into every slice of their episode (episode, from_ts, to_ts, low, high)."""
-    rows = frames.join(slices, episode)
-    at = F.col("from_ts") + F.col(time)
-    inside = (at >= F.col("low") - tolerance) & (at <= F.least("high", "to_ts") + tolerance)
-    keys = frames.columns
-    return rows.groupBy(*keys).agg(F.bool_and(inside).alias("inside")).where("inside").select(*keys)
+    """Frames whose time falls into every slice of their episode (episode, from_ts, to_ts, low, high).
+
+    An episode's slices, one a camera, come as one array, so frames are neither multiplied nor grouped: equal frames stay.
+    """
+    own = slices.groupBy(episode).agg(F.collect_list(F.struct("from_ts", "to_ts", "low", "high")).alias("_slices"))
+    at = lambda s: s["from_ts"] + F.col(time)
+    inside = lambda s: (at(s) >= s["low"] - tolerance) & (at(s) <= F.least(s["high"], s["to_ts"]) + tolerance)
+    return frames.join(own, episode).where(F.forall("_slices", inside)).select(*frames.columns)
 
 
 def rebase(frames: DataFrame, tolerance: float = 1e-4, time: str = "timestamp", order="index", episode: str = "episode_index") -> DataFrame:
