@@ -179,3 +179,17 @@ def slug(text: Column) -> Column:
 
 def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+
+
+def replaced_longest_first(text: Column, mapping: dict[str, str]) -> Column:
+    """Each phrase of a mapping replaced, longer phrases before those that they contain, whole words, any case.
+
+    The phrases are marked by number first, so what a replacement brings in is not replaced again.
+    """
+    order = sorted(mapping, key=lambda k: (-len(k), k))
+    for i, phrase in enumerate(order):
+        quoted = "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in phrase)
+        text = F.regexp_replace(text, rf"(?i)\b{quoted}\b", f"\x00{i}\x01")
+    for i, phrase in enumerate(order):
+        text = F.replace(text, F.lit(f"\x00{i}\x01"), F.lit(mapping[phrase]))
+    return text

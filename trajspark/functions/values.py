@@ -79,3 +79,57 @@ def human(n: Column) -> Column:
         .when(n >= 10**3, F.format_string("%.2fK", n / 1e3))
         .otherwise(n.cast("string"))
     )
+
+
+def text_list(value: Column, kind: str, ordered: bool = False) -> Column:
+    """A list of texts from null, one text or an array of them (`kind` is the column's type); sorted if asked for."""
+    empty = F.array().cast("array<string>")
+    own = value.cast("array<string>") if kind.startswith("array") else F.when(value.isNotNull(), F.array(value.cast("string")))
+    out = F.coalesce(own, empty)
+    return F.array_sort(out) if ordered else out
+
+
+def span_text(count: Column) -> Column:
+    """The split of all episodes, as in 0:12."""
+    return F.concat(F.lit("0:"), count.cast("string"))
+
+
+def parse_span(text: Column) -> Column:
+    """struct<low, high> of a split such as 0:12; null if it is none."""
+    part = lambda i: F.regexp_extract(text, r"^\s*(\d+)\s*:\s*(\d+)\s*$", i).try_cast("long")
+    return F.when(part(2).isNotNull(), F.struct(part(1).alias("low"), part(2).alias("high")))
+
+
+def suffixed_keys(values: Column, suffix: str) -> Column:
+    """A map whose keys all end in `suffix`."""
+    return F.transform_keys(values, lambda k, v: F.when(F.endswith(k, F.lit(suffix)), k).otherwise(F.concat(k, F.lit(suffix))))
+
+
+def data_uri_bytes(text: Column) -> Column:
+    """The bytes of base64, with or without a data: head."""
+    return F.unbase64(F.when(F.startswith(text, F.lit("data:")), F.substring_index(text, ",", -1)).otherwise(text))
+
+
+def zipped(names: Column, values: Column) -> Column:
+    """A map of two arrays that must be of one length."""
+    text = F.concat(F.lit("lengths differ: "), F.size(names).cast("string"), F.lit(" and "), F.size(values).cast("string"))
+    return F.when(F.size(names) == F.size(values), F.map_from_arrays(names, values)).otherwise(F.raise_error(text).cast("map<string,double>"))
+
+
+def only_row(nested: Column) -> Column:
+    """The row of an array of one array; others raise."""
+    return F.when(F.size(nested) == 1, nested[0]).otherwise(F.raise_error(F.lit("not one row")).cast("array<double>"))
+
+
+def transposed(nested: Column) -> Column:
+    """Rows of equal length turned into columns."""
+    places = F.sequence(F.lit(0), F.size(nested[0]) - 1)
+    return F.when(F.size(nested) > 0, F.transform(places, lambda i: F.transform(nested, lambda row: F.get(row, i)))).otherwise(nested)
+
+
+def camera_key(names: Column, prefix: str, wanted: str | None = None) -> Column:
+    """The wanted name, which must be there, or the first in order that has the prefix."""
+    own = F.array_sort(F.filter(names, lambda n: F.startswith(n, F.lit(prefix))))
+    if wanted is None:
+        return F.get(own, F.lit(0))
+    return F.when(F.array_contains(names, wanted), F.lit(wanted)).otherwise(F.raise_error(F.lit(f"no such key: {wanted}")).cast("string"))

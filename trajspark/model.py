@@ -21,10 +21,13 @@ class TrajectoryDataset:
         return TrajectoryDataset(self.frames, self.episodes, self.tasks, {k: v for k, v in self.info.items() if not k.startswith("total_")})
 
     def totals(self) -> dict:
-        """The header with totals counted from the tables."""
+        """The header with totals counted from the tables: also videos (an episode and camera each) and chunks."""
         episodes, frames = self.episodes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         tasks = self.tasks.count()
-        own = {"total_episodes": episodes, "total_frames": int(frames), "total_tasks": tasks, "splits": {"train": f"0:{episodes}"}}
+        cameras = len(video_keys(self.episodes.columns))
+        chunks = max(1, -(-episodes // int(self.info.get("chunks_size", 1000))))
+        own = {"total_episodes": episodes, "total_frames": int(frames), "total_tasks": tasks, "total_videos": episodes * cameras, "total_chunks": chunks}
+        own["splits"] = {"train": f"0:{episodes}"}
         return self.info | own
 
 
@@ -88,3 +91,25 @@ def harmonised_stats(episodes: DataFrame) -> DataFrame:
             values = own.cast("array<double>") if isinstance(f.dataType, T.ArrayType) else F.array(own.cast("double"))
             out[f.name] = F.transform(values, lambda x: F.when(~F.isnan(x), x))
     return episodes.withColumns(out) if out else episodes
+
+
+def features_of(info: dict, *kinds: str, but: tuple[str, ...] = ()) -> list[str]:
+    """Names of a header's features of the given dtypes (any if none are given), without those of `but`, in order."""
+    own = {k: v.get("dtype") for k, v in info.get("features", {}).items()}
+    return [k for k, kind in own.items() if (not kinds or kind in kinds) and kind not in but]
+
+
+def is_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.StringType)
+
+
+def without_nulls(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose named columns (all if none are given) have values."""
+    return df.dropna(subset=list(columns) or None)
+
+
+def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in an order that must decide: for reports and samples."""
+    if not order:
+        raise ValueError("say in what order")
+    return df.orderBy(*order).limit(n)

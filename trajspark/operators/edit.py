@@ -51,22 +51,30 @@ def merge(sources: list[TrajectoryDataset]) -> TrajectoryDataset:
     headers = {(s.info.get("fps"), s.info.get("robot_type")) for s in sources}
     if len(headers) > 1:
         raise ValueError(f"headers differ: {sorted(map(str, headers))}")
-    tasks = _tagged([s.tasks for s in sources])
+    out = merge_tagged(
+        _tagged([s.frames for s in sources]), _tagged([s.episodes for s in sources]), _tagged([s.tasks for s in sources]), dict(sources[0].info)
+    )
+    names = sources[0].frames.columns
+    return TrajectoryDataset(out.frames.select(*[f"`{c}`" for c in names]), out.episodes, out.tasks, out.info)
+
+
+def merge_tagged(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, info: dict) -> TrajectoryDataset:
+    """Datasets that lie in common tables with a number `source`, as one. Their own ids need not be dense."""
     dictionary = first_seen(tasks, "task", ["source", "task_index"], "new_task").withColumnRenamed("new_task", "_new")
     remap = tasks.join(dictionary, "task").select("source", "task_index", "_new")
-    episodes = _tagged([s.episodes for s in sources])
     keys = _rekey(episodes)
-    frames = _tagged([s.frames for s in sources]).join(remap, ["source", "task_index"], "left")
+    names = [c for c in frames.columns if c != "source"]
+    frames = frames.withColumn("index", F.lit(None).cast("long")) if "index" not in names else frames
+    frames = frames.join(remap, ["source", "task_index"], "left")
     frames = frames.join(keys.drop("dataset_to_index"), ["source", "episode_index"])
+    names = names if "index" in names else ["index", *names]
     index = F.col("dataset_from_index") + F.col("frame_index")
     changed = {"index": index, "episode_index": F.col("new_episode"), "task_index": F.col("_new")}
-    names = sources[0].frames.columns
     frames = frames.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in names])
     drop = ["dataset_from_index", "dataset_to_index"]
     episodes = episodes.drop(*drop).join(keys, ["source", "episode_index"]).drop("source", "episode_index")
     episodes = episodes.withColumnRenamed("new_episode", "episode_index")
-    out = TrajectoryDataset(frames, episodes, dictionary.select(F.col("_new").alias("task_index"), "task"), dict(sources[0].info))
-    return out.with_totals()
+    return TrajectoryDataset(frames, episodes, dictionary.select(F.col("_new").alias("task_index"), "task"), info).with_totals()
 
 
 def select(ds: TrajectoryDataset, ids: list[int], keep: bool = True) -> TrajectoryDataset:

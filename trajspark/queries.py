@@ -128,10 +128,22 @@ def parts(spark, sf_dir, n: int = 3) -> list:
     return out
 
 
+def tagged(spark, sf_dir, n: int = 3):
+    """The same datasets in common tables, each read from one pass over the events, merged."""
+    rows = frames(spark, sf_dir).withColumn("source", (F.col("episode_index") % n).cast("int"))
+    first = rows.groupBy("source", "task").agg(F.min("index").alias("_first"))
+    order = Window.partitionBy("source").orderBy("_first")  # a dictionary: a row a prompt
+    tasks = first.select("source", "task", (F.row_number().over(order) - 1).cast("long").alias("task_index"))
+    own = rows.withColumn("frame_index", keys.frame_index("index")).join(F.broadcast(tasks), ["source", "task"])
+    own = own.select("source", "episode_index", "frame_index", "task_index", "value", F.col("index").alias("source_index"))
+    episodes = rows.groupBy("source", "episode_index").agg(F.count("*").alias("length"), F.array_sort(F.collect_set("task")).alias("tasks"))
+    return edit.merge_tagged(own, episodes, tasks, {"fps": 10, "robot_type": "arm"})
+
+
 @query(f"""SELECT idx AS source_index, episode_index, start + rn AS index, rn AS frame_index, task_index, value FROM
 (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY idx) - 1 AS rn FROM ({MERGED})) JOIN ({MERGED_EP}) USING (source, ep) JOIN ({DICTIONARY}) USING (task)""")
 def merge_datasets(spark, sf_dir):
-    out = edit.merge(parts(spark, sf_dir)).frames
+    out = tagged(spark, sf_dir).frames
     return out.select("source_index", "episode_index", "index", F.col("frame_index").cast("long").alias("frame_index"), "task_index", "value")
 
 
@@ -194,10 +206,10 @@ def union_distinct_ordered(spark, sf_dir):
     return keys.first_seen(rows, "task", ["index"], "task_index").join(first, "task").select("task", "first_index", "task_index")
 
 
-@query(f"SELECT DISTINCT ep AS episode_index FROM ({E}) WHERE value > 400 EXCEPT SELECT DISTINCT ep FROM ({E}) WHERE value < 1")
+@query(f"SELECT DISTINCT ep AS episode_index FROM ({E}) WHERE value > 100 EXCEPT SELECT DISTINCT ep FROM ({E}) WHERE value > 450")
 def set_except(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    return rows.where("value > 400").select("episode_index").subtract(rows.where("value < 1").select("episode_index"))
+    return rows.where("value > 100").select("episode_index").subtract(rows.where("value > 450").select("episode_index"))
 
 
 @query(f"SELECT DISTINCT ep AS episode_index FROM ({E}) WHERE value > 300 INTERSECT SELECT DISTINCT ep FROM ({E}) WHERE value < 1")
@@ -241,7 +253,7 @@ def list_replace(spark, sf_dir):
 # Joins
 
 
-@query(f"SELECT e.idx AS index, min(r.file) AS file FROM ({E}) e LEFT JOIN (SELECT range AS file, range * 777 AS start, range * 777 + 799 AS stop FROM range(0, 12)) r ON e.idx BETWEEN r.start AND r.stop GROUP BY 1")
+@query(f"SELECT e.idx AS index, min(r.file) AS file FROM ({E}) e LEFT JOIN (SELECT range AS file, range * 777 AS start, range * 777 + 799 AS stop FROM range(0, (SELECT max(event_id) // 777 + 1 FROM events))) r ON e.idx BETWEEN r.start AND r.stop GROUP BY 1")
 def range_lookup_file(spark, sf_dir):
     points = frames(spark, sf_dir).select("index")
     largest = points.agg(F.coalesce(F.max("index"), F.lit(0)).alias("largest"))
@@ -585,8 +597,9 @@ def contiguous_partition(spark, sf_dir):
 
 @query(f"SELECT ep AS episode_index, idx AS index, list_extract(['a', 'b', 'c', 'd'], ((row_number() OVER (PARTITION BY task ORDER BY idx) - 1) % 4 + 1)::INT) AS variant FROM ({E})")
 def rotating_variants(spark, sf_dir):
-    turn = (F.row_number().over(Window.partitionBy("task").orderBy("index")) - 1) % 4
-    return frames(spark, sf_dir).select("episode_index", "index", F.get(F.array(*map(F.lit, "abcd")), turn).alias("variant"))
+    rows = keys.positions(frames(spark, sf_dir), F.floor(F.col("index") / keys.BUCKET), ["index"], "turn", ["task"])
+    turn = (F.col("turn") % 4).cast("int")
+    return rows.select("episode_index", "index", F.get(F.array(*map(F.lit, "abcd")), turn).alias("variant"))
 
 
 # Sampling
@@ -633,10 +646,7 @@ def interpolate_steps(spark, sf_dir):
 
 @query(f"SELECT a.r_name AS a, b.r_name AS b, c.r_name AS c, d.r_name AS d FROM region a, region b, region c, region d WHERE a.r_name < b.r_name AND b.r_name < c.r_name AND c.r_name < d.r_name")
 def four_combinations(spark, sf_dir):
-    names = table(spark, sf_dir, "region").select("r_name")
-    one = lambda c: names.select(F.col("r_name").alias(c))
-    rows = one("a").join(one("b"), F.col("a") < F.col("b")).join(one("c"), F.col("b") < F.col("c"))
-    return rows.join(one("d"), F.col("c") < F.col("d"))
+    return sample.combinations(table(spark, sf_dir, "region"), "r_name", "abcd")
 
 
 # Text
@@ -766,7 +776,7 @@ def hue_math(spark, sf_dir):
     return r6(rows.withColumn("gap", V.circular_difference(F.col("hue"), F.lit(30.0))), "hue", "gap")
 
 
-_BOX = "SELECT event_id AS id, user_id, (event_id * 37 % 100)::DOUBLE AS x, (event_id * 53 % 100)::DOUBLE AS y, (20 + event_id % 30)::DOUBLE AS w, (20 + event_id % 17)::DOUBLE AS h FROM events WHERE event_id < 2000"
+_BOX = "SELECT event_id AS id, user_id, (event_id * 37 % 100)::DOUBLE AS x, (event_id * 53 % 100)::DOUBLE AS y, (20 + event_id % 30)::DOUBLE AS w, (20 + event_id % 17)::DOUBLE AS h FROM events"
 
 
 def boxes(spark, sf_dir) -> DataFrame:
@@ -776,16 +786,19 @@ def boxes(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH b AS ({_BOX}), p AS (SELECT a.id, b.id AS other, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i,
-a.w * a.h + b.w * b.h AS s FROM b a JOIN b ON a.user_id = b.user_id AND a.id < b.id) SELECT id, other, round(i / (s - i), 6) AS iou FROM p""")
+a.w * a.h + b.w * b.h AS s FROM b a JOIN b ON a.user_id = b.user_id AND a.id < b.id) SELECT id, other, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.35""")
 def iou_pairs(spark, sf_dir):
-    a = boxes(spark, sf_dir)
-    b = a.select("user_id", *[F.col(c).alias(f"o{c}") for c in ("id", "x", "y", "w", "h")])
-    rows = a.join(b, "user_id").where(F.col("id") < F.col("oid"))
-    value = V.iou(tuple(map(F.col, "xywh")), tuple(F.col(f"o{c}") for c in "xywh"))
-    return r6(rows.select("id", F.col("oid").alias("other"), value.alias("iou")), "iou")
+    return r6(joins.overlapping_boxes(boxes(spark, sf_dir), "user_id").select("id", "other", "iou"), "iou")
+
+
+_OVER = "(greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y)))"
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w * h DESC, id) AS r FROM ({_BOX})),
+g(user_id, r, kept) AS (SELECT user_id, r, [{{'id': id, 'x': x, 'y': y, 'w': w, 'h': h}}] FROM b WHERE r = 1 UNION ALL
+SELECT b.user_id, b.r, CASE WHEN len(list_filter(g.kept, lambda k: {_OVER} / (k.w * k.h + b.w * b.h - {_OVER}) >= 0.35)) > 0 THEN g.kept
+ELSE list_append(g.kept, {{'id': b.id, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}}) END FROM g JOIN b ON b.user_id = g.user_id AND b.r = g.r + 1),
+e AS (SELECT user_id, unnest(arg_max(kept, r)) AS k FROM g GROUP BY user_id) SELECT user_id, k.id AS id, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM e""")
 def greedy_box_dedup(spark, sf_dir):
     return joins.greedy_boxes(boxes(spark, sf_dir), "user_id")
 
@@ -817,9 +830,32 @@ def validate_dataset(spark, sf_dir):
     return own.select("conv_id", "n", ((F.col("f0") == 0) & (F.col("f1") == F.col("n") - 1) & (F.col("fn") == F.col("n"))).alias("valid"))
 
 
-@query("SELECT 'x' AS \"check\", 0::BIGINT AS episode_index, '' AS detail WHERE false")
+def damaged(spark, sf_dir):
+    """The merged dataset with faults: no frames in episode 5, every 13th frame of episode 7 without a known prompt, and
+    wrong lengths of every 10th episode."""
+    ds = tagged(spark, sf_dir)
+    unknown = F.when((F.col("episode_index") == 7) & (F.col("frame_index") % 13 == 0), F.lit(99).cast("long")).otherwise(F.col("task_index"))
+    rows = ds.frames.where("episode_index <> 5").withColumn("task_index", unknown)
+    wrong = F.when(F.col("episode_index") % 10 == 0, F.col("length") + 1).otherwise(F.col("length"))
+    return type(ds)(rows, ds.episodes.withColumn("length", wrong), ds.tasks, ds.info)
+
+
+#: What the faults above must show: ids of frames after the missing ones no longer follow each other.
+DAMAGE = f"""WITH e AS (SELECT episode_index, length AS n, start FROM ({MERGED_EP}))
+SELECT 'episode_without_frames' AS "check", episode_index, n::VARCHAR AS detail FROM e WHERE episode_index = 5
+UNION ALL SELECT 'length', episode_index, n::VARCHAR FROM e WHERE episode_index % 10 = 0
+UNION ALL SELECT 'unknown_task', 7, '99' FROM e WHERE episode_index = 7
+UNION ALL SELECT 'frame_ids', episode_index, start::VARCHAR FROM e WHERE episode_index > 5"""
+
+
+@query(DAMAGE)
 def validation_report(spark, sf_dir):
-    return checks.violations(edit.merge(parts(spark, sf_dir)))
+    return checks.violations(damaged(spark, sf_dir))
+
+
+@query("SELECT 'x' AS \"check\", 0::BIGINT AS episode_index, '' AS detail WHERE false")
+def validation_of_merged(spark, sf_dir):
+    return checks.violations(tagged(spark, sf_dir))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct, min(event_id) AS low, max(event_id) AS high, count(*) = count(DISTINCT event_id) AND min(event_id) = 0 AND max(event_id) = count(*) - 1 AS dense FROM events")
@@ -831,12 +867,22 @@ def dense_id_check(spark, sf_dir):
 def stream_task_counts(spark, sf_dir):
     from .streaming import counts
 
-    return counts.run_to_end(counts.task_counts(counts.read_events(spark, sf_dir)), f"stream_task_counts_{abs(hash(sf_dir))}")
+    return counts.run_to_end(counts.task_counts(counts.read_events(spark, sf_dir)))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_moments(spark, sf_dir):
     from .streaming import counts
 
-    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return counts.windowed(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    rows = counts.run_to_end(counts.windowed(counts.read_events(spark, sf_dir)))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, session""")
+def stream_sessions(spark, sf_dir):
+    from .streaming import counts
+
+    rows = counts.run_to_end(counts.sessions(counts.read_events(spark, sf_dir)))
+    return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..model import TrajectoryDataset, normalise_tasks
+from ..functions.values import suffixed_keys
+from ..model import TrajectoryDataset, features_of, harmonised_stats, normalise_tasks, video_keys
 from ..storage import write_text
 
 
@@ -49,14 +50,30 @@ def _parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(path)
 
 
+def read_episodes(spark: SparkSession, root: str, last_wins: bool = False) -> DataFrame:
+    """The episode table of either layout; none at all raises. `last_wins`: of several rows of an id, the one in the
+    last file by name counts (rows of one file: any of them); else all are returned."""
+    if version(spark, root) == "2":
+        rows = spark.read.json(f"{root}/meta/episodes.jsonl")
+    else:
+        if not exists(spark, f"{root}/meta/episodes") or not files(spark, f"{root}/meta/episodes", ".parquet"):
+            raise FileNotFoundError(f"no episodes below {root}/meta/episodes")
+        rows = _parquet(spark, f"{root}/meta/episodes")
+    if not last_wins:
+        return rows
+    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    last = rows.withColumn("_file", F.col("_metadata.file_path")).groupBy("episode_index").agg(F.max_by(every, "_file").alias("_row"))
+    return last.select("_row.*")
+
+
 def read(spark: SparkSession, root: str, columns: list[str] | None = None) -> TrajectoryDataset:
     """A dataset of either layout; `columns` are the frame columns wanted, so that no other is read."""
     info = read_info(spark, root)
     if version(spark, root) == "2":
         tasks = spark.read.json(f"{root}/meta/tasks.jsonl").select("task_index", "task")
-        episodes = spark.read.json(f"{root}/meta/episodes.jsonl")
     else:
-        tasks, episodes = normalise_tasks(spark.read.parquet(f"{root}/meta/tasks.parquet")), _parquet(spark, f"{root}/meta/episodes")
+        tasks = normalise_tasks(spark.read.parquet(f"{root}/meta/tasks.parquet"))
+    episodes = read_episodes(spark, root)
     try:
         frames = _parquet(spark, f"{root}/data")
     except AnalysisException as error:
@@ -66,31 +83,143 @@ def read(spark: SparkSession, root: str, columns: list[str] | None = None) -> Tr
     return TrajectoryDataset(frames, episodes, tasks, info)
 
 
-def write(ds: TrajectoryDataset, root: str, layout: str = "3", overwrite: bool = False, rows_per_file: int | None = None) -> None:
-    """Write a dataset. Frames of an episode stand together; layout 2 has a folder for each episode."""
+def read_episode(spark: SparkSession, root: str, episode: int) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """One episode: its frames (in layout 2 only its file is opened, in layout 3 the filter reaches the scan), its
+    prompts, and the path of each camera's video."""
+    ds = read(spark, root)
+    here = F.col("episode_index") == episode
+    videos = {}
+    if version(spark, root) == "2":
+        chunk = episode // int(ds.info.get("chunks_size", 1000))
+        frames = spark.read.parquet(f"{root}/data/chunk-{chunk:03d}/episode_{episode:06d}.parquet")
+        videos = {k: f"{root}/videos/chunk-{chunk:03d}/{k}/episode_{episode:06d}.mp4" for k in features_of(ds.info, "video")}
+    else:
+        frames = ds.frames.where(here)
+        row = ds.episodes.where(here).select(*[c for c in ds.episodes.columns if c.startswith("videos/")]).first()
+        for key in video_keys(ds.episodes.columns) if row else []:
+            chunk, file = (int(row[f"videos/{key}/{name}_index"]) for name in ("chunk", "file"))
+            videos[key] = f"{root}/videos/{key}/chunk-{chunk:03d}/file-{file:03d}.mp4"
+    return frames.orderBy("frame_index"), ds.episodes.where(here).select(F.explode("tasks").alias("task")), videos
+
+
+def _placed(spark: SparkSession, parts: str, target, wanted: str) -> None:
+    """Move the single data file of every folder below `parts` to target(folder names), and drop `parts`."""
+    at, fs = _path(spark, parts)
+    base = fs.makeQualified(at).toString().rstrip("/") + "/"
+    for file in files(spark, parts, wanted):
+        names = [x.split("=", 1)[-1] for x in file.removeprefix(base).split("/")[:-1]]
+        to, _ = _path(spark, target(names))
+        fs.mkdirs(to.getParent())
+        fs.delete(to, False)
+        if not fs.rename(_path(spark, file)[0], to):
+            raise OSError(f"could not move {file}")
+    fs.delete(at, True)
+
+
+def write_grouped(rows: DataFrame, by: list[str], target, order: list[str], kind: str = "parquet") -> None:
+    """One file for each combination of `by`, whose columns are not written, under the name that target(values) gives.
+
+    Files are written by tasks and moved one by one: their number is the layout's, not the rows'.
+    """
+    spark, wanted = rows.sparkSession, {"parquet": ".parquet", "json": ".json"}[kind]
+    parts = target(["_parts"] * len(by)) + ".parts"
+    spread = rows.repartition(*by).sortWithinPartitions(*by, *order) if by else rows.coalesce(1)
+    writer = spread.write.mode("overwrite").format(kind)
+    (writer.partitionBy(*by) if by else writer).save(parts)
+    _placed(spark, parts, target, wanted)
+    above, fs = _path(spark, parts.rsplit("/", 1)[0])
+    if above.getName() == "_parts":
+        fs.delete(above, True)
+
+
+def write(
+    ds: TrajectoryDataset, root: str, layout: str = "3", overwrite: bool = False, rows_per_file: int | None = None, tasks_layout: str = "A"
+) -> None:
+    """Write a dataset. Frames of an episode stand together; layout 2 has a file for each episode.
+
+    Episode rows go to the files that their meta/episodes columns name, to one if they name none. tasks_layout: "A" has
+    columns task_index and task, "B" keeps prompts as the index column of a data frame.
+    """
     spark = ds.frames.sparkSession
     if exists(spark, root) and not overwrite:
         raise FileExistsError(root)
-    mode = "overwrite"
+    for old in ("data", "meta/episodes", "meta/episodes.jsonl", "meta/tasks.jsonl", "meta/tasks.parquet"):
+        path, fs = _path(spark, f"{root}/{old}")
+        fs.delete(path, True)
     if layout == "2":
         chunk = F.floor(F.col("episode_index") / int(ds.info.get("chunks_size", 1000)))
         parts = ds.frames.withColumns(
-            {"chunk": F.format_string("chunk-%03d", chunk.cast("long")), "episode": F.format_string("episode_%06d", F.col("episode_index").cast("long"))}
+            {"_chunk": F.format_string("chunk-%03d", chunk.cast("long")), "_episode": F.format_string("episode_%06d", F.col("episode_index").cast("long"))}
         )
-        # A file for each episode is what the layout is; the sort lets a task write them one after the other.
-        parts.repartition("episode_index").sortWithinPartitions("episode_index", "frame_index").write.mode(mode).partitionBy("chunk", "episode").parquet(f"{root}/data")
+        write_grouped(parts, ["_chunk", "_episode"], lambda names: f"{root}/data/{names[0]}/{names[1]}.parquet", ["frame_index"])
         write_text(spark, f"{root}/meta/tasks.jsonl", _lines(ds.tasks.orderBy("task_index")))
-        ds.episodes.coalesce(1).write.mode(mode).json(f"{root}/meta/episodes.jsonl")
+        write_grouped(ds.episodes.orderBy("episode_index"), [], lambda names: f"{root}/meta/episodes.jsonl", [], "json")
     else:
-        writer = ds.frames.repartitionByRange("episode_index").sortWithinPartitions("episode_index", "frame_index").write.mode(mode)
+        writer = ds.frames.repartitionByRange("episode_index").sortWithinPartitions("episode_index", "frame_index").write.mode("overwrite")
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
         writer.parquet(f"{root}/data")
-        ds.tasks.select("task_index", "task").coalesce(1).write.mode(mode).parquet(f"{root}/meta/tasks.parquet")
-        ds.episodes.write.mode(mode).parquet(f"{root}/meta/episodes")
+        text = "task" if tasks_layout == "A" else "__index_level_0__"
+        ds.tasks.select("task_index", F.col("task").alias(text)).coalesce(1).write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
+        place = [f"meta/episodes/{x}_index" for x in ("chunk", "file")]
+        rows = harmonised_stats(ds.episodes)
+        for name, column in zip(("_chunk", "_file"), place, strict=True):
+            number = F.col(f"`{column}`").cast("long") if column in rows.columns else F.lit(0).cast("long")
+            rows = rows.withColumn(name, F.format_string(f"{name[1:]}-%03d", number))
+        write_grouped(rows, ["_chunk", "_file"], lambda names: f"{root}/meta/episodes/{names[0]}/{names[1]}.parquet", ["episode_index"])
     write_text(spark, f"{root}/meta/info.json", json.dumps(ds.totals(), indent=2, sort_keys=True))
 
 
+def copy_siblings(spark: SparkSession, source: str, target: str, skip: tuple[str, ...] = ("data/", "meta/episodes", "meta/tasks", "meta/info.json")) -> list[str]:
+    """Copy the files of a dataset that an edit doesn't rewrite; the copied paths, relative to the dataset."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, fs = _path(spark, source)
+    base, done = fs.makeQualified(at).toString().rstrip("/") + "/", []
+    for file in files(spark, source):
+        name = file.removeprefix(base)
+        if not name.startswith(skip):
+            to, other = _path(spark, f"{target}/{name}")
+            other.mkdirs(to.getParent())
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, _path(spark, file)[0], other, to, False, True, conf)
+            done.append(name)
+    return done
+
+
+def write_card(ds: TrajectoryDataset, root: str, title: str, sources: list[str] | None = None) -> None:
+    """A dataset card: a head that tools read, the totals, and where the episodes come from."""
+    info = ds.totals()
+    head = ["---", "task_categories:", "- robotics", "configs:", "- config_name: default", "  data_files: data/*/*.parquet", "---", "", f"# {title}", ""]
+    names = ["total_episodes", "total_frames", "total_tasks", "fps", "robot_type"]
+    facts = [f"| {k} | {info[k]} |" for k in names if k in info]
+    origin = ["", "Sources:", ""] + [f"- {s}" for s in sources] if sources else []
+    write_text(ds.frames.sparkSession, f"{root}/README.md", "\n".join([*head, "| field | value |", "|-|-|", *facts, *origin]) + "\n")
+
+
+def read_image_folder(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "webp")) -> DataFrame:
+    """label and its image paths in order: the label is the folder below `root`, one more level may lie between."""
+    names = "|".join(suffixes)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    base = _path(spark, root)
+    inner = F.substring(F.col("path"), len(base[1].makeQualified(base[0]).toString().rstrip("/")) + 2, 1 << 30)
+    own = rows.where(F.col("path").rlike(rf"(?i)\.({names})$")).withColumn("inner", inner)
+    own = own.where(F.size(F.split("inner", "/")).between(2, 3)).withColumn("label", F.split("inner", "/")[0])
+    return own.groupBy("label").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def read_pose(spark: SparkSession, path: str, suffix: str = ".pos") -> dict[str, float] | None:
+    """A start pose from JSON, {"joint": degrees}, with keys that all end in `suffix`; None if the file isn't there."""
+    if not exists(spark, path):
+        return None
+    rows = spark.createDataFrame([(read_text(spark, path),)], "value string")
+    pose = rows.select(suffixed_keys(F.from_json("value", "map<string, double>"), suffix).alias("pose")).first()["pose"]
+    return pose
+
+
+def write_names(df: DataFrame, path: str) -> None:
+    """A name lookup as tab-separated lines without a head."""
+    df.coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
 def _lines(small: DataFrame) -> str:
     """JSON lines of a table that holds one row a prompt."""
     return "".join(x + "\n" for x in small.toJSON().toLocalIterator())

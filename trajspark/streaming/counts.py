@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +36,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("w.start", "w.end", "user_id", "n")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there into a table in memory: for tests and small reports."""
+def run_to_end(stream: DataFrame, name: str | None = None, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there into a table in memory: for reports, which have a row a group."""
+    name = name or f"stream_{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
     try:
         query.processAllAvailable()
