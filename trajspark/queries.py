@@ -220,7 +220,7 @@ def set_intersect(spark, sf_dir):
 
 # Updates and maps
 
-MAPPING = [("click", "press"), ("view", "look"), ("purchase", "buy"), ("scroll", "roll"), ("login", "enter")]
+MAPPING = [("click", "press"), ("view", "look"), ("purchase", "buy"), ("error", "fault"), ("signup", "enter")]
 
 
 @query(f"SELECT idx AS index, CASE WHEN value > 200 THEN 'high' ELSE task END AS task, 7 AS fixed, idx + 1000 AS shifted FROM ({E})")
@@ -886,3 +886,6 @@ def stream_sessions(spark, sf_dir):
 
     rows = counts.run_to_end(counts.sessions(counts.read_events(spark, sf_dir)))
     return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
+
+
+from . import dataset_queries as _more  # noqa: E402, F401  (its queries register themselves)
