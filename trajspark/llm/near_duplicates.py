@@ -153,11 +153,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of buckets whose nodes are in more than one component so far, with the component as label."""
+def _unsettled(members: DataFrame, joined: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of buckets whose nodes are in more than one component so far, with the component as label.
+
+    Their keys are written before rows meet them, so that Spark knows their size and can split a frequent key's rows.
+    """
     rows = members.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     open_keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-    return rows.join(open_keys.select("key"), "key", "left_semi")
+    return rows.join(scratch.table(open_keys.select("key"), f"keys_{name}"), "key", "left_semi")
 
 
 def _reach(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,7 +248,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     nodes = scratch.table(nodes, "nodes")
     spread = nodes.select(F.explode("bands").alias("key"), "node")
     pivots = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("count")).where("count > 1")
-    members = scratch.table(spread.join(pivots.drop("count"), "key"), "members")
+    pivots = scratch.table(pivots.drop("count"), "pivots")
+    members = scratch.table(spread.join(pivots, "key"), "members")
 
     wanted = members.select("node").distinct()
     of_docs = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("wanted_id"))
@@ -266,11 +270,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     joined = scratch.table(joined, "joined")
     # Only nodes of unsettled buckets can still be linked, and a shingle that just one of them has is in no
     # intersection: `reach` bounds what a node can share. Nodes that can't reach the similarity at all are done.
-    rest = scratch.table(_unsettled(members.select("key", "node"), joined).drop("label"), "unsettled")
+    rest = scratch.table(_unsettled(members.select("key", "node"), joined, scratch, "all").drop("label"), "unsettled")
     reach = scratch.table(_reach(rest.select("node").distinct(), sets), "reach")
     rest = scratch.table(rest.join(reach.where(100 * F.col("reach") >= percent * F.col("n")), "node"), "open")
     for turn in range(TURNS + 1):
-        own = scratch.table(_unsettled(rest, joined), f"rest_{turn}")
+        own = scratch.table(_unsettled(rest, joined, scratch, str(turn)), f"rest_{turn}")
         if own.isEmpty():
             break
         if turn < TURNS:
@@ -282,7 +286,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
         if not more.isEmpty():
             roots = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
             joined = scratch.table(components(roots.union(more), scratch, f"again_{turn}"), f"joined_{turn}")
-    scratch.drop("sets", "members", "unsettled", "reach", "open", "star_links", "sizes", "chunks", *[f"rest_{i}" for i in range(TURNS + 1)])
+    scratch.drop("sets", "members", "unsettled", "reach", "open", "star_links", "sizes", "chunks", "pivots", *[f"rest_{i}" for i in range(TURNS + 1)])
 
     placed = nodes.select("node", "doc_id").join(joined, "node", "left")
     placed = placed.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
