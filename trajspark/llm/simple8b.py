@@ -24,8 +24,14 @@ BLOCK = 4096
 HEAD = struct.Struct("<4sIQII")
 
 
+#: Bits of every 16-bit id.
+_SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits each id needs."""
+    if len(ids) and not int(ids.max()) >> 16:
+        return _SMALL[ids.astype(np.uint16)]
     if len(ids) and int(ids.max()) >> 52:
         high = ids >> np.uint64(32)
         return np.where(high > 0, _widths(high) + 32, _widths(ids & np.uint64(0xFFFFFFFF))).astype(np.int8)
@@ -63,15 +69,22 @@ def encode(ids: np.ndarray) -> tuple[bytes, int, int]:
     flat[:n] = _widths(slots)
     lanes[:, :BLOCK] = flat.reshape(-1, BLOCK)
     run = lanes[:, :BLOCK].copy()
-    best = np.full(run.shape, 15, np.int8)
+    best, rows = np.full(run.shape, 15, np.int8), np.arange(len(starts))
     for count in range(2, 241):
         np.maximum(run, lanes[:, count - 1 : count - 1 + BLOCK], out=run)
         selector = _SELECTOR.get(count)
-        if selector is not None:
-            best[run <= BITS[selector]] = selector
-        denser = COUNTS[:-1][COUNTS[:-1] > count]
-        if len(denser) and not (run <= BITS[len(denser) - 1]).any():
+        if selector is None:
+            continue
+        at, lane = np.nonzero(run <= BITS[selector])
+        best[rows[at], lane] = selector
+        if not selector:
             break
+        # Only blocks with a run narrow enough for the next denser selector go on.
+        narrow = (run <= BITS[selector - 1]).any(axis=1)
+        if not narrow.all():
+            run, lanes, rows = run[narrow], lanes[narrow], rows[narrow]
+            if not len(rows):
+                break
     best = best.reshape(-1)[:n]
     # All blocks step from word to word at once.
     at, stop, steps = starts.copy(), end[starts], []
