@@ -91,29 +91,29 @@ def paths(messages: DataFrame, scratch: Scratch, best: int | None = None) -> Dat
         "jump0",
     )
     parents = jump
-    levels = [jump]
     # After k joins `up` is the ancestor 2^k steps above, null if the root is nearer; sum and steps reach up to it.
-    # A circle never ends: as many joins as a path of all messages needs show every message that has a root.
+    # Messages that have reached their root are done and stay where they are; only the others, and what their trees
+    # hold, go on. A circle never ends: as many joins as a path of all messages needs show every one that has a root.
     limit = max(1, jump.count()).bit_length()
-    while len(levels) <= limit and not jump.where(F.col("up").isNotNull()).isEmpty():
+    open_, done = jump.where(F.col("up").isNotNull()), jump.where(F.col("up").isNull())
+    levels = [open_]
+    while len(levels) <= limit and not open_.isEmpty():
+        trees = open_.select("tree").distinct()
+        above = open_.unionByName(done).alias("b").join(trees.alias("t"), _same("b", "t"), "left_semi")
         on = _same("a", "b") & (F.col("a.up") == F.col("b.node"))
-        jump = scratch.table(
-            jump.alias("a")
-            .join(jump.alias("b"), on, "left")
-            .select(
-                "a.tree",
-                "a.node",
-                F.col("b.up").alias("up"),
-                (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"),
-                (F.col("a.sum") + F.coalesce("b.sum", F.lit(0.0))).alias("sum"),
-            ),
-            f"jump{len(levels)}",
+        jump = open_.alias("a").join(above.alias("b"), on).select(
+            "a.tree",
+            "a.node",
+            F.col("b.up").alias("up"),
+            (F.col("a.steps") + F.col("b.steps")).alias("steps"),
+            (F.col("a.sum") + F.col("b.sum")).alias("sum"),
         )
-        levels.append(jump)
+        jump = scratch.table(jump, f"jump{len(levels)}")
+        open_, done = jump.where(F.col("up").isNotNull()), done.unionByName(jump.where(F.col("up").isNull()))
+        levels.append(open_)
     inner = parents.where(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct()
     leaves = (
-        jump.where(F.col("up").isNull())
-        .alias("a")
+        done.alias("a")
         .join(inner.alias("b"), _same("a", "b") & (F.col("a.node") == F.col("b.node")), "left_anti")
     )
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("sum").desc(), "node"))
@@ -129,7 +129,7 @@ def paths(messages: DataFrame, scratch: Scratch, best: int | None = None) -> Dat
         on = _same("a", "b") & (F.col("a.node") == F.col("b.node"))
         higher = (
             spread.alias("a")
-            .join(levels[k].where(F.col("up").isNotNull()).alias("b"), on)
+            .join(levels[k].alias("b"), on)
             .select("a.tree", "a.leaf", "a.rank", "a.sum", (F.col("a.above") + (1 << k)).alias("above"), F.col("b.up").alias("node"))
         )
         spread = scratch.table(spread.unionByName(higher), f"spread{k}")
