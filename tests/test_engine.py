@@ -345,7 +345,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert counts.sessions(batch, "20 minutes").agg(F.sum("n")).first()[0] == 50
 
 
-def test_entry_module_without_the_optional_part(spark):
+def test_entry_module(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())

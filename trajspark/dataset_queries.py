@@ -106,7 +106,7 @@ def post_grasp_dataset(spark, sf_dir):
 
 @query(f"""WITH {DS}, {AUTO}, k AS (SELECT e, n - trim_start AS length FROM plan)
 SELECT e AS episode_index, length, (sum(length) OVER (ORDER BY e) - length)::BIGINT AS dataset_from_index, sum(length) OVER (ORDER BY e)::BIGINT AS dataset_to_index,
-e AS data_file, 0.0 AS from_timestamp, round(length / 10.0::DOUBLE, 6) AS to_timestamp FROM k""")
+e AS data_file, 0.0::DOUBLE AS from_timestamp, round(length / 10.0::DOUBLE, 6) AS to_timestamp FROM k""")
 def post_grasp_episodes(spark, sf_dir):
     ds = stored(spark, dataset(spark, sf_dir))
     out = datasets.start_at(ds, datasets.trim_plan(ds.frames, "value", 0.2, 42, cache(ds))).episodes
@@ -187,7 +187,7 @@ def trimmed_output_report(spark, sf_dir):
 
 @query(f"""WITH {DS}, h AS (SELECT count(*) // 2 AS half, count(*) AS n FROM e), p AS (SELECT a.e, a.length AS n, b.length AS m, a.e % 7 AS dark FROM e a, h LEFT JOIN e b ON b.e = a.e + h.half WHERE a.e < h.half),
 c AS (SELECT 1 AS step, 'header' AS name, 0 AS bad UNION ALL SELECT 2, 'episode_total', 0 UNION ALL SELECT 3, 'frame_total', 1 UNION ALL SELECT 4, 'episode_ids', 0 UNION ALL SELECT 5, 'frame_ids', 0
-UNION ALL SELECT 6, 'task_ids', 1 UNION ALL SELECT 7, 'no_ordinals', 1 UNION ALL SELECT 8, 'phrases', 3 - count(DISTINCT CASE task WHEN 'click' THEN 'red' WHEN 'error' THEN 'red' WHEN 'purchase' THEN 'blue' WHEN 'signup' THEN 'green' END) FROM e
+UNION ALL SELECT 6, 'task_ids', 1 UNION ALL SELECT 7, 'no_ordinals', count(DISTINCT task) FROM e WHERE task = 'view' UNION ALL SELECT 8, 'phrases', 3 - count(DISTINCT CASE task WHEN 'click' THEN 'red' WHEN 'error' THEN 'red' WHEN 'purchase' THEN 'blue' WHEN 'signup' THEN 'green' END) FROM e
 UNION ALL SELECT 9, 'ranges', count(*) FROM e WHERE e % 10 = 3 UNION ALL SELECT 10, 'files', (SELECT count(DISTINCT e // 10) FROM e) UNION ALL SELECT 11, 'brightness', count(*) FROM p WHERE dark = 0
 UNION ALL SELECT 12, 'copies', count(*) FROM p WHERE n IS DISTINCT FROM m)
 SELECT step, name, CASE WHEN bad = 0 THEN 'ok' ELSE 'fail' END AS status, bad::BIGINT AS bad FROM c""")
@@ -208,7 +208,7 @@ def final_report(spark, sf_dir):
 
 
 @query(f"""WITH {DS}, t AS (SELECT task, row_number() OVER (ORDER BY min(e)) - 1 AS i FROM e WHERE task IN ('click', 'view') GROUP BY task),
-u AS (SELECT task, 2 + row_number() OVER (ORDER BY min(e)) - 1 AS i FROM e WHERE task NOT IN ('click', 'view') GROUP BY task)
+u AS (SELECT task, (SELECT count(*) FROM t) + row_number() OVER (ORDER BY min(e)) - 1 AS i FROM e WHERE task NOT IN ('click', 'view') GROUP BY task)
 SELECT e AS episode_index, task, i AS task_index FROM e JOIN (SELECT * FROM t UNION ALL SELECT * FROM u) USING (task)""")
 def authoritative_tasks(spark, sf_dir):
     ds = dataset(spark, sf_dir)
@@ -452,7 +452,7 @@ def image_folder(spark, sf_dir):
     return layouts.read_image_folder(spark, root).select("label", F.size("paths").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('base.pos', 1.5), ('gripper.pos', -3.0)) t(joint, degrees)")
+@query("SELECT * FROM (VALUES ('base.pos', 1.5::DOUBLE), ('gripper.pos', -3.0::DOUBLE)) t(joint, degrees)")
 def start_pose(spark, sf_dir):
     path = f"{Scratch(spark).at}/pose.json"
     write_text(spark, path, '{"base": 1.5, "gripper.pos": -3}')
