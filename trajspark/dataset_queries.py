@@ -411,13 +411,12 @@ def csv_samples(spark, sf_dir):
     return rows.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.replace("scene_path", F.lit(folder + "/"), F.lit("BASE/")).alias("scene_path"), F.col("all_celebrities").alias("names"))
 
 
-@query(f"WITH {DS} SELECT e AS episode_index, e % 2 = 0 AS keep_full, e % 5 AS trim_start, e % 3 = 0 AS validated FROM e WHERE e < 40")
+@query(f"WITH {DS} SELECT e AS episode_index, e % 2 = 0 AS keep_full, e % 5 AS trim_start, e % 3 = 0 AS validated FROM e")
 def side_cache(spark, sf_dir):
-    """The first forty decisions of a plan through a JSON side file."""
+    """The decisions of a plan through a JSON side file."""
     path, e = f"{Scratch(spark).at}/trim_indices.json", F.col("episode_index")
-    rows = dataset(spark, sf_dir).episodes.where("episode_index < 40").select("episode_index", (e % 2 == 0).alias("keep_full"), (e % 5).alias("trim_start"), (e % 3 == 0).alias("validated"))
-    entries = {str(r["episode_index"]): {k: r[k] for k in ("keep_full", "trim_start", "validated")} for r in rows.toLocalIterator()}
-    write_text(spark, path, json.dumps({"episodes": entries}))
+    rows = dataset(spark, sf_dir).episodes.select("episode_index", (e % 2 == 0).alias("keep_full"), (e % 5).alias("trim_start"), (e % 3 == 0).alias("validated"))
+    layouts.write_cache(spark, rows, path)
     return layouts.read_cache(spark, path).select("episode_index", "keep_full", "trim_start", "validated")
 
 

@@ -165,29 +165,27 @@ def merged_partial_stats(spark, sf_dir):
     return r6(stats.merged(each), *ROUNDED)
 
 
-@query(f"""WITH k AS (SELECT *, row_number() OVER (ORDER BY ep) - 1 AS new_ep, (sum(length) OVER (ORDER BY ep) - length)::BIGINT AS start
-  FROM (SELECT ep, count(*) AS length FROM ({E}) WHERE ep % 3 = 0 GROUP BY ep) WHERE ep NOT IN (3, 9))
+@query(f"""WITH d AS (SELECT *, row_number() OVER (ORDER BY ep) - 1 AS dense FROM (SELECT ep, count(*) AS length FROM ({E}) GROUP BY ep)),
+k AS (SELECT *, row_number() OVER (ORDER BY ep) - 1 AS new_ep, (sum(length) OVER (ORDER BY ep) - length)::BIGINT AS start FROM d WHERE dense NOT IN (1, 3))
 SELECT idx AS source_index, new_ep AS episode_index, start + rn AS index FROM k JOIN ({N}) USING (ep)""")
 def delete_episodes(spark, sf_dir):
-    return edit.delete(parts(spark, sf_dir)[0], [1, 3]).frames.select("source_index", "episode_index", "index")
+    return edit.delete(parts(spark, sf_dir, 1)[0], [1, 3]).frames.select("source_index", "episode_index", "index")
 
 
-@query(f"""SELECT CASE WHEN ep % 3 = 0 THEN 'source' ELSE 'target' END AS dataset, count(DISTINCT ep) AS episodes, count(*) AS frames FROM
-(SELECT CASE WHEN ep IN (3, 9) THEN 1 ELSE ep END AS moved, * FROM ({E}) WHERE ep % 3 < 2) WHERE ep NOT IN (3, 9) AND ep % 3 = 0 GROUP BY 1
-UNION ALL SELECT 'target', count(DISTINCT ep), count(*) FROM ({E}) WHERE ep % 3 = 1 OR ep IN (3, 9)""")
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY ep % 2 ORDER BY ep) - 1 AS dense FROM (SELECT ep, count(*) AS length FROM ({E}) GROUP BY ep))
+SELECT CASE WHEN ep % 2 = 0 AND dense NOT IN (1, 3) THEN 'source' ELSE 'target' END AS dataset, count(*) AS episodes, sum(length)::BIGINT AS frames FROM d GROUP BY 1""")
 def move_episodes(spark, sf_dir):
-    a, b = parts(spark, sf_dir)[:2]
+    a, b = parts(spark, sf_dir, 2)
     source, target = edit.move(a, b, [1, 3])
     count = lambda name, ds: ds.frames.agg(F.lit(name).alias("dataset"), F.count_distinct("episode_index").alias("episodes"), F.count("*").alias("frames"))
     return count("source", source).unionByName(count("target", target))
 
 
-@query(f"""SELECT ep AS episode_index, idx AS index, source FROM (SELECT ep, idx, 0 AS source FROM ({E}) WHERE ep % 3 = 0 UNION ALL
-SELECT ep, idx, 1 FROM ({E}) WHERE ep % 3 = 1)""")
+@query(f"SELECT ep AS episode_index, idx AS index, ep % 3 AS source FROM ({E})")
 def append_union(spark, sf_dir):
     rows = frames(spark, sf_dir).select("episode_index", "index")
-    a, b = (rows.where(F.col("episode_index") % 3 == i).withColumn("source", F.lit(i)) for i in (0, 1))
-    return a.unionByName(b)
+    a, b, c = (rows.where(F.col("episode_index") % 3 == i).withColumn("source", F.lit(i).cast("long")) for i in range(3))
+    return a.unionByName(b).unionByName(c)
 
 
 @query("""WITH used AS (SELECT DISTINCT p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity > 49)

@@ -246,6 +246,15 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("key").cast("long").alias("episode_index"), "value.*")
 
 
+def write_cache(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Rows of episode_index and other columns as such a side file. It is one JSON object by its format, so rows pass
+    the driver, a partition at a time, and only text is held."""
+    names = [c for c in rows.columns if c != "episode_index"]
+    entry = F.concat(F.to_json(F.create_map(F.col("episode_index").cast("string"), F.struct(*names))).substr(F.lit(2), F.lit(1 << 30)))
+    entries = (r[0][:-1] for r in rows.select(entry).toLocalIterator())
+    write_text(spark, path, '{"episodes": {' + ",\n".join(entries) + "}}")
+
+
 def write_stats(spark: SparkSession, stats: DataFrame, feature: str, path: str) -> None:
     """Dataset statistics (one row a feature) as one JSON object."""
     rows = {r[feature]: {k: v for k, v in r.asDict(True).items() if k != feature} for r in stats.toLocalIterator()}
