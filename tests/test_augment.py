@@ -1,6 +1,7 @@
 """Composite edits and the media tier."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_engine import dataset
@@ -66,3 +67,40 @@ def test_media(spark):
     assert media.accepted([red], [media.augmented(red, hue_delta=10)]) == []
     assert media.accepted([red], [media.augmented(red, hue_delta=120)]) and media.accepted([red], [])
     assert (media.augmented(red, dx=0.5) == red).all()
+
+
+def test_noise_and_blur():
+    grey = np.full((20, 30, 3), 128, np.uint8)
+    noisy = media.augmented(grey, noise_std=10, seed=3)
+    assert (noisy == media.augmented(grey, noise_std=10, seed=3)).all() and 7 < noisy.std() < 13
+    soft = media.augmented(grey, noise_std=10, blur_radius=2, seed=3)
+    assert soft.std() < noisy.std() / 3 and abs(soft.mean() - noisy.mean()) < 1 and soft.shape == grey.shape
+    assert (media.blurred(grey, 1.5).round() == grey).all() and (media.blurred(grey, 0) == grey).all()
+    edge = np.zeros((9, 9, 3))
+    edge[:, 5:] = 100
+    out = media.blurred(edge, 1)
+    assert (np.diff(out[4, :, 0]) >= -1e-9).all() and np.allclose(out[:, 3], out[0, 3])
+
+
+def test_image_statistics_of_nothing_and_of_one_colour(spark):
+    schema = "key string, height int, width int, pixels binary"
+    assert media.image_stats(spark.createDataFrame([], schema)).first()["count"] == 0
+    one = media.image_stats(spark.createDataFrame([("a", 1, 2, bytes([255, 0, 51] * 2))] * 3, schema)).first()
+    assert one["count"] == 3 and one["mean"] == [[[1.0]], [[0.0]], [[0.2]]] and one["std"] == [[[0.0]]] * 3 and one["q99"] == one["min"]
+
+
+def test_strips_around_a_frame(spark):
+    rows = [("v", i, 2, 3, bytes([i] * 18)) for i in range(8)]
+    frames = spark.createDataFrame(rows, "video string, number long, height int, width int, pixels binary")
+    centres = spark.createDataFrame([("v", 1)], "video string, centre long")
+    out = media.sheets(frames, centres, (-5, 0, 5, 20)).first()
+    shown = np.frombuffer(out.pixels, np.uint8).reshape(out.height, out.width, 3)
+    assert (out.height, out.width) == (2, 9) and (shown[:, :3] == 0).all() and (shown[:, 6:] == 6).all() and (shown[0, 3:6] == (255, 0, 0)).all()
+
+
+def test_pickled_weights_are_not_read(spark, tmp_path):
+    from trajspark.sources import weights
+
+    (tmp_path / "old.bin").write_bytes(b"x")
+    with pytest.raises(ValueError, match="safetensors"):
+        weights.read_weights(spark, f"file://{tmp_path}")

@@ -133,3 +133,33 @@ def camera_key(names: Column, prefix: str, wanted: str | None = None) -> Column:
     if wanted is None:
         return F.get(own, F.lit(0))
     return F.when(F.array_contains(names, wanted), F.lit(wanted)).otherwise(F.raise_error(F.lit(f"no such key: {wanted}")).cast("string"))
+
+
+def lab(r: Column, g: Column, b: Column) -> Column:
+    """struct<l, a, b> of an sRGB colour with components to 255, under daylight (D65): lightness to 100, a and b about 0."""
+    linear = lambda c: F.when(c / 255 > 0.04045, F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255 / 12.92)
+    red, green, blue = linear(r), linear(g), linear(b)
+    #: Rows of the sRGB matrix divided by the white point.
+    x = (0.412453 * red + 0.357580 * green + 0.180423 * blue) / 0.950456
+    y = 0.212671 * red + 0.715160 * green + 0.072169 * blue
+    z = (0.019334 * red + 0.119193 * green + 0.950227 * blue) / 1.088754
+    root = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    lightness = F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
+    return F.struct(lightness.alias("l"), (500 * (root(x) - root(y))).alias("a"), (200 * (root(y) - root(z))).alias("b"))
+
+
+def chroma_distance(one: Column, other: Column) -> Column:
+    """How far the hues of two `lab` colours are apart, whatever their lightness."""
+    return F.hypot(one["a"] - other["a"], one["b"] - other["b"])
+
+
+def luminance_ratio(one: Column, other: Column) -> Column:
+    """Of two `lab` lightnesses on a scale to 255, with one added to both."""
+    return (one["l"] * 2.55 + 1) / (other["l"] * 2.55 + 1)
+
+
+def colour_change(one: Column, other: Column, limit: float = 12.0) -> Column:
+    """struct<covered, shade>: whether something else is in front (chroma beyond the limit); where not, the factor of
+    light between 0.3 and 1.2, else 1."""
+    covered = chroma_distance(one, other) > limit
+    return F.struct(covered.alias("covered"), F.when(covered, 1.0).otherwise(clamp(luminance_ratio(one, other), 0.3, 1.2)).alias("shade"))

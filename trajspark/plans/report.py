@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ANSWERS, near_key, normalise_answer
 
@@ -30,6 +36,25 @@ def near_duplicate_groups(rows: DataFrame, prompt: str) -> DataFrame:
     return own.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("task")).alias("spellings")).where("n > 1")
 
 
+def evaluate(samples: DataFrame, template: str, predict: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
+    """samples with prompt (the template with {celebrity} filled in), prediction and latency_s.
+
+    `predict` takes the scene paths and prompts of an Arrow batch and gives its answers; the model is loaded by it once
+    a worker. A batch's time is divided among its rows.
+    """
+    rows = samples.withColumn("prompt", F.replace(F.lit(template), F.lit("{celebrity}"), F.col("target_celebrity")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            began = time.perf_counter()
+            said = predict(frame["scene_path"], frame["prompt"])
+            each = round((time.perf_counter() - began) / max(1, len(frame)), 3)
+            yield frame.assign(prediction=np.asarray(said, object), latency_s=each)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("prediction", T.StringType()), T.StructField("latency_s", T.DoubleType())])
+    return rows.mapInPandas(run, schema)
+
+
 def accuracy(results: DataFrame, classes: list[str] = ANSWERS) -> DataFrame:
     """Per class, and for all (class null): total, correct, unparseable, accuracy. Classes without rows stay."""
     rows = results.withColumn("parsed", normalise_answer(F.col("prediction")))

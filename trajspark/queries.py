@@ -887,3 +887,4 @@ def stream_sessions(spark, sf_dir):
 
 
 from . import dataset_queries as _more  # noqa: E402, F401  (its queries register themselves)
+from . import media_queries as _media  # noqa: E402, F401
