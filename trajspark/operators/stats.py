@@ -51,12 +51,11 @@ def ranked_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     sketch = F.percentile_approx("x", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("_ends")
     whole = rows.groupBy(*by).agg(*[c.alias(k) for k, c in basic.items()], sketch)
 
-    def around(i: int) -> Column:
-        low = F.when(n < ACCURACY, F.col("min")).otherwise(F.col("_ends")[2 * i])
-        high = F.when(n < ACCURACY, F.col("max")).otherwise(F.col("_ends")[2 * i + 1])
-        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
-
-    near = whole.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.array(*map(around, range(len(levels)))).alias("_near"))
+    end = lambda i, low, high: F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
+    each = F.array(*[end(i, F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]) for i in range(len(levels))])
+    # One ranking serves all quantiles of a smaller group.
+    near = F.when(n < ACCURACY, F.array(end(-1, F.col("min"), F.col("max")))).otherwise(each)
+    near = whole.select(*[F.col(c).alias(f"_of_{c}") for c in by], near.alias("_near"))
     values = rows.where(x.isNotNull())
     if by:
         same = F.lit(True)
@@ -77,17 +76,13 @@ def ranked_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     joined = sizes.join(ranked, same, "left") if by else sizes.join(ranked, how="left", on=F.lit(True))
-    level = F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1)
-    place = level * (n - 1)
     at = lambda rank: (F.col("last") - F.col("c") <= rank) & (rank < F.col("last"))
-    joined = joined.withColumn("_place", place)
-    low, high = F.floor("_place"), F.ceil("_place")
-    pick = lambda i, rank: F.max(F.when((F.col("i") == i) & at(rank), F.col("v")))
-    part = lambda i: F.max(F.when(F.col("i") == i, F.col("_place") - F.floor("_place")))
+    place = [F.lit(q) * (n - 1) for q in levels]
+    pick = lambda i, rank: F.max(F.when(F.col("i").isin(i, -1) & at(rank), F.col("v")))
     out = joined.groupBy(*by, *basic).agg(
-        *[c for i in range(len(levels)) for c in (pick(i, low).alias(f"_l{i}"), pick(i, high).alias(f"_h{i}"), part(i).alias(f"_p{i}"))]
+        *[c for i, p in enumerate(place) for c in (pick(i, F.floor(p)).alias(f"_l{i}"), pick(i, F.ceil(p)).alias(f"_h{i}"))]
     )
-    value = lambda i: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_p{i}")
+    value = lambda i: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (place[i] - F.floor(place[i]))
     return out.select(*by, *basic, *[value(i).alias(name) for i, name in enumerate(QUANTILES)])
 
 
