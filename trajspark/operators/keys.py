@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
+
 #: Neighbouring integer keys of one bucket.
 BUCKET = 4096
 
@@ -58,6 +60,17 @@ def positions(df: DataFrame, bucket: Column, order: list, into: str, by: list[st
     return rows.join(sizes, same).select(*df.columns, (F.col("_base") + F.col("_in")).alias(into))
 
 
+def ranked(df: DataFrame, order: list[Column], into: str, scratch: Scratch, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with each row's 0-based place in an order of any orderable columns, over all rows or in each group of `by`.
+
+    Rows are range-partitioned by (by, order), and places are counted inside ranges and over the ranges' sizes. Ranges
+    are drawn from a sample, so the partitioned rows are written once as table `name` and both steps read that. Rows
+    that are equal in the whole order share a range; give the order a column that tells them apart.
+    """
+    rows = df.repartitionByRange(*(by or []), *order).withColumn("_range", F.spark_partition_id())
+    return positions(scratch.table(rows, name), F.col("_range"), order, into, by).drop("_range")
+
+
 def prefix(df: DataFrame, key: str, weight: Column, into: str, bucket: int = BUCKET) -> DataFrame:
     return prefixes(df, key, {into: weight}, bucket)
 
