@@ -5,12 +5,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import P, WORD, brute_near, brute_substrings, corpus, encoded, measures
+from tests.llm.test_mix_dominate_whiten import brute_dominance, plain_mix, plain_whitening
 from trajspark.llm import language, queries, toxicity
 
 #: Columns that clash with those that operators make.
@@ -47,6 +49,10 @@ def folder(spark, tmp_path_factory):
     vectors = [(i, v.tolist()) for i, v in enumerate(x)] + [(150, None), (200, [0.0] * 6), (201, [None] + [1.0] * 5), (250, [math.nan] * 6), (202, [1.0]), (None, x[0].tolist()), (50, x[50].tolist())]
     vectors = [(*r, "clash", 1, 0.5, b"v") for r in vectors]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>, query_id string, rank int, score double, vector binary").write.parquet(f"{at}/embeddings.parquet")
+    at_day = lambda d: None if d is None else datetime(2024, 1, 1) + timedelta(days=d, hours=d % 24)
+    sales = [(i if i % 50 else None, [None, 12.345, 9.995, 1e300, math.nan, -3.0][i % 6] if i % 4 == 0 else i % 97 * 3.5, at_day(None if i % 31 == 0 else i * 7 % 150), *CLASH) for i in range(400)]
+    sales += sales[:4]
+    spark.createDataFrame(sales, f"sale_id long, total double, sold_at timestamp_ntz, {CLASHES}").write.parquet(f"{at}/sales.parquet")
     return at
 
 
@@ -224,6 +230,37 @@ def test_op10(spark, folder, plain):
     assert rows_of(spark, folder, "op10_minhash_circulant", "doc_id", "n_shingles", "component_id", "kept") == expected(brute_near(plain, 3, 85))
 
 
+def test_op11(spark, folder):
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text").collect()]
+    want, target = plain_mix(rows, 16, 1024)
+    assert rows_of(spark, folder, "op11_source_mixing", "doc_id", "size", "source_size", "taken") == expected(want)
+    assert {round(r.target, 6) for r in queries.op11_source_mixing(spark, folder).collect()} == {round(t, 6) for t in target.values()}
+
+
+def test_op12(spark, folder):
+    sales = [tuple(r) for r in spark.read.parquet(f"{folder}/sales.parquet").select("sale_id", "total", "sold_at").collect()]
+    level = lambda t: None if t is None or not abs(t) < 1e17 else math.floor(math.floor(100 * t + 0.5) / 1000)
+    rows = [(i, level(t), None if at is None else (at - datetime(1970, 1, 1)).days, 1 + (0 if i is None else crc(i, 3))) for i, t, at in sales]
+    want = [(i, s, x, *(b or (None, None))) for (i, x, s, _), b in zip(rows, brute_dominance(rows), strict=True)]
+    assert rows_of(spark, folder, "op12_dominance_counting", "sale_id", "slot", "level", "n_sales", "n_rows") == expected(want)
+
+
+def test_op13(spark, folder, tmp_path):
+    random_ = np.random.default_rng(3)
+    x = random_.normal(size=(300, 40)).astype(np.float32)
+    at = str(tmp_path)
+    rows = [(i, v.tolist(), *CLASH) for i, v in enumerate(x)] + [(300, None, *CLASH), (301, [math.nan] * 40, *CLASH)]
+    spark.createDataFrame(rows, f"vec_id long, embedding array<float>, {CLASHES}").repartition(4).write.parquet(f"{at}/embeddings.parquet")
+    got = queries.op13_embedding_whitening(spark, at).toPandas()
+    deviations, white, explained = plain_whitening(x)
+    own = got.pivot(index="vec_id", columns="component", values="whitened").loc[range(300)].to_numpy()
+    assert own.shape == (300, 32) and str(got.deviation.dtype) == "int64"
+    assert all(min(abs(own[:, j] - white[:, j]).max(), abs(own[:, j] + white[:, j]).max()) < 1e-9 for j in range(32))
+    assert got.groupby("vec_id").deviation.first().tolist() == deviations
+    assert got.groupby("component").explained.first().to_numpy() == pytest.approx(explained, rel=1e-9)
+    queries.op13_embedding_whitening(spark, folder).collect()  # entries of 1e200 take no part
+
+
 def test_pipeline_against_plain_stages(spark, folder, plain):
     """Each stage in plain Python on what the plain stage before kept."""
     import corpus_pipeline
@@ -271,7 +308,7 @@ def test_empty_tables(spark, folder, tmp_path):
     import corpus_pipeline
 
     at = str(tmp_path)
-    for name in ("documents", "labels", "conversations", "embeddings"):
+    for name in ("documents", "labels", "conversations", "embeddings", "sales"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
     for name, query in queries.QUERIES.items():
         rows = query(spark, at).collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, near_duplicates, neighbours, packing, quality, substrings, token_file, toxicity
+from . import bpe, chat, dominance, language, mixing, near_duplicates, neighbours, packing, quality, substrings, token_file, toxicity, whitening
 from .common import Scratch, documents
 
 
@@ -104,6 +104,27 @@ def op10_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(near_duplicates.near_duplicates(documents(spark, sf_dir), scratch, size=3, percent=85).drop("tie"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    mixed = mixing.mix(documents(spark, sf_dir), scratch)
+    taken = (F.col("whole") * F.col("size") + F.col("extra")).alias("taken")
+    return scratch.finish(mixed.select("doc_id", "size", "source_size", "target", taken))
+
+
+def op12_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = spark.read.parquet(f"{sf_dir}/sales.parquet").select("sale_id", "total", "sold_at")
+    copies = 1 + F.coalesce(F.crc32(F.col("sale_id").cast("string")) % 3, F.lit(0))
+    slot = dominance.utc_days(F.col("sold_at"), dict(sales.dtypes)["sold_at"])
+    scratch = Scratch(spark)
+    counted = dominance.count_above(sales, ["sale_id"], dominance.price_level(F.col("total")), slot, {"n_sales": F.lit(1), "n_rows": copies}, scratch)
+    return scratch.finish(counted)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", ["vec_id"], Scratch(spark))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_binary": op2_token_binary,
@@ -115,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_ann_hilbert": op9_ann_hilbert,
     "op10_minhash_circulant": op10_minhash_circulant,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_dominance_counting": op12_dominance_counting,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -188,4 +212,37 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS low FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
-SQL = {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op10_minhash_circulant": OP10_SQL}
+#: The level by cumulated stops, and all quotients listed and ranked.
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len({WORDS})::BIGINT AS size, md5(concat('mix:', doc_id)) AS h FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, ([3, 1, 2])[place % 3 + 1] AS weight, 2 * source_size AS stop, sum(source_size) OVER ()::BIGINT AS total FROM s),
+o AS (SELECT *, stop / weight AS ratio, coalesce(sum(stop) OVER (ORDER BY stop / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stops,
+             sum(weight) OVER (ORDER BY stop / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open FROM w),
+v AS (SELECT coalesce(arg_min((3 * total - 2 * stops) / (2 * open), ratio) FILTER (ratio > (3 * total - 2 * stops) / (2 * open)), 0.0) AS level FROM o),
+t AS (SELECT w.*, least(stop::DOUBLE, weight * level) AS target, count(*) OVER () AS n_sources, ceil(n_docs / 1024)::BIGINT AS n_shards, (6 * total + 32) // 64 AS blocks FROM w, v),
+q AS (SELECT place, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place, k) AS i, blocks
+      FROM (SELECT *, unnest(range(0, (target / 16)::BIGINT + n_sources + 3)) AS k FROM t)),
+b AS (SELECT place, count(*) AS quota FROM q WHERE i <= blocks GROUP BY place),
+f AS (SELECT t.*, coalesce(quota, 0) AS quota FROM t LEFT JOIN b USING (place)),
+x AS (SELECT d.*, f.place, f.source_size, f.target, f.n_shards, f.quota, concat('0x', substr(h, 1, 8))::BIGINT % f.n_shards AS shard FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+y AS (SELECT place, shard, sum(size)::BIGINT AS votes, max(quota) AS quota, max(source_size) AS source_size, max(n_shards) AS n_shards FROM x GROUP BY 1, 2),
+z AS (SELECT place, shard, votes, quota, row_number() OVER (PARTITION BY place ORDER BY votes / (2 * k + 1) DESC, shard, k) AS i
+      FROM (SELECT *, unnest(range(0, CASE WHEN votes = 0 THEN 0 ELSE (quota * (votes / source_size))::BIGINT + n_shards + 3 END)) AS k FROM y)),
+g AS (SELECT place, shard, least(16 * count(*) FILTER (i <= quota), 2 * max(votes)) AS given, max(votes) AS votes FROM z GROUP BY 1, 2),
+l AS (SELECT x.*, coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY h, doc_id, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x)
+SELECT doc_id, size, source_size, target, CASE WHEN g.votes IS NULL THEN 0 ELSE size * (given // g.votes) + greatest(0, least(size, given % g.votes - before)) END::BIGINT AS taken
+FROM l LEFT JOIN g USING (place, shard)
+"""
+
+#: crc32 digit by digit over a table that its own rule makes; cells against cells.
+OP12_SQL = """
+WITH c AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda x, k: xor(x // 2, 3988292384 * (x % 2)))) AS t),
+w AS (SELECT sale_id, 1 + CASE WHEN sale_id IS NULL THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, list_transform(string_split(sale_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+        lambda x, d: xor(x // 256, c.t[xor(x % 256, d) + 1])), 4294967295) % 3 END AS copies, floor(epoch(sold_at) / 86400)::BIGINT AS slot, floor(floor(100 * total + 0.5) / 1000)::BIGINT AS level FROM sales, c),
+g AS (SELECT level, slot, count(*) AS n, sum(copies) AS m FROM w WHERE level IS NOT NULL AND slot IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT x.level, x.slot, coalesce(sum(y.n), 0)::BIGINT AS n_sales, coalesce(sum(y.m), 0)::BIGINT AS n_rows FROM g x LEFT JOIN g y ON y.slot < x.slot AND y.level > x.level GROUP BY 1, 2)
+SELECT sale_id, w.slot, w.level, n_sales, n_rows FROM w LEFT JOIN a ON w.slot = a.slot AND w.level = a.level
+"""
+
+SQL = {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op10_minhash_circulant": OP10_SQL, "op11_source_mixing": OP11_SQL, "op12_dominance_counting": OP12_SQL}
