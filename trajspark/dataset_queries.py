@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import values as V
 from .model import TrajectoryDataset, features_of, is_text, normalise_videos, video_keys, without_nulls
-from .operators import datasets, edit, joins, keys, sample, stats, trim
+from .operators import datasets, edit, greedy, joins, keys, sample, stats, trim
 from .plans import augment, checks, report
 from .queries import DOWN, E, N, SPANS, STATS, frames, numbered, query, r6, table
 from .sources import layouts
@@ -468,7 +468,7 @@ FROM g JOIN b ON b.user_id = g.user_id AND b.r = g.r + 1), e AS (SELECT user_id,
 def centre_dedup(spark, sf_dir):
     i = F.col("event_id")
     shapes = table(spark, sf_dir, "events").select("user_id", i.alias("id"), *[c.cast("double").alias(n) for n, c in (("area", i % 41), ("cx", i * 37 % 1000), ("cy", i * 53 % 1000))])
-    return joins.greedy_centres(shapes, "user_id", 150.0).select("user_id", "id", "cx", "cy")
+    return greedy.centres(shapes, "user_id", 150.0, Scratch(spark)).select("user_id", "id", "cx", "cy")
 
 
 POOL = ["ada", "ben", "cyd", "dan", "eve", "fay"]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import latest, scan, upcoming
 
 def range_lookup(points: DataFrame, at: str, ranges: DataFrame, width: int) -> DataFrame:
     """points with the first range [start, end] (by `file`) that holds `at`; null if none does.
@@ -20,21 +21,18 @@ def range_lookup(points: DataFrame, at: str, ranges: DataFrame, width: int) -> D
     return found.select(*points.columns, F.array_min(F.transform(hits, lambda r: r["file"])).alias("file"))
 
 
-def nearest(queries: DataFrame, times: DataFrame, by: str, at: str, tolerance: float) -> DataFrame:
+def nearest(queries: DataFrame, times: DataFrame, by: str, at: str, tolerance: float, width: float = 400.0) -> DataFrame:
     """queries with the distance to the nearest time of their group, and whether it is within the tolerance.
 
-    Both tables are one sequence, passed once upwards for the last time before each query and once downwards for the
-    first one after it; either pass keeps one value, so time grows with the rows of a group.
+    Both tables are one sequence, cut into chunks of `width` units of time. A scan brings each query the last time
+    before it and the first one after it, from other chunks too, so a group may hold any share of the rows.
     """
     q = queries.select("*", F.lit(False).alias("_is"), F.lit(None).cast("double").alias("_t"))
     t = times.select(by, F.col(at), F.lit(True).alias("_is"), F.col(at).cast("double").alias("_t"))
     both = q.unionByName(t, allowMissingColumns=True)
-    upto = lambda order: F.last("_t", ignorenulls=True).over(
-        Window.partitionBy(by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before, after = upto(F.col(at).asc()), upto(F.col(at).desc())
-    gap = F.least(F.abs(F.col(at) - before), F.abs(after - F.col(at)))
-    out = both.withColumn("gap", gap).where(~F.col("_is")).drop("_is", "_t")
+    found = scan(both, by, at, {"_last": latest(F.col("_t")), "_next": upcoming(F.col("_t"))}, width)
+    gap = F.least(F.abs(F.col(at) - F.col("_last")), F.abs(F.col("_next") - F.col(at)))
+    out = found.withColumn("gap", gap).where(~F.col("_is")).drop("_is", "_t", "_last", "_next")
     return out.withColumn("valid", F.coalesce(F.col("gap") <= tolerance, F.lit(False)))
 
 
@@ -75,24 +73,6 @@ def nearest_by_cosine(rows: DataFrame, row_key: str, row_vector: str, names: lis
     return rows.withColumn("_best", best).select(row_key, F.col("_best.name").alias("name"), F.col("_best.similarity").alias("similarity"))
 
 
-def greedy_boxes(boxes: DataFrame, by: str, overlap: float = 0.35) -> DataFrame:
-    """Boxes (id, x, y, w, h) of a frame that overlap no larger one that stays: kept largest first, ties by id."""
-    from ..functions.values import iou
-
-    order = F.array_sort(
-        F.collect_list(F.struct((-(F.col("w") * F.col("h"))).alias("a"), "id", "x", "y", "w", "h"))
-    )
-    box = lambda b: tuple(b[c].cast("double") for c in "xywh")
-    start = F.slice(F.col("all"), 1, 0)
-    kept = F.aggregate(
-        "all",
-        start,
-        lambda out, b: F.when(F.exists(out, lambda k: iou(box(k), box(b)) >= overlap), out).otherwise(F.concat(out, F.array(b))),
-    )
-    rows = boxes.groupBy(by).agg(order.alias("all")).withColumn("kept", kept)
-    return rows.select(by, F.explode("kept").alias("b")).select(by, "b.id", "b.x", "b.y", "b.w", "b.h")
-
-
 def overlapping_boxes(boxes: DataFrame, by: str, overlap: float = 0.35, cell: float = 50.0) -> DataFrame:
     """Pairs (id < other) of a group's boxes (id, x, y, w, h) that overlap by `overlap` at least, with their iou.
 
@@ -110,16 +90,6 @@ def overlapping_boxes(boxes: DataFrame, by: str, overlap: float = 0.35, cell: fl
     return met.where(first).select(by, "id", F.col("oid").alias("other"), value.alias("iou")).where(F.col("iou") >= overlap)
 
 
-def greedy_centres(shapes: DataFrame, by: str, distance: float) -> DataFrame:
-    """Shapes (id, area, cx, cy) of a frame whose centre is not nearer than `distance` to a larger one that stays."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("a"), "id", "cx", "cy")))
-    near = lambda k, s: F.hypot(k["cx"] - s["cx"], k["cy"] - s["cy"]) < distance
-    add = lambda out, s: F.when(F.exists(out, lambda k: near(k, s)), out).otherwise(F.concat(out, F.array(s)))
-    rows = shapes.groupBy(by).agg(order.alias("all"))
-    rows = rows.select(by, F.explode(F.aggregate("all", F.slice(F.col("all"), 1, 0), add)).alias("s"))
-    return rows.select(by, "s.id", (-F.col("s.a")).alias("area"), "s.cx", "s.cy")
-
-
 def by_file(rows: DataFrame, files: DataFrame, value: str) -> DataFrame:
     """rows (key, chunk, file, ..) with a value of their file from a dictionary (key, chunk, file, value); a file that
     isn't in it raises."""

@@ -22,13 +22,15 @@ def frame_index(order, episode: str = "episode_index") -> Column:
 
 
 def prefixes(df: DataFrame, key: str, weights: dict[str, Column], bucket: int = BUCKET, levels: int = 2) -> DataFrame:
-    """df with, for each name, the sum of its weight over all rows of smaller integer keys; keys are unique.
+    """df with, for each name, the sum of its weight over all rows of smaller integer keys; keys are unique, and a null
+    key raises.
 
     Two levels suit keys that are about dense: the upper one has a row for `bucket` keys. Keys that are spread over a
     far wider range (hashes, say) fill that many more buckets; each further level divides their number by `bucket`.
     """
     names, b = list(weights), f"_b{levels}"
-    rows = df.withColumns({f"_w{levels}{i}": w for i, w in enumerate(weights.values())} | {b: F.floor(F.col(key) / bucket)})
+    known = F.coalesce(F.floor(F.col(key) / bucket), F.raise_error(F.lit(f"{key} is null")).cast("long"))
+    rows = df.withColumns({f"_w{levels}{i}": w for i, w in enumerate(weights.values())} | {b: known})
     sums = rows.groupBy(b).agg(*[F.sum(f"_w{levels}{i}").alias(f"_s{i}") for i in range(len(names))])
     if levels > 2:
         sums = prefixes(sums, b, {f"_base{levels}{i}": F.col(f"_s{i}") for i in range(len(names))}, bucket, levels - 1)
@@ -83,9 +85,11 @@ def episode_spans(frames: DataFrame, episode: str = "episode_index") -> DataFram
 
 
 def reindex(frames: DataFrame, order="index", episode: str = "episode_index") -> DataFrame:
-    """Frames with dense episode, frame and global ids, in (episode, order) order."""
+    """Frames with dense episode, frame and global ids, in (episode, order) order. A null episode raises."""
+    from .scans import number, scan
+
     spans = episode_spans(frames, episode).select(episode, "new_episode", "dataset_from_index")
-    rows = frames.withColumn("frame_index", frame_index(order, episode)).join(spans, episode)
+    rows = scan(frames, episode, order, {"frame_index": number()}).join(spans, episode)
     return rows.withColumn("new_index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index")
 
 

@@ -1,4 +1,7 @@
-"""Operators that drop or thin out frames: frozen ends, waiting phases, clipping, downsampling, repair."""
+"""Operators that drop or thin out frames: frozen ends, waiting phases, clipping, downsampling, repair.
+
+What depends on the order of an episode's frames is a scan over chunks (`scans`), so an episode may hold any share of them.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp, l2_distance
+from . import scans
 from .keys import frame_index
 
 
 def velocity(frames: DataFrame, signal: str, order="index", episode: str = "episode_index", into: str = "velocity") -> DataFrame:
     """Distance of each frame's signal (number or vector) from the one before; 0 for the first."""
-    before = F.lag(signal).over(Window.partitionBy(episode).orderBy(order))
-    vector = dict(frames.dtypes)[signal].startswith("array")
-    step = l2_distance(F.col(signal), before) if vector else F.abs(F.col(signal) - before)
-    return frames.withColumn(into, F.coalesce(step, F.lit(0.0)))
+    return _stepped(scans.scan(frames, episode, order, {"_before": scans.before(F.col(signal))}), signal, into)
+
+
+def _stepped(rows: DataFrame, signal: str, into: str) -> DataFrame:
+    vector = dict(rows.dtypes)[signal].startswith("array")
+    step = l2_distance(F.col(signal), F.col("_before")) if vector else F.abs(F.col(signal) - F.col("_before"))
+    return rows.withColumn(into, F.coalesce(step, F.lit(0.0))).drop("_before")
 
 
 def balanced_shrink(lead: Column, trail: Column, n: Column, keep: int) -> tuple[Column, Column]:
@@ -31,7 +38,9 @@ def balanced_shrink(lead: Column, trail: Column, n: Column, keep: int) -> tuple[
 
 def frozen_bounds(frames: DataFrame, signal: str, threshold: float = 0.02, keep: int = 50, order="index", episode="episode_index") -> DataFrame:
     """Per episode: n, and how many frames without motion to cut at either end. Short episodes lose none."""
-    rows = velocity(frames, signal, order, episode).withColumn("rn", frame_index(order, episode))
+    keys = [episode, *([order] if isinstance(order, str) else order)]
+    rows = scans.scan(frames.select(*keys, signal), episode, order, {"_before": scans.before(F.col(signal)), "rn": scans.number()})
+    rows = _stepped(rows, signal, "velocity")
     moving = F.col("velocity") > threshold
     ends = rows.groupBy(episode).agg(
         F.count("*").alias("n"), F.min(F.when(moving, F.col("rn"))).alias("first"), F.max(F.when(moving, F.col("rn"))).alias("last")
@@ -50,18 +59,28 @@ def frozen_bounds(frames: DataFrame, signal: str, threshold: float = 0.02, keep:
 
 def cut_ends(frames: DataFrame, bounds: DataFrame, order="index", episode="episode_index") -> DataFrame:
     """Frames between an episode's lead and trail."""
-    rows = frames.withColumn("rn", frame_index(order, episode)).join(bounds.select(episode, "n", "lead", "trail"), episode)
+    rows = scans.scan(frames, episode, order, {"rn": scans.number()}).join(bounds.select(episode, "n", "lead", "trail"), episode)
     return rows.where((F.col("rn") >= F.col("lead")) & (F.col("rn") < F.col("n") - F.col("trail"))).drop("rn", "n", "lead", "trail")
 
 
 def first_run(rows: DataFrame, flag: Column, length: int, rn: str = "rn", episode: str = "episode_index", into: str = "run_start") -> DataFrame:
-    """Per episode that has one: where its first run of at least `length` frames with `flag` starts."""
-    island = F.sum((~flag).cast("int")).over(Window.partitionBy(episode).orderBy(rn))
-    runs = rows.withColumn("_island", island).where(flag).groupBy(episode, "_island")
+    """Per episode that has one: where its first run of at least `length` frames with `flag` starts.
+
+    Frames of a run have the same number of frames without the flag before them, so runs are groups, of any length.
+    """
+    own = rows.select(episode, rn, flag.alias("_flag"))
+    own = scans.scan(own, episode, rn, {"_island": scans.sum_before(F.when(F.col("_flag"), 0).otherwise(1))})
+    runs = own.where("_flag").groupBy(episode, "_island")
     runs = runs.agg(F.min(rn).alias("_start"), F.count("*").alias("_n")).where(F.col("_n") >= max(1, length))
     return runs.groupBy(episode).agg(F.min("_start").alias(into))
 
 
+def _median(ordered: Column) -> Column:
+    n = F.size(ordered)
+    low, high = (F.get(ordered, (F.floor((n + k) / 2) - 1).cast("int")) for k in (1, 2))
+    return low + (high - low) / 2
+
+
 def closing_plan(
     frames: DataFrame, signal: str, run: int = 5, wait: int = 8, remain: int = 20, factor: float = 0.45, fallback: float = 0.35,
     order="index", episode: str = "episode_index",
@@ -72,19 +91,21 @@ def closing_plan(
     `factor` of its range, towards the farther extreme, for `run` frames. Without such a run a share of the episode
     goes. At least `remain` frames stay.
     """
-    rows = frames.withColumn("rn", frame_index(order, episode))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(episode)))
-    k = F.greatest(F.lit(3), F.least(F.lit(10), F.floor(F.col("n") / 10)))
+    rows = scans.scan(frames, episode, order, {"rn": scans.number()})
+    sizes = frames.groupBy(episode).agg(F.count("*").alias("n"))
+    first = F.greatest(F.lit(3), F.least(F.lit(10), F.floor(F.col("n") / 10)))
+    # Ten frames at most are early, so those and their places are enough for the median.
+    early = F.array_sort(F.collect_list(F.when(F.col("rn") < 10, F.struct("rn", F.col(signal).cast("double").alias("x")))))
     levels = rows.groupBy(episode).agg(
-        F.first("n").alias("n"),
-        F.percentile(F.when(F.col("rn") < k, F.col(signal)), 0.5).alias("early"),
-        F.min(F.nanvl(F.col(signal).cast("double"), F.lit(None))).alias("low"),
-        F.max(F.nanvl(F.col(signal).cast("double"), F.lit(None))).alias("high"),
+        early.alias("_early"), F.min(F.nanvl(F.col(signal).cast("double"), F.lit(None))).alias("low"), F.max(F.nanvl(F.col(signal).cast("double"), F.lit(None))).alias("high")
     )
+    levels = levels.join(sizes, episode)
+    known = F.array_sort(F.filter(F.transform(F.filter("_early", lambda r: r["rn"] < first), lambda r: r["x"]), lambda x: x.isNotNull()))
+    levels = levels.withColumn("_known", known).withColumn("early", _median(F.col("_known"))).drop("_early", "_known")
     up = (F.col("high") - F.col("early")) >= (F.col("early") - F.col("low"))
     move = factor * F.greatest(F.col("high") - F.col("low"), F.lit(1e-6))
     levels = levels.withColumns({"up": up, "threshold": F.when(up, F.col("early") + move).otherwise(F.col("early") - move)})
-    seen = rows.drop("n").join(levels, episode)
+    seen = rows.join(levels, episode)
     shut = F.when(F.col("up"), F.col(signal) >= F.col("threshold")).otherwise(F.col(signal) <= F.col("threshold"))
     runs = first_run(seen.withColumn("shut", F.coalesce(shut, F.lit(False))), F.col("shut"), run, episode=episode)
     out = levels.join(runs, episode, "left")
@@ -110,16 +131,20 @@ def downsample(frames: DataFrame, source_fps: float, target_fps: float, order="i
     """The kept frames with new frame ids and times."""
     lengths = frames.groupBy(episode).agg(F.count("*").alias("n"))
     kept = lengths.select(episode, F.posexplode(kept_indices(F.col("n"), source_fps, target_fps)).alias("new_frame", "rn"))
-    rows = frames.withColumn("rn", frame_index(order, episode).cast("int"))
+    rows = scans.scan(frames, episode, order, {"rn": scans.number()}).withColumn("rn", F.col("rn").cast("int"))
     return rows.join(kept, [episode, "rn"]).withColumn("new_timestamp", (F.col("new_frame") / target_fps).cast("float")).drop("rn")
 
 
 def clip_to_limit(frames: DataFrame, limits: DataFrame, tolerance: float = 1e-6, time: str = "timestamp", episode: str = "episode_index") -> DataFrame:
-    """Frames not later than the smallest of their episode's limits (episode, limit); every episode must have one."""
+    """Frames not later than the smallest of their episode's limits (episode, limit). An episode without a limit raises,
+    and so does one that would lose all its frames."""
     least = limits.groupBy(episode).agg(F.min("limit").alias("limit"))
-    rows = frames.join(least, episode, "left")
-    known = F.when(F.col("limit").isNull(), F.raise_error(F.lit("an episode has no limit")).cast("double")).otherwise(F.col("limit"))
-    return rows.where(F.col(time) <= known + tolerance).drop("limit")
+    starts = frames.groupBy(episode).agg(F.min(time).alias("_start")).join(least, episode, "left")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.coalesce(F.col(episode).cast("string"), F.lit("null")))).cast("double")
+    limit = F.when(F.col("limit").isNull(), fail("no limit of episode ")).when(F.col("_start") > F.col("limit") + tolerance, fail("no frame is left of episode ")).otherwise(F.col("limit"))
+    known = starts.select(F.col(episode).alias("_of"), limit.alias("_limit"))
+    rows = frames.join(known, F.col(episode).eqNullSafe(F.col("_of")), "left")
+    return rows.where(F.col(time) <= F.col("_limit") + tolerance).select(*frames.columns)
 
 
 def clip_to_intervals(frames: DataFrame, slices: DataFrame, tolerance: float = 1e-4, time: str = "timestamp", episode: str = "episode_index") -> DataFrame:

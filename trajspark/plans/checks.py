@@ -8,18 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TrajectoryDataset, require_columns
+from ..operators import bitmaps
 from ..operators.datasets import timed
 from ..operators.keys import prefixes
 
 
-def missing_ids(rows: DataFrame, key: str, bucket: int = 4096) -> DataFrame:
-    """Ids between 0 and the largest that no row has, found bucket by bucket of neighbouring ids."""
-    ids = rows.select(F.col(key).alias("id")).where(F.col("id") >= 0).distinct()
-    buckets = ids.agg(F.max("id").alias("top")).where(F.col("top").isNotNull())
-    buckets = buckets.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / bucket))).alias("b"))
-    own = F.sequence(F.col("b") * bucket, F.least(F.col("b") * bucket + bucket - 1, F.col("top")))
-    wanted = buckets.repartition("b").select(F.explode(own).alias("id"))
-    return wanted.join(ids, "id", "left_anti").select(F.col("id").alias("missing_id"))
+def missing_ids(rows: DataFrame, key: str) -> DataFrame:
+    """Ids between 0 and the largest that no row has."""
+    return bitmaps.missing(rows, key)
 
 
 def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
@@ -28,26 +24,26 @@ def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
 
 def dense_ids(rows: DataFrame, key: str) -> DataFrame:
     """One row of counts: a key is dense from 0 if all agree."""
-    return rows.agg(
-        F.count(key).alias("n"), F.count_distinct(key).alias("n_distinct"), F.min(key).alias("low"), F.max(key).alias("high")
-    ).withColumn("dense", (F.col("n") == F.col("n_distinct")) & (F.coalesce("low", F.lit(0)) == 0) & (F.coalesce("high", F.lit(-1)) == F.col("n") - 1))
+    return bitmaps.dense(rows, key)
 
 
 def violations(ds: TrajectoryDataset) -> DataFrame:
     """(check, episode_index, detail) of everything that a valid dataset must not have.
 
-    Frames are read once and summed by episode. Dense ids need no count over all frames: they are dense if every
-    episode's frames are a run, and if runs and episodes follow each other without a gap.
+    Frames are read once and summed by episode and word of 64 frame numbers, which map tasks do for themselves. Ids are
+    dense if every episode's frames are a run, and if runs and episodes follow each other without a gap.
     """
     frames, episodes, tasks = ds.frames, ds.episodes, ds.tasks
     known = frames.select("episode_index", "index", "frame_index", "task_index").join(tasks.select("task_index", F.lit(True).alias("there")), "task_index", "left")
     unknown = F.when(F.col("there").isNull(), F.coalesce(F.col("task_index").cast("string"), F.lit("null")))
-    own = known.groupBy("episode_index").agg(
+    own = known.groupBy("episode_index", bitmaps.word("frame_index").alias("word")).agg(
         F.count("*").alias("n"), F.min("index").alias("low"), F.max("index").alias("high"),
-        F.min("frame_index").alias("f0"), F.max("frame_index").alias("f1"), F.count_distinct("frame_index").alias("fn"),
+        F.min("frame_index").alias("f0"), F.max("frame_index").alias("f1"), bitmaps.bits_of("frame_index").alias("bits"),
         F.min(F.col("index") - F.col("frame_index")).alias("s0"), F.max(F.col("index") - F.col("frame_index")).alias("s1"),
         F.min(unknown).alias("unknown"),
     )
+    lows, highs = ([f(c).alias(c) for c in names] for f, names in ((F.min, ("low", "f0", "s0", "unknown")), (F.max, ("high", "f1", "s1"))))
+    own = own.groupBy("episode_index").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("fn"), *lows, *highs)
     meta = episodes.groupBy("episode_index").agg(
         F.count("*").alias("rows"), F.min("length").alias("length"), F.min("dataset_from_index").alias("dataset_from_index"),
         F.min("dataset_to_index").alias("dataset_to_index"), F.min(F.coalesce(F.size("tasks"), F.lit(0))).alias("n_tasks"),
@@ -133,8 +129,11 @@ def final_report(
     flag = lambda c: F.when(c, 1).otherwise(0)
     literal = lambda n: spark.range(1).select(F.lit(n).cast("long").alias("bad"))
     cameras = [k for k, v in info.get("features", {}).items() if v.get("dtype") == "video"]
-    own = ds.frames.groupBy("episode_index").agg(
-        F.count("*").alias("n"), F.min("index").alias("low"), F.max("index").alias("high"), F.count_distinct("index").alias("distinct")
+    own = ds.frames.groupBy("episode_index", bitmaps.word("index").alias("word")).agg(
+        F.count("*").alias("n"), F.min("index").alias("low"), F.max("index").alias("high"), bitmaps.bits_of("index").alias("bits")
+    )
+    own = own.groupBy("episode_index").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("distinct")
     )
     own = prefixes(own, "episode_index", {"before": F.lit(1).cast("long"), "frames_before": F.col("n")})
     meta = ds.episodes.select("episode_index", "dataset_from_index", "dataset_to_index").join(own, "episode_index", "left")

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
-from .operators import edit, joins, keys, sample, stats, trim
+from .operators import edit, greedy, joins, keys, sample, stats, trim
 from .plans import checks, report, trials
+from .storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -798,7 +799,7 @@ SELECT b.user_id, b.r, CASE WHEN len(list_filter(g.kept, lambda k: {_OVER} / (k.
 ELSE list_append(g.kept, {{'id': b.id, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}}) END FROM g JOIN b ON b.user_id = g.user_id AND b.r = g.r + 1),
 e AS (SELECT user_id, unnest(arg_max(kept, r)) AS k FROM g GROUP BY user_id) SELECT user_id, k.id AS id, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM e""")
 def greedy_box_dedup(spark, sf_dir):
-    return joins.greedy_boxes(boxes(spark, sf_dir), "user_id")
+    return greedy.boxes(boxes(spark, sf_dir), "user_id", Scratch(spark))
 
 
 # Plans and validators
