@@ -1,22 +1,25 @@
 """Greedy choice of boxes, the largest first, as rounds over all groups at once.
 
-A box meets others on the grid cells that it touches. In a round, a box that is the largest open one in every cell it touches
-has no open larger neighbour, so it stays, whatever becomes of the others; every open box that conflicts with it goes.
-The rest is open for the next round. The result is that of taking boxes one after another, largest first. Each cell has
-one largest box, found by partial aggregation, and so one that stays in a round: a box meets as many boxes as it touches
-cells, never all of its group, and no pairs are listed. The number of rounds is that of the longest chain of boxes that
-wait for each other.
+A box meets others on the grid cells that it touches. A round takes the FIRST largest open boxes of every cell as one list. A
+box that is in the list of each cell it touches and conflicts with no larger one there has no open larger neighbour, so
+it stays, whatever becomes of the others; every open box that conflicts with it goes. The rest is open for the next
+round. The result is that of taking boxes one after another, largest first. Lists are cut before they are shuffled, so
+a cell that most boxes touch costs what others do, no pairs are listed, and a box meets a bounded list a cell, never
+all of its group. The number of rounds is that of the longest chain of boxes that wait for each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
+#: Boxes of a cell's list.
+FIRST = 16
+
 _BOX = ("x", "y", "w", "h")
 
 
@@ -44,11 +47,14 @@ def largest_first(
     cells = (F.col("b.at.x1") - F.col("b.at.x0") + 1) * (F.col("b.at.y1") - F.col("b.at.y0") + 1)
     while not open_.isEmpty():
         spread = grid(open_)
-        tops = spread.groupBy("g", "cx", "cy").agg(F.min_by("b", "b.rank").alias("b"))
-        stay = scratch.table(tops.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") == cells).select("b"), f"stay_{turn}")
-        near = grid(stay).select("g", "cx", "cy", F.col("b.own").alias("k"))
-        met = spread.join(near, ["g", "cx", "cy"])
-        gone = met.where((F.col("b.own.id") == F.col("k.id")) | conflict(F.col("k"), F.col("b.own"))).select("g", F.col("b.own.id").alias("id")).distinct()
+        lead = F.row_number().over(Window.partitionBy("g", "cx", "cy").orderBy("b.rank"))
+        lists = spread.withColumn("_n", lead).where(F.col("_n") <= FIRST).groupBy("g", "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("b.rank", "b"))).alias("list"))
+        larger = lambda x: F.exists("list", lambda k: (k["rank"] < x["rank"]) & conflict(k["b"]["own"], x["b"]["own"]))
+        free = lists.select(F.explode(F.filter("list", lambda x: ~larger(x))).alias("x")).select("x.b")
+        stay = scratch.table(free.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") == cells).select("b"), f"stay_{turn}")
+        near = grid(stay).groupBy("g", "cx", "cy").agg(F.collect_list("b.own").alias("kept"))
+        hit = F.exists("kept", lambda k: (F.col("b.own.id") == k["id"]) | conflict(k, F.col("b.own")))
+        gone = spread.join(near, ["g", "cx", "cy"]).where(hit).select("g", F.col("b.own.id").alias("id")).distinct()
         left = open_.withColumns({"g": F.col("b.g"), "id": F.col("b.own.id")}).join(gone, ["g", "id"], "left_anti").select("b")
         names.append(f"stay_{turn}")
         turn += 1
