@@ -54,6 +54,12 @@ class Scratch:
             self.spark.conf.unset(_CLEANUP) if usual is None else self.spark.conf.set(_CLEANUP, usual)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def child(self, name: str) -> Scratch:
+        """The tables of a part of the run, below its own."""
+        out = Scratch(self.spark)
+        out.at = f"{self.at}/{name}"
+        return out
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
