@@ -18,16 +18,15 @@ from trajspark.llm import near_duplicates, packing, quality, substrings, toxicit
 from trajspark.llm.common import Scratch
 from trajspark.llm.queries import tokenizer_path
 
-#: Rows of one doc_id are told apart by a hash of their text.
-_TIE = "_pipeline_tie"
-
-
-def _same(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left[_TIE] == right["tie"])
+def _tied(docs: DataFrame) -> DataFrame:
+    """Every row whole, as one struct, so that no name of its columns can clash; rows of one doc_id are told apart by a
+    hash of their text."""
+    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), tie.alias("of_text"))
 
 
-def _tied(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_TIE, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _same(found: DataFrame):
+    return F.col("id").eqNullSafe(found["doc_id"]) & (F.col("of_text") == found["tie"])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     found = near_duplicates.near_duplicates(docs, scratch, size=5, percent=80)
     stay = scratch.finish(found.where("kept").select("doc_id", "tie").distinct(), "stay")
-    tied = _tied(docs)
-    return tied.join(stay, _same(tied, stay), "left_semi").dropDuplicates(["doc_id", _TIE]).drop(_TIE)
+    rows = _tied(docs).join(stay, _same(stay), "left_semi").dropDuplicates(["id", "of_text"])
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +53,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = substrings.remove_duplicates(docs, scratch, window=20)
     lost = found.where(F.col("kept").isNotNull()).select("doc_id", "tie", "kept").dropDuplicates(["doc_id", "tie"])
     lost = scratch.finish(lost, "lost")
-    tied = _tied(docs)
-    rows = tied.join(lost, _same(tied, lost), "left").withColumn("_pipeline_text", F.coalesce(lost["kept"], tied["text"]))
-    changed = {"text": F.col("_pipeline_text"), "n_chars": F.when(lost["kept"].isNull(), tied["n_chars"]).otherwise(F.length(lost["kept"]))}
-    return rows.select(*[(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else tied[c]) for c in docs.columns])
+    rows = _tied(docs).join(lost, _same(lost), "left")
+    row, kept = F.col("row"), F.col("kept")
+    changed = {"text": F.coalesce(kept, row["text"]), "n_chars": F.coalesce(F.length(kept), row["n_chars"])}
+    return rows.select(*[(changed[c].cast(docs.schema[c].dataType) if c in changed else row[c]).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
