@@ -99,25 +99,27 @@ def dominated(cells: DataFrame, weights: list[str], scratch: Scratch) -> DataFra
     smaller slot and a strictly higher level, as above_<weight>."""
     rank, part, span = _P + "rank", _P + "part", _P + "span"
     inside, across = [_P + f"in{i}" for i in range(len(weights))], [_P + f"over{i}" for i in range(len(weights))]
+    # Sweeping costs more than its bytes tell, so ranges are as many as the session's shuffle partitions, never merged.
+    ranges = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(rank), F.col("slot").desc()]
-    rows = cells.select(*["level", "slot", *weights], (-F.col("level")).alias(rank)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cells.select(*["level", "slot", *weights], (-F.col("level")).alias(rank)).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     rows = scratch.table(_swept(rows, rank, "slot", weights, inside, part), "swept_levels")
 
     histogram = rows.groupBy("slot", part).agg(*[F.sum(w).alias(w) for w in weights])
     order = [F.col("slot"), F.col(part).desc()]
-    ranges = histogram.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranges = scratch.table(_swept(ranges, "slot", part, weights, across, span), "swept_slots")
+    spans = histogram.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    spans = scratch.table(_swept(spans, "slot", part, weights, across, span), "swept_slots")
 
     # Sums over earlier partitions and earlier ranges: along the partitions first, then along the ranges.
-    last = ranges.agg(F.max(part), F.max(span)).head()
-    grid = ranges.groupBy(part, span).agg(*[F.sum(w).alias(w) for w in weights])
-    every = ranges.sparkSession.range((last[1] if last[1] is not None else -1) + 1).select(F.col("id").cast("int").alias(span))
+    last = spans.agg(F.max(part), F.max(span)).head()
+    grid = spans.groupBy(part, span).agg(*[F.sum(w).alias(w) for w in weights])
+    every = spans.sparkSession.range((last[1] if last[1] is not None else -1) + 1).select(F.col("id").cast("int").alias(span))
     every = every.select(span, F.explode(F.sequence(F.lit(0), F.lit(last[0] or 0))).alias(part))
     before = lambda by, order, w: F.coalesce(F.sum(w).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     grid = every.join(grid, [part, span], "left")
     for by, along in ((span, part), (part, span)):
         grid = grid.select(part, span, *[before(by, along, w).alias(w) for w in weights])
-    higher = ranges.drop(*weights).join(grid, [part, span])
+    higher = spans.drop(*weights).join(grid, [part, span])
     higher = higher.select("slot", part, *[(F.col(a) + F.col(w)).alias(a) for a, w in zip(across, weights, strict=True)])
     out = rows.join(higher, ["slot", part])
     return out.select("level", "slot", *weights, *[(F.col(i) + F.col(a)).alias(f"above_{w}") for i, a, w in zip(inside, across, weights, strict=True)])

@@ -10,12 +10,12 @@ coordinate k. Coordinates are cut into bands.
 3. Components of these links join most buckets into one. Buckets that still hold nodes of different components
    check them against a node drawn at random, another in each bucket, TURNS times over: as linear as step 2.
 4. In buckets that even then hold several components, pairs across components are checked too, if they can be
-   links: what a set can share at most (shingles that another open node has) and the signatures rule most of them
-   out; only verified links leave that step.
+   links: sizes, what a set can share at most (shingles that another open node has), and how many shingles of each
+   bin of hashes two sets have rule most of them out, none of them wrongly; only verified links leave that step.
 
-Two chances of losing a link remain, both of the method and taken with independent coordinates: a pair of similarity
-0.85 shares none of 32 bands of 5 coordinates with probability 7e-9 (0.8: 3e-6), and in step 4 alone it agrees in so
-few coordinates as to be passed over with 1e-10 (0.8: 6e-9).
+One chance of losing a link remains, that of banding: a pair just at the limit shares no band. Bands have as many
+coordinates as keep it below MISS, taken with independent coordinates: 32 bands of 5 at 0.85 (7e-9), 40 of 4 at 0.8
+(7e-10).
 
 Null and empty texts, and texts without words, have no shingle and are linked with nothing. Texts with fewer words
 than a shingle have their whole sequence as one. Very long texts are taken whole: a set is one row. Repeated rows are
@@ -38,12 +38,11 @@ from .common import Scratch, fields, id_and_text, per_batch
 from .graph import components
 from .shingles import BASE, hashed, in_chunks, mixed, rolling
 
-#: Bands of the signature and coordinates of a band.
-BANDS, ROWS = 32, 5
+#: Coordinates of a signature, and the largest chance of a pair at the limit to share no band.
+COORDINATES, MISS = 160, 1e-8
 
-#: Shingles of a chunk of a large bucket, and how far under the asked similarity the share of agreeing coordinates
-#: may lie for a pair to be checked (with 160 coordinates, more than six standard deviations).
-CHUNK, SLACK = 1 << 19, 0.2
+#: Shingles of a chunk of a large bucket, and bits of a bin of hashes.
+CHUNK, BIN_BITS = 1 << 19, 9
 
 #: Rounds in which every bucket with several components checks its nodes against one drawn at random.
 TURNS = 2
@@ -69,7 +68,15 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.ndarray:
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and coordinates of a band: the longest bands whose chance to miss a pair at the limit is small enough."""
+    for rows in (8, 5, 4, 2):
+        if (1 - (percent / 100) ** rows) ** (COORDINATES // rows) <= MISS:
+            return COORDINATES // rows, rows
+    return COORDINATES, 1
+
+
+def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
     """MinHash signatures (set x coordinate) of non-empty sets from one circularly shifted permutation."""
     starts = np.cumsum([0, *map(len, sets[:-1])])
     # The first permutation; the hashes are already spread, so their upper half is the place.
@@ -89,12 +96,12 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key of every band."""
-    own = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), own.shape[:2]).copy()
+    own = signature.reshape(len(signature), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), own.shape[:2]).copy()
     with np.errstate(over="ignore"):
-        for k in range(ROWS):
+        for k in range(rows):
             key = mixed(key * BASE + own[:, :, k])
     return key.view(np.int64)
 
@@ -103,22 +110,21 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, tie (hash of the text), n_shingles, node (digest of the set), bands, signature (lowest bytes)."""
-    schema = fields(docs, ("tie", "bigint"), ("n_shingles", "bigint"), ("node", "binary"), ("bands", "array<bigint>"), ("signature", "binary"))
+def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, tie (hash of the text), n_shingles, node (digest of the set), bands."""
+    schema = fields(docs, ("tie", "bigint"), ("n_shingles", "bigint"), ("node", "binary"), ("bands", "array<bigint>"))
+    cut = layout(percent)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": rows["doc_id"], "tie": rows["tie"], "n_shingles": [], "node": [], "bands": [], "signature": []}
+        out = {"doc_id": rows["doc_id"], "tie": rows["tie"], "n_shingles": [], "node": [], "bands": []}
         for a, b in in_chunks(rows["text"], 1 << 19):
             sets = shingle_sets(rows["text"][a:b], size)
             full = [s for s in sets if len(s)]
-            signature = signatures(full) if full else np.zeros((0, BANDS * ROWS), np.uint32)
-            keys, low = iter(band_keys(signature)), iter((signature & np.uint32(255)).astype(np.uint8))
+            keys = iter(band_keys(signatures(full), *cut) if full else ())
             for own in sets:
                 out["n_shingles"].append(len(own))
                 out["node"].append(_digest(own) if len(own) else None)
                 out["bands"].append(next(keys) if len(own) else None)
-                out["signature"].append(next(low).tobytes() if len(own) else None)
         return out
 
     return per_batch(id_and_text(docs).withColumn("tie", F.xxhash64("text")), run, schema)
@@ -203,14 +209,15 @@ def _chunked(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def _rest_links(rows: DataFrame, percent: int) -> DataFrame:
     """Verified pairs (a, b) of a bucket's nodes from different components; only links leave the comparison.
 
-    A pair is looked at in the first bucket that it shares, if sizes, reach and signatures leave a link possible.
-    Every two chunks of a bucket meet once.
+    A pair is looked at in the first bucket that it shares, if sizes, reach and bins leave a link possible: two sets
+    share at most the smaller number of shingles of each bin. Every two chunks of a bucket meet once.
     """
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         key, low, high = frame["key"].iat[0], frame["low"].iat[0], frame["high"].iat[0]
-        signature = np.stack([np.frombuffer(x, np.uint8) for x in frame["signature"]])
         bands, shingles = np.stack(frame["bands"]), frame["shingles"].tolist()
+        in_bin = lambda own: np.bincount((np.asarray(own).view(np.uint64) >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
+        bins = np.stack([in_bin(own).astype(np.int32) for own in shingles])
         n, reach, label = frame["n"].to_numpy(), frame["reach"].to_numpy(), pd.factorize(frame["label"])[0]
         node, chunk = frame["node"].tolist(), frame["chunk"].to_numpy()
         pairs = []
@@ -220,9 +227,9 @@ def _rest_links(rows: DataFrame, percent: int) -> DataFrame:
             near = np.flatnonzero(later & (label != label[i]) & (100 * most >= percent * (n + n[i] - most)))
             if not len(near):
                 continue
-            first = bands[i][(bands[near] == bands[i]).argmax(1)] == key
-            near = near[first & ((signature[near] == signature[i]).mean(1) >= percent / 100 - SLACK)]
-            for j in near.tolist():
+            near = near[bands[i][(bands[near] == bands[i]).argmax(1)] == key]
+            most = np.minimum(bins[near], bins[i]).sum(1)
+            for j in near[100 * most >= percent * (n[near] + n[i] - most)].tolist():
                 both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
                 if 100 * both >= percent * (n[i] + n[j] - both):
                     pairs.append((min(node[i], node[j]), max(node[i], node[j])))
@@ -234,7 +241,7 @@ def _rest_links(rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, tie (hash of the text), n_shingles, component_id (smallest doc_id reachable over links), and kept
     (doc_id is that)."""
-    sketches = scratch.table(sketch(docs, size), "sketches")
+    sketches = scratch.table(sketch(docs, size, percent), "sketches")
     nodes = (
         sketches.where(F.col("node").isNotNull())
         .groupBy("node")
@@ -242,7 +249,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
             F.min("doc_id").alias("doc_id"),
             F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"),
-            F.first("signature").alias("signature"),
         )
     )
     nodes = scratch.table(nodes, "nodes")
@@ -281,7 +287,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
             more = _verified(_other_stars(own, turn, percent), sets, percent)
         else:
             chunks = _chunked(own, scratch)
-            more = _rest_links(chunks.join(nodes.select("node", "signature", "bands"), "node").join(sets, "node"), percent)
+            more = _rest_links(chunks.join(nodes.select("node", "bands"), "node").join(sets, "node"), percent)
         more = scratch.table(more, f"links_{turn}")
         if not more.isEmpty():
             roots = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))

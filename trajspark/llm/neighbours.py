@@ -8,11 +8,14 @@ cosine on the original vectors, and the windows' results are merged.
 How wide the windows must be depends on the data: where vectors have no structure, neighbours are spread over the
 whole curve and windows cover most of the table; where they lie in clusters, a few blocks do. So a bounded sample of
 queries is searched exhaustively first, and the narrowest window that finds TARGET of their true neighbours is used
-for all queries. `recall` measures what is found of queries that the width was not fitted on.
+for all queries. A second sample, which the width is not fitted on, gives `held_out_recall`: the share of its true
+neighbours that lie in those windows (null if the table has no queries beyond the first sample). A block is a 64th of
+the table, between LEAST and MOST vectors, so small tables have many blocks too.
 
 Equal vectors are one row of the index, with as many of their smallest ids as a result can need; a vector that
-fills a third of the table so fills no block. Vectors that are null, zero, or hold null or non-finite components,
-of another length than most, or without an id take no part. Vectors are scaled by a power of two before products are
+fills a third of the table so fills no block. Vectors that are null, zero, or hold null or non-finite components, or
+without an id take no part. A cosine needs equal lengths: vectors of each length are searched among themselves, length
+by length. Vectors are scaled by a power of two before products are
 taken, so that very large and very small components neither overflow nor vanish; cosines are not changed by that.
 Repeated ids count once for each distinct vector; equal scores are ranked by vec_id. An empty table, or one without
 a valid vector, gives no rows. Other columns are ignored.
@@ -21,6 +24,7 @@ a valid vector, gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,11 +36,15 @@ from pyspark.sql import types as T
 
 from .common import Scratch, bound_batches, to_arrow
 
-#: Curves, directions of a projection, bits of a coordinate, and vectors of a block.
-CURVES, DIRECTIONS, BITS, BLOCK = 4, 8, 7, 1024
+#: Curves, directions of a projection, bits of a coordinate.
+CURVES, DIRECTIONS, BITS = 8, 8, 7
 
-#: Queries searched exhaustively to fit the windows' width, and what share of their neighbours windows must find.
-TRIAL_QUERIES, TARGET = 128, 0.97
+#: Fewest and most vectors of a block.
+LEAST, MOST = 16, 1024
+
+#: Queries searched exhaustively to fit the windows' width (and as many to measure it), and what share of their
+#: neighbours windows must find.
+TRIAL_QUERIES, TARGET = 128, 0.96
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -125,10 +133,12 @@ def valid(rows: DataFrame) -> DataFrame:
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & some)
-    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
-    most = sizes.orderBy(F.col("n").desc(), "size").limit(1).collect()
-    return rows.where(F.size("embedding") == (most[0]["size"] if most else 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & some)
+
+
+def lengths(rows: DataFrame) -> list[int]:
+    """The different lengths of vectors: a number each, of which a table has few."""
+    return sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect())
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -175,7 +185,7 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def index(vectors: DataFrame, curves: Curves, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def index(vectors: DataFrame, curves: Curves, scratch: Scratch, block: int) -> DataFrame:
     """curve, block, vector, ids: every vector once on each curve; blocks are numbered along their curve."""
     schema = T.StructType(
         [
@@ -253,19 +263,22 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _half_width(trial: pd.DataFrame, vectors: DataFrame, table: DataFrame, k: int) -> int:
-    """Blocks to each side that find TARGET of the sample's true neighbours on some curve."""
+def _half_width(trial: pd.DataFrame, vectors: DataFrame, table: DataFrame, k: int) -> tuple[int, float | None]:
+    """Blocks to each side that find TARGET of the true neighbours of the first TRIAL_QUERIES on some curve, and the
+    share of the other queries' neighbours that they find."""
     true = _exhaustive(trial, vectors, k)
     if not len(true):
-        return 0
+        return 0, None
     wanted = sorted({*true["vec_id"].tolist(), *trial["query_id"].tolist()})
     spark = table.sparkSession
-    names = F.broadcast(spark.createDataFrame([(x,) for x in wanted], "vec_id long"))
+    names = F.broadcast(spark.createDataFrame([(x,) for x in wanted], "vec_id long"))  # 2 * TRIAL_QUERIES * (k + 1) ids at most
     seen = table.select("curve", "block", F.explode("ids").alias("vec_id")).join(names, "vec_id").toPandas()
     blocks = seen.pivot_table(index="vec_id", columns="curve", values="block", aggfunc="first")
     known = true[true["vec_id"].isin(blocks.index) & true["query_id"].isin(blocks.index)]
     gap = np.abs(blocks.loc[known["query_id"]].to_numpy() - blocks.loc[known["vec_id"]].to_numpy()).min(1)
-    return int(np.quantile(gap, TARGET, method="higher")) if len(gap) else 0
+    first = known["query_id"].isin(trial["query_id"].head(TRIAL_QUERIES)).to_numpy()
+    half = int(np.quantile(gap[first], TARGET, method="higher")) if first.any() else 0
+    return half, float((gap[~first] <= half).mean()) if (~first).any() else None
 
 
 def _queries(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -282,17 +295,25 @@ def _queries(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(named.select("vec_id", "embedding").mapInArrow(as_bytes, "query_id bigint, vector binary"), "queries")
 
 
-def search(rows: DataFrame, every: int, k: int, scratch: Scratch, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every vector whose id is divisible by `every`."""
+def search(rows: DataFrame, every: int, k: int, scratch: Scratch, curves: int = CURVES, block: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, held_out_recall: the k nearest found of every vector whose id is divisible by
+    `every`."""
     rows = valid(rows)
+    own = lengths(rows.where(F.col("vec_id") % every == 0))
+    at = lambda n: scratch if len(own) == 1 else scratch.child(f"length_{n}")
+    parts = [_search(rows.where(F.size("embedding") == n), n, every, k, at(n), curves, block) for n in own]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, held_out_recall double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search(rows: DataFrame, length: int, every: int, k: int, scratch: Scratch, curves: int, block: int | None) -> DataFrame:
     vectors = scratch.table(distinct_vectors(rows, k + 1), "vectors")
     queries = _queries(rows.where(F.col("vec_id") % every == 0), scratch)
-    first = vectors.select(F.octet_length("vector").alias("bytes")).limit(1).collect()
-    if not first:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    table = index(vectors, fitted(vectors, first[0]["bytes"] // 8, curves), scratch, block)
-    trial = queries.orderBy(F.xxhash64("query_id"), "vector").limit(TRIAL_QUERIES).toPandas()
-    half = _half_width(trial, vectors, table, k)
+    block = block or max(LEAST, min(MOST, vectors.count() // 64))
+    table = index(vectors, fitted(vectors, length, curves), scratch, block)
+    trial = queries.orderBy(F.xxhash64("query_id"), "vector").limit(2 * TRIAL_QUERIES).toPandas()
+    half, share = _half_width(trial, vectors, table, k)
 
     # Where a query stands on each curve; equal vectors stand at one place.
     stands = table.select("curve", "block", "vector").join(queries, "vector")
@@ -315,13 +336,14 @@ def search(rows: DataFrame, every: int, k: int, scratch: Scratch, curves: int =
     asked = scratch.table(asked.select(*keys, "query_id", "vector"), "asked")
     near = asked.groupBy(*keys).cogroup(held.select(*keys, "vector", "ids").groupBy(*keys))
     found = near.applyInPandas(rerank, "query_id bigint, vec_id bigint, score double")
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(share).cast("double").alias("held_out_recall"))
 
 
 def recall(found: DataFrame, rows: DataFrame, every: int, k: int, scratch: Scratch, queries: int = TRIAL_QUERIES) -> float:
     """The share of true neighbours in a result of `search`, over queries that its windows were not fitted on (the
-    next ones in the order in which those were taken); 1 if there are none."""
+    next ones in the order in which those were taken), among vectors of the greatest length; 1 if there are none."""
     rows = valid(rows)
+    rows = rows.where(F.size("embedding") == max(lengths(rows), default=0))
     vectors = scratch.table(distinct_vectors(rows, k + 1), "recall_vectors")
     order = _queries(rows.where(F.col("vec_id") % every == 0), scratch).orderBy(F.xxhash64("query_id"), "vector")
     aside = order.offset(TRIAL_QUERIES).limit(queries).toPandas()
