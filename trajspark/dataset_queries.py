@@ -378,6 +378,30 @@ def episode_file_groups(spark, sf_dir):
     return rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("length").alias("n_frames"))
 
 
+@query(f"WITH {DS} SELECT printf('chunk-%03d/file-%03d.parquet', (i // 1000) // 40, (i // 1000) % 40) AS path, count(*) AS n, min(i) AS low, max(i) AS high FROM f GROUP BY 1")
+def exact_file_rows(spark, sf_dir):
+    """Files of 1000 frames each, as they are on disk."""
+    root = f"{Scratch(spark).at}/dataset"
+    layouts.write(dataset(spark, sf_dir), root, "3", rows_per_file=1000)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data").select("index", F.regexp_extract("_metadata.file_path", r"/data/(.+)$", 1).alias("path"))
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.min("index").alias("low"), F.max("index").alias("high"))
+
+
+@query(f"""WITH {DS}, n AS (SELECT count(*) AS n_episodes, sum(length)::BIGINT AS n_frames FROM e)
+SELECT printf('chunk-000/file-%03d.parquet', e // 10) AS path, sum(length)::BIGINT AS n, bool_or(e = 4) AS changed, count(*) FILTER (e = 4) AS n_said FROM e GROUP BY 1""")
+def changed_files(spark, sf_dir):
+    """One episode's prompt changed in a stored dataset: which files were written again, which copied."""
+    scratch = Scratch(spark)
+    a, b = f"{scratch.at}/a", f"{scratch.at}/b"
+    layouts.write(dataset(spark, sf_dir), a, "3")
+    done = layouts.rewrite(edit.change_prompt(layouts.read(spark, a), 4, "another prompt"), a, b)
+    ds = layouts.read(spark, b)
+    rows = ds.frames.select("episode_index", "task_index", F.regexp_extract("_metadata.file_path", r"/data/(.+)$", 1).alias("path")).join(ds.tasks, "task_index")
+    said = F.count_distinct(F.when(F.col("task") == "another prompt", F.col("episode_index")))
+    there = rows.groupBy("path").agg(F.count("*").alias("n"), said.alias("n_said"))
+    return done.join(there, "path").select("path", "n", "changed", "n_said")
+
+
 @query(f"WITH {DS} SELECT e AS episode_index, CASE WHEN e % 4 = 1 THEN length + 1000 ELSE length END AS length FROM e")
 def later_rows_win(spark, sf_dir):
     root = f"{Scratch(spark).at}/dataset"

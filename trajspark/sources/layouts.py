@@ -10,7 +10,9 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.values import suffixed_keys
 from ..model import TrajectoryDataset, features_of, harmonised_stats, normalise_tasks, video_keys
-from ..storage import write_text
+from ..operators import keys
+from ..storage import Scratch, write_text
+from . import sink
 
 
 def _path(spark: SparkSession, path: str):
@@ -132,10 +134,32 @@ def write_grouped(rows: DataFrame, by: list[str], target, order: list[str], kind
         fs.delete(above, True)
 
 
+def placed(ds: TrajectoryDataset, layout: str = "3", rows_per_file: int | None = None) -> DataFrame | None:
+    """Frames with `_path`, the name of their file below data/. In layout 2 an episode has a file; in layout 3 files have
+    `rows_per_file` rows each (the last one fewer), or are those that episodes name; None if they name none."""
+    chunks = int(ds.info.get("chunks_size", 1000))
+    named = lambda text, *n: F.format_string(text, *[x.cast("long") for x in n])
+    if layout == "2":
+        number = F.col("episode_index")
+        return ds.frames.withColumn("_path", named("chunk-%03d/episode_%06d.parquet", F.floor(number / chunks), number))
+    if rows_per_file:
+        rows = keys.positions(ds.frames, F.floor(F.col("index") / keys.BUCKET), ["index"], "_place")
+        number = F.floor(F.col("_place") / rows_per_file)
+        return rows.withColumn("_path", named("chunk-%03d/file-%03d.parquet", F.floor(number / chunks), number % chunks)).drop("_place")
+    if "data/file_index" not in ds.episodes.columns:
+        return None
+    own = ds.episodes.select("episode_index", named("chunk-%03d/file-%03d.parquet", F.col("`data/chunk_index`"), F.col("`data/file_index`")).alias("_path"))
+    return ds.frames.join(own, "episode_index").select(*[F.col(f"`{c}`") for c in ds.frames.columns], "_path")
+
+
+_ORDER = ["episode_index", "frame_index"]
+
+
 def write(
     ds: TrajectoryDataset, root: str, layout: str = "3", overwrite: bool = False, rows_per_file: int | None = None, tasks_layout: str = "A"
 ) -> None:
-    """Write a dataset. Frames of an episode stand together; layout 2 has a file for each episode.
+    """Write a dataset. Layout 2 has a file for each episode; of layout 3, see `placed`. Data files appear together,
+    in the place of any old ones.
 
     Episode rows go to the files that their meta/episodes columns name, to one if they name none. tasks_layout: "A" has
     columns task_index and task, "B" keeps prompts as the index column of a data frame.
@@ -143,33 +167,63 @@ def write(
     spark = ds.frames.sparkSession
     if exists(spark, root) and not overwrite:
         raise FileExistsError(root)
-    for old in ("data", "meta/episodes", "meta/episodes.jsonl", "meta/tasks.jsonl", "meta/tasks.parquet"):
+    rows = placed(ds, layout, rows_per_file)
+    if rows is None:
+        ds.frames.repartitionByRange("episode_index").sortWithinPartitions(*_ORDER).write.mode("overwrite").parquet(f"{root}/data")
+    else:
+        sink.write_files(rows, f"{root}/data", "_path", _ORDER)
+    write_meta(ds, root, layout, tasks_layout)
+
+
+def write_meta(ds: TrajectoryDataset, root: str, layout: str = "3", tasks_layout: str = "A") -> None:
+    """Everything of a dataset but its frames."""
+    spark = ds.frames.sparkSession
+    stale = ("meta/episodes", "meta/tasks.parquet") if layout == "2" else ("meta/episodes.jsonl", "meta/tasks.jsonl", "meta/tasks.parquet")
+    for old in stale:
         path, fs = _path(spark, f"{root}/{old}")
         fs.delete(path, True)
     if layout == "2":
-        chunk = F.floor(F.col("episode_index") / int(ds.info.get("chunks_size", 1000)))
-        parts = ds.frames.withColumns(
-            {"_chunk": F.format_string("chunk-%03d", chunk.cast("long")), "_episode": F.format_string("episode_%06d", F.col("episode_index").cast("long"))}
-        )
-        write_grouped(parts, ["_chunk", "_episode"], lambda names: f"{root}/data/{names[0]}/{names[1]}.parquet", ["frame_index"])
         write_text(spark, f"{root}/meta/tasks.jsonl", _lines(ds.tasks.orderBy("task_index")))
         write_grouped(ds.episodes.orderBy("episode_index"), [], lambda names: f"{root}/meta/episodes.jsonl", [], "json")
     else:
-        writer = ds.frames.repartitionByRange("episode_index").sortWithinPartitions("episode_index", "frame_index").write.mode("overwrite")
-        if rows_per_file:
-            writer = writer.option("maxRecordsPerFile", rows_per_file)
-        writer.parquet(f"{root}/data")
         text = "task" if tasks_layout == "A" else "__index_level_0__"
         ds.tasks.select("task_index", F.col("task").alias(text)).coalesce(1).write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
         place = [f"meta/episodes/{x}_index" for x in ("chunk", "file")]
         rows = harmonised_stats(ds.episodes)
-        for name, column in zip(("_chunk", "_file"), place, strict=True):
-            number = F.col(f"`{column}`").cast("long") if column in rows.columns else F.lit(0).cast("long")
-            rows = rows.withColumn(name, F.format_string(f"{name[1:]}-%03d", number))
-        write_grouped(rows, ["_chunk", "_file"], lambda names: f"{root}/meta/episodes/{names[0]}/{names[1]}.parquet", ["episode_index"])
+        number = [F.col(f"`{c}`").cast("long") if c in rows.columns else F.lit(0).cast("long") for c in place]
+        rows = rows.withColumn("_path", F.format_string("chunk-%03d/file-%03d.parquet", *number))
+        sink.write_files(rows, f"{root}/meta/episodes", "_path", ["episode_index"])
     write_text(spark, f"{root}/meta/info.json", json.dumps(ds.totals(), indent=2, sort_keys=True))
 
 
+def rewrite(ds: TrajectoryDataset, source: str, target: str) -> DataFrame:
+    """Write an edited dataset of layout 3 of which `source` is the stored origin: only files whose rows have changed are
+    written, all others are copied as they are. path, rows, changed of every data file.
+
+    Files are compared by a digest of their rows, so an edit needn't say what it touched.
+    """
+    spark, scratch = ds.frames.sparkSession, Scratch(ds.frames.sparkSession)
+    if exists(spark, target):
+        raise FileExistsError(target)
+    rows = placed(ds)
+    if rows is None:
+        raise ValueError("episodes don't name their data files")
+    before = _parquet(spark, f"{source}/data")
+    before = before.select("*", F.regexp_extract("_metadata.file_path", r"/data/((?:[^/]+/)?[^/]+)$", 1).alias("_path"))
+    old = sink.digests(before, "_path").withColumnsRenamed({"rows": "_rows", "digest": "_digest"})
+    same = F.col("digest").eqNullSafe(F.col("_digest")) & F.col("rows").eqNullSafe(F.col("_rows"))
+    both = sink.digests(rows, "_path").join(old, "path", "left").select("path", "rows", (~same).alias("changed"))
+    both = scratch.table(both, "files")
+    staging = sink.staging_of(f"{target}/data")
+    fresh = rows.join(both.where("changed").select(F.col("path").alias("_path")), "_path", "left_semi")
+    sink.write_files(fresh, f"{target}/data", "_path", _ORDER, staging=staging)
+    sink.copy_files(both.where("NOT changed"), f"{source}/data", staging)
+    sink.published(staging, f"{target}/data")
+    write_meta(ds, target)
+    copy_siblings(spark, source, target)
+    return both
+
+
 def copy_siblings(spark: SparkSession, source: str, target: str, skip: tuple[str, ...] = ("data/", "meta/episodes", "meta/tasks", "meta/info.json")) -> list[str]:
     """Copy the files of a dataset that an edit doesn't rewrite; the copied paths, relative to the dataset."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
