@@ -15,7 +15,7 @@ from .functions import values as V
 from .model import TrajectoryDataset, features_of, is_text, normalise_videos, video_keys, without_nulls
 from .operators import datasets, edit, greedy, joins, keys, sample, stats, trim
 from .plans import augment, checks, report
-from .queries import DOWN, E, N, SPANS, STATS, frames, numbered, query, r6, table
+from .queries import BOUNDS, DOWN, E, N, SPANS, STATS, frames, numbered, query, r6, table
 from .sources import layouts
 from .storage import Scratch, write_text
 
@@ -114,6 +114,48 @@ def post_grasp_episodes(spark, sf_dir):
     return out.select("episode_index", "length", "dataset_from_index", "dataset_to_index", F.col("data/file_index").alias("data_file"), *times)
 
 
+def neglected(spark, sf_dir) -> TrajectoryDataset:
+    """The dataset with two rows of every third episode, of which the first is out of date, and prompts of frames that
+    don't follow their episodes."""
+    ds = dataset(spark, sf_dir)
+    old = ds.episodes.where("episode_index % 3 = 0").withColumns({"length": F.col("length") + 5, "tasks": F.array(F.lit("out of date")), "row": F.lit(0)})
+    stale = F.when(F.col("frame_index") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("task_index"))
+    frames_ = ds.frames.withColumn("task_index", stale)
+    return stored(spark, TrajectoryDataset(frames_, old.unionByName(ds.episodes.withColumn("row", F.lit(1))), ds.tasks, ds.info))
+
+
+_CUT = f"""{BOUNDS}, {DS}, k AS (SELECT f.e, f.idx, f.value, f.rn - c.lead AS frame_index FROM f JOIN c ON c.ep = f.ep WHERE f.rn >= c.lead AND f.rn < c.n - c.trail)"""
+
+
+@query(f"""{_CUT} SELECT idx AS source_index, k.e AS episode_index, frame_index, row_number() OVER (ORDER BY k.e, frame_index) - 1 AS index,
+round(frame_index / 10.0::DOUBLE, 3) AS timestamp, task FROM k JOIN e ON e.e = k.e""")
+def frozen_dataset(spark, sf_dir):
+    ds = datasets.trimmed_frozen(neglected(spark, sf_dir), "value", threshold=50)
+    out = ds.frames.join(ds.tasks, "task_index")
+    return out.select("source_index", "episode_index", "frame_index", "index", F.round(F.col("timestamp").cast("double"), 3).alias("timestamp"), "task")
+
+
+@query(f"""{_CUT}, g AS (SELECT e, count(*) AS length, avg(value) AS mean, quantile_cont(value, 0.5) AS q50 FROM k GROUP BY e),
+p AS (SELECT *, sum(length) OVER (ORDER BY e) AS upto, sum(length) OVER (PARTITION BY e // 10 ORDER BY e) - length AS before FROM g)
+SELECT e AS episode_index, length, (upto - length)::BIGINT AS dataset_from_index, upto::BIGINT AS dataset_to_index, round(before / 10.0::DOUBLE, 6) AS from_timestamp,
+round(before / 10.0::DOUBLE + (length - 1) / 10.0::DOUBLE, 6) AS to_timestamp, round(mean, 6) AS mean, round(q50, 6) AS q50, length::DOUBLE AS count FROM p""")
+def frozen_dataset_episodes(spark, sf_dir):
+    out = datasets.trimmed_frozen(neglected(spark, sf_dir), "value", threshold=50).episodes
+    times = [F.round(f"`videos/top/{x}_timestamp`", 6).alias(f"{x}_timestamp") for x in ("from", "to")]
+    own = [F.round(F.get(F.col(f"`stats/value/{x}`"), F.lit(0)), 6).alias(x) for x in ("mean", "q50", "count")]
+    return out.select("episode_index", "length", "dataset_from_index", "dataset_to_index", *times, *own)
+
+
+@query(f"""WITH {DS}, k AS (SELECT f.*, e.length - e.e % 7 AS left_ FROM f JOIN e ON e.e = f.e)
+SELECT idx AS source_index, e AS episode_index, rn AS frame_index, row_number() OVER (ORDER BY e, rn) - 1 AS index FROM k WHERE rn < left_""")
+def clipped_dataset(spark, sf_dir):
+    """Slices that end up to six frames before their episodes do."""
+    ds = dataset(spark, sf_dir)
+    short = F.col("`videos/top/to_timestamp`") - F.col("episode_index") % 7 / 10
+    ds = stored(spark, TrajectoryDataset(ds.frames, ds.episodes.withColumn("videos/top/to_timestamp", short), ds.tasks, ds.info))
+    return datasets.clipped_to_limits(ds, 0.001).frames.select("source_index", "episode_index", "frame_index", "index")
+
+
 @query(f"""WITH {DS}, k AS (SELECT e.e, len(d.kept) AS length, e.e // 10 AS file FROM e JOIN ({DOWN}) d USING (ep)),
 p AS (SELECT *, sum(length) OVER (ORDER BY e) AS upto, sum(length) OVER (PARTITION BY file ORDER BY e) - length AS before FROM k)
 SELECT e AS episode_index, length, (upto - length)::BIGINT AS dataset_from_index, upto::BIGINT AS dataset_to_index, round(before / 3.0::DOUBLE, 6) AS from_timestamp,

@@ -120,20 +120,55 @@ def downsampled(ds: TrajectoryDataset, target_fps: float) -> TrajectoryDataset:
     fps = float(ds.info["fps"])
     left = trim.downsample(ds.frames, fps, target_fps).select(*ds.frames.columns)
     out = regrown(ds, left, ds.episodes, target_fps)
-    times = {}
-    for key in video_keys(out.episodes.columns):
-        file = Window.partitionBy(f"videos/{key}/chunk_index", f"videos/{key}/file_index").orderBy("episode_index")
-        before = F.sum("length").over(file.rowsBetween(Window.unboundedPreceding, -1))
-        begin = F.coalesce(before, F.lit(0)) / target_fps
-        times[f"videos/{key}/from_timestamp"] = begin
-        times[f"videos/{key}/to_timestamp"] = begin + (F.col("length") - 1) / target_fps
     features = {}
     for name, own in ds.info.get("features", {}).items():
         parts = {k: own[k] | {"video.fps": target_fps} for k in ("info", "video_info") if "video.fps" in (own.get(k) or {})}
         features[name] = own | parts if own.get("dtype") == "video" else own
     info = out.info | {"fps": target_fps} | ({"features": features} if features else {})
-    episodes = out.episodes.withColumns(times) if times else out.episodes
-    return TrajectoryDataset(out.frames, episodes, out.tasks, info)
+    return TrajectoryDataset(out.frames, in_file_order(out.episodes, target_fps), out.tasks, info)
+
+
+def in_file_order(episodes: DataFrame, fps: float) -> DataFrame:
+    """Video slices that follow each other in their files, in the order of episodes, from the first frame to the last."""
+    times = {}
+    for key in video_keys(episodes.columns):
+        file = Window.partitionBy(f"videos/{key}/chunk_index", f"videos/{key}/file_index").orderBy("episode_index")
+        before = F.sum("length").over(file.rowsBetween(Window.unboundedPreceding, -1))
+        begin = F.coalesce(before, F.lit(0)) / fps
+        times[f"videos/{key}/from_timestamp"] = begin
+        times[f"videos/{key}/to_timestamp"] = begin + (F.col("length") - 1) / fps
+    return episodes.withColumns(times) if times else episodes
+
+
+def trimmed_frozen(ds: TrajectoryDataset, signal: str, threshold: float = 0.02, keep: int = 50) -> TrajectoryDataset:
+    """A dataset without the frames at the ends of its episodes in which nothing moves.
+
+    Of several rows of an episode the one with the largest `row` counts, if there is such a column. Frames take the
+    prompt of their episode's row, whatever theirs was. What is left has dense ids, times from 0, slices that follow each
+    other in the video files, and statistics of its own. Data files keep their episodes.
+    """
+    episodes = ds.episodes
+    if "row" in episodes.columns:
+        episodes = trim.deduplicate(episodes, "episode_index", [F.col("row").desc()]).drop("row")
+    clean = retasked(TrajectoryDataset(ds.frames, without_stats(episodes), ds.tasks, ds.info))
+    bounds = trim.frozen_bounds(clean.frames, signal, threshold, keep)
+    left = trim.cut_ends(clean.frames, bounds).select(*[F.col(f"`{c}`") for c in ds.frames.columns])
+    fps = float(ds.info["fps"])
+    out = regrown(clean, left, clean.episodes, fps)
+    return with_episode_stats(TrajectoryDataset(out.frames, in_file_order(out.episodes, fps), out.tasks, out.info), [signal])
+
+
+def clipped_to_limits(ds: TrajectoryDataset, tolerance: float = 1e-6) -> TrajectoryDataset:
+    """Frames up to the end that the episode's video slices state, the shortest of its cameras; an episode that would lose
+    all its frames raises. Ids are dense again; slices keep their starts and end at the last frame that is left."""
+    slices = normalise_videos(ds.episodes).select("episode_index", F.explode("videos").alias("v"))
+    limits = slices.select("episode_index", (F.col("v.to_ts") - F.col("v.from_ts")).alias("limit"))
+    left = trim.clip_to_limit(ds.frames, limits, tolerance)
+    out = regrown(ds, left, without_stats(ds.episodes))
+    ends = out.frames.groupBy("episode_index").agg(F.max("timestamp").cast("double").alias("_last"))
+    rows = out.episodes.join(ends, "episode_index")
+    to = {f"videos/{k}/to_timestamp": F.col(f"`videos/{k}/from_timestamp`") + F.col("_last") for k in video_keys(rows.columns)}
+    return TrajectoryDataset(out.frames, rows.withColumns(to).drop("_last"), out.tasks, out.info)
 
 
 def timed(frames: DataFrame, episodes: DataFrame, times: DataFrame, tolerance: float, rest: list[str] | None = None) -> DataFrame:

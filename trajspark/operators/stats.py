@@ -29,8 +29,12 @@ def scalar_stats(frames: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def vector_stats(frames: DataFrame, vector: str, by: list[str]) -> DataFrame:
-    """One row for each dimension of each group, whose sizes nothing bounds: by ranks."""
+    """One row for each dimension of each group. Where a count shows that no group has more vectors than a sketch would
+    hold, buffers are bounded and one pass does; else values are ranked. Both are exact."""
     rows = frames.select(*by, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    largest = frames.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    if largest <= ACCURACY:
+        return spread_quantiles(rows.groupBy(*by, "dim").agg(*measures(F.col("x"))))
     return ranked_stats(rows, [*by, "dim"])
 
 
