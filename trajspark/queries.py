@@ -867,14 +867,14 @@ def dense_id_check(spark, sf_dir):
 def stream_task_counts(spark, sf_dir):
     from .streaming import counts
 
-    return counts.run_to_end(counts.task_counts(counts.read_events(spark, sf_dir)))
+    return counts.counted(table(spark, sf_dir, "events"), f"{Scratch(spark).at}/counts", 2)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_moments(spark, sf_dir):
     from .streaming import counts
 
-    rows = counts.run_to_end(counts.windowed(counts.read_events(spark, sf_dir)))
+    rows = counts.counted(table(spark, sf_dir, "events"), f"{Scratch(spark).at}/windows", 2, groups=counts.windowed, keys=["start", "end", "event_type"])
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -884,9 +884,34 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 def stream_sessions(spark, sf_dir):
     from .streaming import counts
 
-    rows = counts.run_to_end(counts.sessions(counts.read_events(spark, sf_dir)))
+    rows = counts.closed_sessions(table(spark, sf_dir, "events"), f"{Scratch(spark).at}/sessions", 2)
     return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
 
 
+#: Days on which the recorder of `recorded_episodes` is stopped and started again.
+STOPS = ("2024-02-10", "2024-03-20")
+
+
+@query(f"""WITH p AS (SELECT *, (arrived_at >= TIMESTAMP '{STOPS[0]}')::INT + (arrived_at >= TIMESTAMP '{STOPS[1]}')::INT AS part FROM clicks
+  WHERE client_id IS NOT NULL AND ts IS NOT NULL AND click_id IS NOT NULL AND arrived_at IS NOT NULL),
+h AS (SELECT later AS part, max(ts) - INTERVAL 1 HOUR AS horizon FROM p JOIN (SELECT unnest([1, 2]) AS later) ON part < later GROUP BY 1),
+d AS (SELECT DISTINCT client_id, click_id, ts, kind, value FROM p LEFT JOIN h USING (part) WHERE horizon IS NULL OR ts >= horizon),
+o AS (SELECT *, coalesce(kind IN ('purchase', 'error'), false) AS control, row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id) AS rn FROM d),
+a AS (SELECT *, min(CASE WHEN control THEN rn END) OVER (PARTITION BY client_id ORDER BY rn DESC ROWS UNBOUNDED PRECEDING) AS stop FROM o)
+SELECT f.client_id, s.click_id AS episode, row_number() OVER (PARTITION BY f.client_id, f.stop ORDER BY f.rn) - 1 AS frame_index, f.click_id, f.value
+FROM a f JOIN o s ON s.client_id = f.client_id AND s.rn = f.stop WHERE NOT f.control AND s.kind = 'purchase'""")
+def recorded_episodes(spark, sf_dir):
+    """Clicks of a client as frames in the order of arrival: a purchase saves what came before it, an error drops it.
+    Clicks more than an hour late when the recorder starts again are lost."""
+    from .streaming import episodes, tables
+
+    rows = table(spark, sf_dir, "clicks").where("arrived_at IS NOT NULL").select("client_id", "click_id", "ts", "kind", "value", "arrived_at")
+    part = sum((F.col("arrived_at") >= F.lit(day).cast("timestamp_ntz")).cast("int") for day in STOPS)
+    recorder = episodes.Recorder(rows.drop("arrived_at").schema, "client_id", "ts", "click_id", "kind", "purchase", "error")
+    done = tables.replayed(rows, f"{Scratch(spark).at}/recording", part, len(STOPS) + 1, recorder)
+    recorder.close(done)
+    return recorder.read(done).select("client_id", "episode", "frame_index", "click_id", "value")
+
+
 from . import dataset_queries as _more  # noqa: E402, F401  (its queries register themselves)
 from . import media_queries as _media  # noqa: E402, F401

@@ -36,6 +36,12 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 class Scratch:
     """Tables of one run in the shared folder. They cut lineage: a lost executor costs a re-read, not a recomputation."""
 
@@ -63,8 +69,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
-            path, fs = _path(self.spark, f"{self.at}/{name}")
-            fs.delete(path, True)
+            remove(self.spark, f"{self.at}/{name}")
 
     def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
         """Write the result of the run; it is then the only table of the run that is left."""

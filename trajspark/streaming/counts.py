@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
-def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", late: str = "10 minutes") -> DataFrame:
-    """The events files of a folder as a stream with a watermark."""
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    own = T.StructType([f for f in schema])
-    rows = spark.readStream.schema(own).option("pathGlobFilter", pattern).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+from . import tables
 
 
 def task_counts(events: DataFrame) -> DataFrame:
@@ -36,12 +27,34 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("w.start", "w.end", "user_id", "n")
 
 
-def run_to_end(stream: DataFrame, name: str | None = None, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there into a table in memory: for reports, which have a row a group."""
-    name = name or f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    return stream.sparkSession.table(name)
+def counted(rows: DataFrame, at: str, parts: int, late: str = "10 minutes", groups=task_counts, keys: list[str] | None = None) -> DataFrame:
+    """The groups of an aggregation that runs in update mode over rows that come in `parts` parts by time.
+
+    Each batch writes the groups that it changed; the last change of each counts. Windows leave the state when the
+    watermark has passed them.
+    """
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    own = groups(rows)
+    done = tables.replayed(rows, at, by_time(rows, parts), parts, tables.into("groups"), "update", lambda s: groups(s.withWatermark("ts", late)))
+    return done.latest("groups", own.schema, keys or ["event_type"])
+
+
+def closed_sessions(rows: DataFrame, at: str, parts: int, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions in append mode: one is written, and leaves the state, when the watermark has passed its end. A last part
+    holds one row without a user, far behind all others, which closes all sessions; its own is never written."""
+    rows = rows.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    end = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    end = end.select(F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), F.expr(f"ts + 2 * INTERVAL {gap} + 2 * INTERVAL {late}").alias("ts"), F.lit(parts).alias("_part"))
+    every = rows.withColumn("_part", by_time(rows, parts)).unionByName(end)
+    own = sessions(rows, gap)
+    done = tables.replayed(every, at, F.col("_part"), parts + 1, tables.into("sessions"), "append", lambda s: sessions(s.withWatermark("ts", late), gap))
+    return done.read("sessions", own.schema).drop("batch")
+
+
+def by_time(rows: DataFrame, parts: int) -> Column:
+    """The number of a row's part, of equal lengths of time; rows without a time are in the first."""
+    ends = rows.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    if ends["low"] is None:
+        return F.lit(0)
+    length = (ends["high"] - ends["low"]) // parts + 1
+    return F.coalesce(F.floor((F.unix_micros("ts") - ends["low"]) / length).cast("int"), F.lit(0))
