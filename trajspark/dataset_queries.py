@@ -14,7 +14,7 @@ from .functions import text as X
 from .functions import values as V
 from .model import TrajectoryDataset, features_of, is_text, normalise_videos, video_keys, without_nulls
 from .operators import datasets, edit, greedy, joins, keys, sample, stats, trim
-from .plans import augment, checks, report
+from .plans import augment, checks, compare, report
 from .queries import BOUNDS, DOWN, E, N, SPANS, STATS, frames, numbered, query, r6, table
 from .sources import layouts
 from .storage import Scratch, write_text
@@ -732,3 +732,39 @@ def header_fields(spark, sf_dir):
     rows = spark.createDataFrame(report.header_fields({"a": a, "b": b}), "dataset string, field string, value string")
     out = report.uniformity(rows, 2)
     return out.where("field IN ('fps', 'features.value.dtype', 'features.top.video.codec')").select("field", "uniform")
+
+
+# Comparison of datasets
+
+EDITED = """SELECT user_id, event_id, event_type, CASE WHEN user_id % 40 = 7 AND event_id % 9 = 2 THEN value + 1 ELSE value END AS value,
+  CASE WHEN user_id % 40 = 9 THEN NULL ELSE props END AS props FROM events WHERE user_id % 40 <> 11
+UNION ALL SELECT -1 - user_id, event_id, event_type, value, props FROM events WHERE user_id % 40 = 3"""
+
+
+@query(f"""WITH b AS ({EDITED}), j AS (SELECT coalesce(a.user_id, b.user_id) AS u, a.event_id IS NULL AS no_left, b.event_id IS NULL AS no_right,
+  a.value IS DISTINCT FROM b.value AS v, a.props IS DISTINCT FROM b.props AS p FROM events a FULL JOIN b ON a.user_id = b.user_id AND a.event_id = b.event_id)
+SELECT u AS user_id, CASE WHEN bool_and(no_right) THEN 'left only' WHEN bool_and(no_left) THEN 'right only' ELSE 'differs' END AS what,
+  CASE WHEN bool_and(no_right) OR bool_and(no_left) THEN '' ELSE concat_ws(',', CASE WHEN bool_or(v) THEN 'value' END, CASE WHEN bool_or(p) THEN 'props' END) END AS columns
+FROM j GROUP BY u HAVING bool_or(no_left) OR bool_or(no_right) OR bool_or(v) OR bool_or(p)""")
+def dataset_differences(spark, sf_dir):
+    """Events beside an edited copy: values and notes changed in some episodes, some gone, some new."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value", "props")
+    user = F.col("user_id") % 40
+    value = F.when((user == 7) & (F.col("event_id") % 9 == 2), F.col("value") + 1).otherwise(F.col("value"))
+    edited = events.where(user != 11).withColumns({"value": value, "props": F.when(user != 9, F.col("props"))})
+    edited = edited.unionByName(events.where(user == 3).withColumn("user_id", -1 - F.col("user_id")))
+    out = compare.differences(events, edited, "user_id", ["event_id", "event_type", "value", "props"], bucket=16)
+    return out.withColumn("columns", F.concat_ws(",", "columns"))
+
+
+@query("""WITH f AS (SELECT source, master_id || '.' || field AS field, value FROM (
+    SELECT source, master_id, unnest(['name', 'email', 'city', 'segment']) AS field, unnest([name, email, city, segment]) AS value FROM clients)
+  WHERE source IS NOT NULL AND master_id IS NOT NULL AND value IS NOT NULL)
+SELECT field, count(DISTINCT source) AS n_datasets, count(DISTINCT value) AS n_values,
+  count(DISTINCT source) = (SELECT count(DISTINCT source) FROM clients) AND count(DISTINCT value) = 1 AS uniform FROM f GROUP BY field""")
+def source_uniformity(spark, sf_dir):
+    """Fields of the same client in all sources."""
+    clients = spark.read.parquet(f"{sf_dir}/clients.parquet")
+    fields = clients.unpivot(["source", "master_id"], ["name", "email", "city", "segment"], "field", "value").where("source IS NOT NULL AND value IS NOT NULL AND master_id IS NOT NULL")
+    fields = fields.select(F.col("source").alias("dataset"), F.concat_ws(".", F.col("master_id").cast("string"), "field").alias("field"), "value")
+    return report.uniformity(fields, clients.agg(F.count_distinct("source")).first()[0])
