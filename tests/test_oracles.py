@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark import queries
-from trajspark.operators import joins, keys, sample, stats, trim
+from trajspark.operators import joins, keys, sample, scans, stats, trim
 from trajspark.storage import Scratch, scratch_root, write_text
 
 TABLES = "/root/testdata/sf0.001"
@@ -48,6 +48,15 @@ def test_query_equals_its_sql(spark, tables, name):
     assert sorted(repr([plain(row[c]) for c in columns]) for row in df.collect()) == expected
 
 
+ORDERED = ["velocity", "frozen_bounds", "trim_frozen", "first_stable_run", "post_grasp_plan", "reindex_dense", "nearest_timestamp", "downsample_frames"]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_queries_by_chunks(spark, tables, name, monkeypatch):
+    monkeypatch.setattr(scans, "SMALL", 0)
+    test_query_equals_its_sql(spark, tables, name)
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
 

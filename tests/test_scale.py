@@ -14,6 +14,12 @@ from trajspark.plans import checks
 from trajspark.storage import Scratch
 
 
+@pytest.fixture(autouse=True)
+def chunks(monkeypatch):
+    """Small tables are cut into chunks too, but where a test says otherwise."""
+    monkeypatch.setattr(scans, "SMALL", 0)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """Nine tenths of the frames are one episode's; ids are not dense, some signals null, one episode has no id."""
@@ -52,6 +58,17 @@ def test_scans_equal_windows(spark, hot):
     assert rows_of(twice[0], *want.columns) == rows_of(want, *want.columns) and twice[1].count() == 0
 
 
+def test_small_tables_need_no_chunks(spark, hot, monkeypatch):
+    x = F.col("value")
+    kinds = {"b": scans.before(x), "n": scans.number(), "s": scans.sum_before(x), "l": scans.latest(x), "u": scans.upcoming(x)}
+    cut = scans.scan(hot, "episode_index", "index", kinds)
+    monkeypatch.setattr(scans, "SMALL", 64 << 20)
+    whole = scans.scan(hot, "episode_index", "index", kinds)
+    assert "Join" in cut._jdf.queryExecution().optimizedPlan().toString() and "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.columns == whole.columns and rows_of(cut, *cut.columns) == rows_of(whole, *whole.columns)
+    assert scans.estimated_bytes(hot) < scans.estimated_bytes(hot.crossJoin(hot.select("index").withColumnRenamed("index", "i")))
+
+
 def test_no_task_has_the_hot_episode(spark, hot):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "16")

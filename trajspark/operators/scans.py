@@ -5,6 +5,10 @@ summary (its number of rows, sum, last value); summaries, one row for WIDTH keys
 in a second, small window and come back in a join on the chunk, which the frames are already partitioned by. So no task
 has more frames than a chunk, an episode that holds most rows is as many chunks as any other rows, and frames move once.
 
+Where Spark's estimate of all rows' size is at most SMALL, no group can be larger, and one window by group does without
+chunks and summaries; the results are the same. An estimate counts files as they lie, so what a task then holds is some
+times SMALL at most. (Spark's estimate of a join is a product, so what comes from joins is mostly cut into chunks.)
+
 Groups may be null: rows of a null group are one group. The order key must be a number; it needn't be dense. Rows
 whose key is null come first, in one chunk.
 """
@@ -20,16 +24,20 @@ from pyspark.sql import functions as F
 #: Neighbouring order keys of one chunk.
 WIDTH = 4096
 
+#: Estimated bytes of all rows up to which groups are not cut into chunks.
+SMALL = 64 << 20
+
 
 @dataclass(frozen=True)
 class Scan:
     """What a row gets from its own chunk, what a chunk says of itself, what a chunk gets from those before (or
-    behind), and both together."""
+    behind), both together, and what the first chunk gets."""
 
     inside: Callable[[WindowSpec, WindowSpec], Column]
     summary: Callable[[Column], Column]
     carried: Callable[[Column, WindowSpec, WindowSpec], Column]
     both: Callable[[Column, Column], Column]
+    start: int | None = None
 
 
 def _earlier(w: WindowSpec) -> WindowSpec:
@@ -58,6 +66,7 @@ def sum_before(value: Column) -> Scan:
         lambda at: F.sum(value),
         lambda s, up, _: F.coalesce(F.sum(s).over(_earlier(up)), F.lit(0)),
         lambda own, carried: own + carried,
+        0,
     )
 
 
@@ -68,6 +77,7 @@ def number() -> Scan:
         lambda at: F.count(F.lit(1)),
         lambda s, up, _: F.coalesce(F.sum(s).over(_earlier(up)), F.lit(0)),
         lambda own, carried: own + carried,
+        0,
     )
 
 
@@ -91,9 +101,18 @@ def upcoming(value: Column) -> Scan:
     )
 
 
+def estimated_bytes(rows: DataFrame) -> int:
+    """The size that Spark's optimizer expects rows to have; no job is run."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def scan(rows: DataFrame, by: str | list[str], order: str | list[str], scans: dict[str, Scan], width: float = WIDTH) -> DataFrame:
     """rows with a column for each scan, in `order` (a number, then ties) inside the groups of `by`."""
     by, order = ([x] if isinstance(x, str) else list(x) for x in (by, order))
+    if estimated_bytes(rows) <= SMALL:
+        up, down = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by).orderBy(F.col(order[0]).desc())
+        every = {name: s.both(s.inside(up, down), F.lit(s.start)) for name, s in scans.items()}
+        return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in every], *[c.alias(n) for n, c in every.items()])
     least = F.lit(-(1 << 60)).cast("long")
     chunk = F.coalesce(F.floor(F.col(order[0]) / width).cast("long"), least)
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], chunk.alias("chunk"))
