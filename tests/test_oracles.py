@@ -120,6 +120,27 @@ def test_no_window_holds_all_keys_of_a_sample(spark):
     assert windows and all("windowspecdefinition(_b" in x for x in windows) and plan.count() == 5
 
 
+@pytest.mark.parametrize("share, least", [(0.3, 0), (0.0, 0), (1.0, 0), (0.0, 1), (0.0001, 0), (0.5, 10**6), (0.77777, 3)])
+def test_selection_takes_the_rows_of_the_order(spark, share, least, monkeypatch):
+    rows = spark.range(0, 30_000, 3).withColumnRenamed("id", "k").withColumn("more", F.col("k") % 7)
+    want = sample.fraction(rows, "k", share, 5, least)
+    monkeypatch.setattr(sample, "SMALL", 0)
+    got = sample.fraction(rows, "k", share, 5, least)
+    shown = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_b" not in shown and got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sample.fraction(rows.limit(0), "k", share, 5, least).collect() == []
+
+
+def test_dictionaries_are_numbered_in_buckets(spark):
+    rows = spark.createDataFrame([("b", 9000), ("a", 9000), ("c", 5), ("c", 1), (None, 0), ("d", None), ("e", 10**12)], "v string, i long")
+    out = keys.first_seen(rows, "v", ["i"], "n")
+    assert sorted((r.n, r.v) for r in out.collect()) == [(0, "d"), (1, "c"), (2, "a"), (3, "b"), (4, "e")]
+    assert keys.first_seen(rows.limit(0), "v", ["i"], "n").collect() == []
+    parts = spark.createDataFrame([("x", 1, 9000), ("y", 0, 9999), ("x", 0, 9999), ("z", 1, 3), ("w", None, 7)], "v string, s int, i long")
+    assert sorted((r.n, r.v) for r in keys.first_seen(parts, "v", ["s", "i"], "n").collect()) == [(0, "w"), (1, "x"), (2, "y"), (3, "z")]
+
+
 def test_result_is_the_only_table_left(spark):
     scratch = Scratch(spark)
     scratch.table(spark.range(3), "first")

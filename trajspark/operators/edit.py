@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import TrajectoryDataset
-from .keys import BUCKET, first_seen
+from .keys import BUCKET, first_seen, prefixes
 
 
 def require_ids(episodes: DataFrame, ids: list[int]) -> None:
@@ -145,7 +145,7 @@ def change_prompt(ds: TrajectoryDataset, episode: int, prompt: str) -> Trajector
 def compact(ds: TrajectoryDataset) -> TrajectoryDataset:
     """Dictionary entries that frames use, renumbered in their order."""
     used = ds.tasks.join(ds.frames.select("task_index").distinct(), "task_index", "left_semi")
-    dense = used.withColumn("_new", (F.row_number().over(Window.orderBy("task_index")) - 1).cast("long"))
+    dense = prefixes(used, "task_index", {"_new": F.lit(1).cast("long")})
     frames = ds.frames.join(dense.select("task_index", "_new"), "task_index")
     frames = frames.select(*[F.col("_new").alias(c) if c == "task_index" else F.col(f"`{c}`") for c in ds.frames.columns])
     return TrajectoryDataset(frames, ds.episodes, dense.select(F.col("_new").alias("task_index"), "task"), ds.info).with_totals()

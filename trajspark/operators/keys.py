@@ -94,7 +94,9 @@ def reindex(frames: DataFrame, order="index", episode: str = "episode_index") ->
 
 
 def first_seen(values: DataFrame, value: str, order: list[str], into: str) -> DataFrame:
-    """A dictionary: distinct values numbered from 0 in the order of their first row. Dictionaries are small:
-    their distinct values, not the rows, meet in one window."""
+    """A dictionary: distinct values numbered from 0 in the order of their first row, then of values. `order` ends in
+    a number; values are numbered in buckets of its neighbours, as a dictionary may grow with the data."""
     first = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.withColumn(into, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).drop("_first")
+    last = F.coalesce(F.floor(F.col("_first")[order[-1]] / BUCKET), F.lit(-(1 << 60)).cast("long"))
+    bucket = F.struct(*[F.col("_first")[c].alias(c) for c in order[:-1]], last.alias("_last"))
+    return positions(first, bucket, ["_first", value], into).withColumn(into, F.col(into).cast("long")).drop("_first")

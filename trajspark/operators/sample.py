@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import positions
+from .scans import estimated_bytes
 
 
 def seeded_key(key: Column, seed: int) -> Column:
@@ -36,11 +39,46 @@ def shuffled(rows: DataFrame, key: str, seed: int, into: str = "position") -> Da
 
 
 def fraction(rows: DataFrame, key: str, share: float, seed: int, least: int = 0) -> DataFrame:
-    """rint(n * share) of the rows without replacement, `least` at least."""
-    total = rows.agg(F.greatest(F.rint(F.count("*") * F.lit(share)).cast("long"), F.lit(least)).alias("_take"))
+    """rint(n * share) of the rows without replacement, `least` at least: those whose keys' hashes are smallest.
+
+    The same rows come either way: few rows are numbered in the order of hashes, many are selected (`smallest`).
+    """
+    take = lambda n: F.greatest(F.rint(n * F.lit(share)).cast("long"), F.lit(least))
+    if estimated_bytes(rows) > SMALL:
+        return smallest(rows, key, take, seed)
+    total = rows.agg(take(F.count("*")).alias("_take"))
     return shuffled(rows, key, seed, "_n").crossJoin(F.broadcast(total)).where("_n <= _take").drop("_n", "_take")
 
 
+#: Estimated bytes up to which `fraction` numbers all rows.
+SMALL = 64 << 20
+
+
+def smallest(rows: DataFrame, key: str, take: Callable[[Column], Column], seed: int, levels: int = 2) -> DataFrame:
+    """The take(n) of n rows that are first in the seeded order of their keys, all if there are fewer.
+
+    Hashes are counted by their first three digits, in map tasks: 4096 counts tell which digits hold the last row that
+    is taken. Only hashes with these digits are counted by the next three, and so on. Rows below the edge are kept by a
+    filter, those at the edge, one in 4096 ** levels, are numbered; no other row is moved. Keys are distinct: rows of a
+    repeated key that stand at the edge meet in one task. The edge is one row, so it is broadcast.
+    """
+    hashed = rows.withColumn("_hash", seeded_key(F.col(key), seed))
+    edge = None
+    for i in range(levels):
+        own = hashed.select("_hash") if edge is None else hashed.select("_hash").crossJoin(F.broadcast(edge)).where(F.substring("_hash", 1, 3 * i) == F.col("_edge"))
+        by = [] if edge is None else ["_edge", "_left"]
+        counts = own.groupBy(*by, F.substring("_hash", 3 * i + 1, 3).alias("_d")).agg(F.count("*").alias("_c"))
+        upto = Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+        left = F.col("_left") if by else F.least(take(F.col("_n")), F.col("_n"))
+        counts = counts.withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(*by))}).withColumn("_want", left)
+        here = counts.where((F.col("_upto") - F.col("_c") < F.col("_want")) & (F.col("_want") <= F.col("_upto")))
+        prefix = F.concat("_edge", "_d") if by else F.col("_d")
+        edge = here.select(prefix.alias("_edge"), (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_left"))
+    near, place = hashed.crossJoin(F.broadcast(edge)), F.substring("_hash", 1, 3 * levels)
+    at = near.where(place == F.col("_edge")).withColumn("_n", F.row_number().over(Window.partitionBy("_edge").orderBy("_hash", key)))
+    return near.where(place < F.col("_edge")).select(*rows.columns).unionByName(at.where("_n <= _left").select(*rows.columns))
+
+
 def balanced(rows: DataFrame, key: str, values: list, seed: int, into: str = "value") -> DataFrame:
     """Each value for an equal share of the rows, at most one more."""
     return shuffled(rows, key, seed, "_n").withColumn(into, F.element_at(F.array(*map(F.lit, values)), ((F.col("_n") - 1) % len(values) + 1).cast("int"))).drop("_n")
