@@ -106,10 +106,11 @@ def estimated_bytes(rows: DataFrame) -> int:
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def scan(rows: DataFrame, by: str | list[str], order: str | list[str], scans: dict[str, Scan], width: float = WIDTH) -> DataFrame:
-    """rows with a column for each scan, in `order` (a number, then ties) inside the groups of `by`."""
+def scan(rows: DataFrame, by: str | list[str], order: str | list[str], scans: dict[str, Scan], width: float = WIDTH, small: int | None = None) -> DataFrame:
+    """rows with a column for each scan, in `order` (a number, then ties) inside the groups of `by`. `small` stands for
+    SMALL; 0 always cuts groups into chunks."""
     by, order = ([x] if isinstance(x, str) else list(x) for x in (by, order))
-    if estimated_bytes(rows) <= SMALL:
+    if estimated_bytes(rows) <= (SMALL if small is None else small):
         up, down = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by).orderBy(F.col(order[0]).desc())
         every = {name: s.both(s.inside(up, down), F.lit(s.start)) for name, s in scans.items()}
         return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in every], *[c.alias(n) for n, c in every.items()])

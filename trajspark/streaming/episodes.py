@@ -65,10 +65,10 @@ class Recorder:
         rows = rows.dropDuplicates([self.id]).withColumn("_settled", settled)
         micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(self.schema[self.time].dataType), F.col(self.time))
         placed = rows.where("_settled").withColumn("_us", micros)
-        placed = scan(placed, self.station, ["_us", self.id], {"_place": number()}, self.width)
+        placed = scan(placed, self.station, ["_us", self.id], {"_place": number()}, self.width, small=0)
         control = F.coalesce(F.col(self.kind).isin(self.save, self.again), F.lit(False))
         ends = F.when(control, F.struct((F.col(self.kind) == self.save).alias("save"), F.col(self.id).alias("id")))
-        marked = scan(placed, self.station, "_place", {"_since": latest(F.when(control, F.col("_place"))), "_end": upcoming(ends)})
+        marked = scan(placed, self.station, "_place", {"_since": latest(F.when(control, F.col("_place"))), "_end": upcoming(ends)}, small=0)
         marked = marked.where(~control).drop("_us")
         every = marked.unionByName(rows.where("NOT _settled"), allowMissingColumns=True)
         tables.write(every, "marked", batch)
