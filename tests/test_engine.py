@@ -12,7 +12,7 @@ from trajspark import queries
 from trajspark.functions import text as X
 from trajspark.functions import values as V
 from trajspark.model import TrajectoryDataset, harmonised_stats, normalise_tasks, normalise_videos, require_columns
-from trajspark.operators import edit, greedy, joins, keys, sample, stats, trim
+from trajspark.operators import edit, greedy, intervals, joins, keys, sample, stats, trim
 from trajspark.plans import checks, report, trials
 from trajspark.sources import layouts
 from trajspark.storage import Scratch
@@ -177,7 +177,7 @@ def test_nearest_range_and_greedy(spark):
     assert got == [(0, 0.5, 0.1, True), (0, 2.0, 0.3, False), (1, 1.0, None, False)]
     ranges = spark.createDataFrame([(0, 0, 9), (1, 5, 3000)], "file long, start long, end long")
     points = spark.createDataFrame([(7,), (2999,), (5000,)], "i long")
-    assert {r.i: r.file for r in joins.range_lookup(points, "i", ranges, 100).collect()} == {7: 0, 2999: 1, 5000: None}
+    assert {r.i: r.file for r in intervals.first_cover(points, "i", ranges).collect()} == {7: 0, 2999: 1, 5000: None}
     boxes = spark.createDataFrame([(0, 1, 0, 0, 10, 10), (0, 2, 1, 1, 9, 9), (0, 3, 50, 50, 5, 5)], "f long, id long, x int, y int, w int, h int")
     assert sorted(r.id for r in greedy.boxes(boxes, "f", Scratch(spark)).collect()) == [1, 3]
 

@@ -1,4 +1,4 @@
-"""Range, nearest, self and all-sides joins."""
+"""Nearest, self and all-sides joins; lookups in ranges are in `intervals`."""
 
 from __future__ import annotations
 
@@ -7,19 +7,6 @@ from pyspark.sql import functions as F
 
 from .scans import latest, scan, upcoming
 
-def range_lookup(points: DataFrame, at: str, ranges: DataFrame, width: int) -> DataFrame:
-    """points with the first range [start, end] (by `file`) that holds `at`; null if none does.
-
-    Both sides meet on cells of `width` ids: the ranges that touch a cell are one array, so every point is moved once
-    and meets one row. `width` of about a range's length keeps both the cells of a range and the ranges of a cell few.
-    """
-    touched = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
-    cells = ranges.withColumn("_cell", F.explode(touched)).groupBy("_cell")
-    cells = cells.agg(F.collect_list(F.struct("file", "start", "end")).alias("_ranges"))
-    found = points.withColumn("_cell", F.floor(F.col(at) / width)).join(cells, "_cell", "left")
-    hits = F.filter("_ranges", lambda r: (F.col(at) >= r["start"]) & (F.col(at) <= r["end"]))
-    return found.select(*points.columns, F.array_min(F.transform(hits, lambda r: r["file"])).alias("file"))
-
 
 def nearest(queries: DataFrame, times: DataFrame, by: str, at: str, tolerance: float, width: float = 400.0) -> DataFrame:
     """queries with the distance to the nearest time of their group, and whether it is within the tolerance.

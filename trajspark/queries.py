@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
-from .operators import edit, greedy, joins, keys, sample, stats, trim
+from .operators import edit, greedy, intervals, joins, keys, sample, stats, trim
 from .plans import checks, report, trials
 from .storage import Scratch
 
@@ -259,7 +259,19 @@ def range_lookup_file(spark, sf_dir):
     largest = points.agg(F.coalesce(F.max("index"), F.lit(0)).alias("largest"))
     ranges = largest.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("largest") / 777))).alias("file"))
     ranges = ranges.select("file", (F.col("file") * 777).alias("start"), (F.col("file") * 777 + 799).alias("end"))
-    return joins.range_lookup(points, "index", ranges, 1024)
+    return intervals.first_cover(points, "index", ranges)
+
+
+@query(f"""WITH r AS (SELECT idx AS start, idx + CASE WHEN idx % 50 = 0 THEN 1000000000 ELSE floor(value * value / 8)::BIGINT END AS stop, idx * 7919 % 1000003 AS file, ep % 8 AS lane FROM ({E}) WHERE idx % 5 = 0),
+m AS (SELECT e.idx, min(r.file) AS file, count(*) AS n FROM ({E}) e JOIN r ON r.lane = e.ep % 8 AND e.idx BETWEEN r.start AND r.stop GROUP BY 1)
+SELECT e.idx AS index, m.file, coalesce(n, 0) AS n_ranges FROM ({E}) e LEFT JOIN m USING (idx)""")
+def nested_range_lookup(spark, sf_dir):
+    """Ranges from one id to the whole table, in eight lanes; a point meets those of its own lane."""
+    rows = frames(spark, sf_dir).withColumn("lane", F.col("episode_index") % 8)
+    i = F.col("index")
+    length = F.when(i % 50 == 0, F.lit(1_000_000_000).cast("long")).otherwise(F.floor(F.col("value") * F.col("value") / 8))
+    ranges = rows.where("index % 5 = 0").select("lane", i.alias("start"), (i + length).alias("end"), (i * 7919 % 1000003).alias("file"))
+    return intervals.first_cover(rows.select("index", "lane"), "index", ranges, by=["lane"], count="n_ranges").drop("lane")
 
 
 @query(f"""WITH q AS (SELECT ep, idx, rn / 10.0::DOUBLE + CASE WHEN idx % 3 = 0 THEN 0.03 ELSE 0.0 END AS t FROM ({N})),
