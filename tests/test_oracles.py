@@ -48,7 +48,7 @@ def test_query_equals_its_sql(spark, tables, name):
     assert sorted(repr([plain(row[c]) for c in columns]) for row in df.collect()) == expected
 
 
-ORDERED = ["velocity", "frozen_bounds", "trim_frozen", "first_stable_run", "post_grasp_plan", "reindex_dense", "nearest_timestamp", "downsample_frames"]
+ORDERED = ["velocity", "frozen_bounds", "trim_frozen", "first_stable_run", "post_grasp_plan", "reindex_dense", "nearest_timestamp", "downsample_frames", "range_lookup_file", "nested_range_lookup"]
 
 
 @pytest.mark.parametrize("name", ORDERED)

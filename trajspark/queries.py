@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
-from .operators import edit, greedy, intervals, joins, keys, sample, stats, trim
+from .operators import edit, greedy, intervals, joins, keys, sample, sketches, stats, trim
 from .plans import checks, report, trials
 from .storage import Scratch
 
@@ -167,6 +167,26 @@ def merged_partial_stats(spark, sf_dir):
     return r6(stats.merged(each), *ROUNDED)
 
 
+LEVELS = {"dataset": "0", "source": "ep % 3", "file": "ep // 10"}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{level}' AS level, {key} AS key, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, true AS within FROM ({E}) GROUP BY {key}"
+    for level, key in LEVELS.items()
+).replace("GROUP BY 0", ""))
+def merged_sketches(spark, sf_dir):
+    """Statistics of files, sources and the dataset from those of episodes; whether all ranks are within the sketch's error."""
+    rows = frames(spark, sf_dir).withColumns({"file": F.floor(F.col("episode_index") / 10), "source": F.col("episode_index") % 3, "dataset": F.lit(0).cast("long")})
+    episodes = Scratch(spark).table(sketches.sketched(rows, "value", ["episode_index", "file", "source", "dataset"]), "episodes")
+    out = []
+    for level in LEVELS:
+        own = sketches.quantiles(sketches.merged(episodes, [level]))
+        gaps = sketches.rank_gaps(rows, "value", own, [level])
+        own = own.join(gaps, level).withColumn("within", F.col("gap") <= 2 * sketches.rank_error())
+        out.append(own.select(F.lit(level).alias("level"), F.col(level).alias("key"), "count", "min", "max", "mean", "std", "within"))
+    return r6(out[0].unionByName(out[1]).unionByName(out[2]), "mean", "std")
+
+
 @query(f"""WITH d AS (SELECT *, row_number() OVER (ORDER BY ep) - 1 AS dense FROM (SELECT ep, count(*) AS length FROM ({E}) GROUP BY ep)),
 k AS (SELECT *, row_number() OVER (ORDER BY ep) - 1 AS new_ep, (sum(length) OVER (ORDER BY ep) - length)::BIGINT AS start FROM d WHERE dense NOT IN (1, 3))
 SELECT idx AS source_index, new_ep AS episode_index, start + rn AS index FROM k JOIN ({N}) USING (ep)""")
