@@ -16,7 +16,7 @@ from .model import TrajectoryDataset, features_of, is_text, normalise_videos, vi
 from .operators import datasets, edit, greedy, joins, keys, sample, stats, trim
 from .plans import augment, checks, compare, report
 from .queries import BOUNDS, DOWN, E, N, SPANS, STATS, frames, numbered, query, r6, table
-from .sources import layouts
+from .sources import layouts, sink
 from .storage import Scratch, write_text
 
 #: Header of the test dataset.
@@ -509,11 +509,14 @@ def copied_siblings(spark, sf_dir):
     return spark.createDataFrame([(p, layouts.read_text(spark, f"{a}/{p}") == layouts.read_text(spark, f"{b}/{p}")) for p in done], "path string, same boolean")
 
 
-@query("SELECT * FROM (VALUES ('cat', 2), ('dog', 1)) t(label, n)")
+@query("SELECT 'nation-' || s_nationkey AS label, count(*)::INT AS n FROM supplier WHERE s_suppkey % 5 < 3 GROUP BY 1")
 def image_folder(spark, sf_dir):
-    root = f"{Scratch(spark).at}/images"
-    for name in ("cat/a.jpg", "cat/more/b.PNG", "cat/notes.txt", "dog/c.jpeg", "too/deep/down/d.jpg"):
-        write_text(spark, f"{root}/{name}", "x")
+    """A file for each supplier, written by tasks: images in a label's folder and one below it, notes, and images too deep."""
+    root, k = f"{Scratch(spark).at}/images", F.col("s_suppkey")
+    inner = F.get(F.array(*map(F.lit, ("%s.jpg", "more/%s.PNG", "%s.jpeg", "%s.txt", "too/deep/%s.jpg"))), (k % 5).cast("int"))
+    name = F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit("/"), F.replace(inner, F.lit("%s"), k.cast("string")))
+    rows = table(spark, sf_dir, "supplier").select(F.encode("s_name", "UTF-8").alias("data"), name.alias("_path"))
+    sink.write_files(rows, root, "_path", [], kind="bytes")
     return layouts.read_image_folder(spark, root).select("label", F.size("paths").alias("n"))
 
 
@@ -553,10 +556,10 @@ def replacement_names(spark, sf_dir):
     return sample.replacements(rows, "names", "target", "new", POOL, 42, "p_partkey").select("p_partkey", "replacement")
 
 
-@query(f"""WITH o AS (SELECT s, list(c ORDER BY md5(concat('7:', s, ':', c)))[1:4] AS everyone FROM range(200) r(s), (SELECT unnest({POOL}) AS c) GROUP BY s)
+@query(f"""WITH o AS (SELECT s, list(c ORDER BY md5(concat('7:', s, ':', c)))[1:4] AS everyone FROM (SELECT p_partkey AS s FROM part), (SELECT unnest({POOL}) AS c) GROUP BY s)
 SELECT s AS scene_id, unnest(everyone) AS target, unnest(['top_left', 'top_right', 'bottom_left', 'bottom_right']) AS position, everyone FROM o""")
 def scene_draw(spark, sf_dir):
-    return sample.scenes(spark, 200, POOL, ["top_left", "top_right", "bottom_left", "bottom_right"], 7)
+    return sample.scenes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id")), POOL, ["top_left", "top_right", "bottom_left", "bottom_right"], 7)
 
 
 @query(f"SELECT idx AS index, value FROM ({E}) ORDER BY value DESC, idx LIMIT 20")

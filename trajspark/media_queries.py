@@ -5,8 +5,6 @@ Images are made of the test tables: four by two pixels from the 24 bytes of a di
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from .functions.text import ANSWERS
 from .operators.stats import QUANTILES
 from .plans import report
 from .queries import query, r6, table
-from .sources import weights
+from .sources import sink, weights
 from .storage import Scratch
 
 #: The digest as hexadecimal text, and its bytes by place.
@@ -91,27 +89,24 @@ def colour_changes(spark, sf_dir):
     return r6(rows.select("event_id", V.chroma_distance(F.col("x"), F.col("y")).alias("chroma"), change["covered"].alias("covered"), change["shade"].alias("shade")), "chroma", "shade")
 
 
-@query("SELECT * FROM (VALUES ('model.safetensors', 2000012, '2.00M'), ('more/part.safetensors', 1, '1')) t(file, n, text)")
+@query("""WITH p AS (SELECT printf('layers/part-%05d.safetensors', p_partkey // 50) AS file, sum(CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE p_size * (p_partkey % 100 + 1) END)::BIGINT AS n FROM part WHERE p_partkey // 50 % 4 <> 3 GROUP BY 1)
+SELECT file, n, CASE WHEN n >= 1000000 THEN printf('%.2fM', n / 1e6) WHEN n >= 1000 THEN printf('%.2fK', n / 1e3) ELSE n::VARCHAR END AS text FROM p""")
 def weight_parameters(spark, sf_dir):
-    root = f"{Scratch(spark).at}/weights"
-    shapes = {"model.safetensors": {"a": [1000, 2000], "b": [3, 4]}, "more/part.safetensors": {"c": []}, "optimizer.safetensors": {"d": [9]}}
-    rows = []
-    for name, own in shapes.items():
-        head = json.dumps({"__metadata__": {"format": "pt"}, **{k: {"dtype": "F32", "shape": s, "data_offsets": [0, 0]} for k, s in own.items()}}).encode()
-        rows.append((name, bytearray(len(head).to_bytes(8, "little") + head + b"\0" * 64)))
-    for name, data in rows:
-        _write_bytes(spark, f"{root}/{name}", data)
+    """Files of fifty tensors each, one a part, and files of other state between them."""
+    root, k = f"{Scratch(spark).at}/weights", F.col("p_partkey")
+    shape = F.when(k % 7 == 0, F.array().cast("array<long>")).otherwise(F.array(F.col("p_size").cast("long"), k % 100 + 1))
+    tensor = F.struct(F.concat(F.lit("t"), k.cast("string")).alias("key"), F.struct(F.lit("F32").alias("dtype"), shape.alias("shape"), F.lit([0, 0]).alias("data_offsets")).alias("value"))
+    number = F.floor(k / 50)
+    name = F.format_string("layers/%s-%05d.safetensors", F.when(number % 4 == 3, "optimizer").otherwise("part"), number)
+    own = table(spark, sf_dir, "part").groupBy(name.alias("_path")).agg(F.to_json(F.map_from_entries(F.collect_list(tensor))).alias("head"))
+    size = F.lpad(F.hex(F.octet_length("head")), 16, "0")
+    first = F.unhex(F.concat(*[F.substring(size, 15 - 2 * i, 2) for i in range(8)]))
+    rows = own.select(F.concat(first, F.encode("head", "UTF-8"), F.unhex(F.lit("00" * 64))).alias("data"), "_path")
+    sink.write_files(rows, root, "_path", [], kind="bytes")
     out = weights.parameters(weights.read_weights(spark, root))
     return out.select(F.substring_index("path", "/weights/", -1).alias("file"), "n", "text")
 
 
-def _write_bytes(spark, path: str, data: bytearray) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    out.write(data)
-    out.close()
-
-
 def answers(paths: pd.Series, prompts: pd.Series) -> pd.Series:
     """A stand-in for a model: it answers by the number in the scene's name, in several spellings, or not at all."""
     number = paths.str.extract(r"(\d+)")[0].astype(int).to_numpy()

@@ -113,11 +113,11 @@ def replacements(rows: DataFrame, names: str, target: str, new: str, pool: list[
     return rows.withColumn("replacement", F.aggregate(names, first, step, lambda state: state["out"]))
 
 
-def scenes(spark, n: int, names: list[str], places: list[str], seed: int) -> DataFrame:
-    """n scenes of distinct names in seeded places: scene_id, target, position, everyone (in the order of places)."""
+def scenes(ids: DataFrame, names: list[str], places: list[str], seed: int) -> DataFrame:
+    """For each scene_id, distinct names in seeded places: scene_id, target, position, everyone (in the order of places)."""
     keyed = lambda c: F.struct(seeded_key(F.concat(F.col("scene_id").cast("string"), F.lit(":"), c), seed).alias("k"), c.alias("c"))
     order = F.transform(F.slice(F.array_sort(F.transform(F.array(*map(F.lit, names)), keyed)), 1, len(places)), lambda s: s["c"])
-    rows = spark.range(n).select(F.col("id").alias("scene_id")).withColumn("everyone", order)
+    rows = ids.select("scene_id").withColumn("everyone", order)
     rows = rows.select("scene_id", "everyone", F.posexplode("everyone").alias("at", "target"))
     return rows.select("scene_id", "target", F.get(F.array(*map(F.lit, places)), F.col("at")).alias("position"), "everyone")
 

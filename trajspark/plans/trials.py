@@ -44,9 +44,12 @@ SCORING = [
 ]
 
 
-def targets(spark: SparkSession) -> DataFrame:
-    """Every target of every layout, with the colours beside it (null at the ends)."""
-    configs = spark.createDataFrame([(i, *c) for i, c in enumerate(CONFIGS)], "config int, config_name string, left_bowl string, center_bowl string, right_bowl string")
+def targets(spark: SparkSession, objects: DataFrame | None = None) -> DataFrame:
+    """Every target of every layout, with the colours beside it (null at the ends); with `objects`, for each object."""
+    names = ("config_name", "left_bowl", "center_bowl", "right_bowl")
+    layouts = [F.struct(F.lit(i).alias("config"), *[F.lit(x).alias(n) for n, x in zip(names, own, strict=True)]) for i, own in enumerate(CONFIGS)]
+    each = spark.range(1) if objects is None else objects
+    configs = each.select(*([] if objects is None else ["object"]), F.inline(F.array(*layouts)))
     order = F.array("left_bowl", "center_bowl", "right_bowl")
     rows = configs.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("target"))
     return rows.withColumns(
@@ -99,10 +102,15 @@ def _row(family: str, variant, prompt: Column, when: Column | None = None) -> Co
 def _exploded(rows: DataFrame, options: list[Column]) -> DataFrame:
     """A row for each option that applies; `slot` keeps their order."""
     spread = rows.select("*", F.posexplode(F.array(*options)).alias("slot", "o")).where(F.col("o").isNotNull())
-    return spread.select("*", "o.*").drop("o")
+    return _about(spread.select("*", "o.*").drop("o"))
 
 
-def full(spark: SparkSession) -> DataFrame:
+def _about(rows: DataFrame) -> DataFrame:
+    """Wordings speak of a banana; rows of another object speak of that."""
+    return rows.withColumn("prompt", F.replace("prompt", F.lit("banana"), "object")) if "object" in rows.columns else rows
+
+
+def full(spark: SparkSession, objects: DataFrame | None = None) -> DataFrame:
     """Every wording of every target: 174 rows."""
     middle = F.col("target") == 1
     options = [_row("color", f"color_template_{i + 1}", _colored(F.lit(i))) for i in range(4)]
@@ -110,10 +118,10 @@ def full(spark: SparkSession) -> DataFrame:
     options += [_row("ordinal", f"ordinal_template_{i + 1}", _ordinal(F.lit(i))) for i in range(3)]
     options += [_row("relative", *_side("right"), F.col("target") > 0), _row("relative", *_side("left"), F.col("target") < 2)]
     options += [_row("between", "between_edge_bowls", _between(), middle)]
-    return _exploded(targets(spark), options)
+    return _exploded(targets(spark, objects), options)
 
 
-def balanced(spark: SparkSession) -> DataFrame:
+def balanced(spark: SparkSession, objects: DataFrame | None = None) -> DataFrame:
     """Five wordings of every target, chosen by layout and target in turn: 90 rows."""
     turn = (F.col("config") + F.col("target")) % 3
     middle, of = F.col("target") == 1, F.col("config") % 3
@@ -129,13 +137,13 @@ def balanced(spark: SparkSession) -> DataFrame:
         _row("ordinal", "position_paraphrase", _ordinal(turn)),
         relation,
     ]
-    return _exploded(targets(spark), options)
+    return _exploded(targets(spark, objects), options)
 
 
-def compact(spark: SparkSession) -> DataFrame:
+def compact(spark: SparkSession, objects: DataFrame | None = None) -> DataFrame:
     """One target for each of five slots of every layout: 30 rows, ten of each colour."""
     chosen = [(c, t, s) for c, own in enumerate(COMPACT_TARGETS) for s, t in enumerate(own)]
-    rows = targets(spark).join(F.broadcast(spark.createDataFrame(chosen, "config int, target int, slot int")), ["config", "target"])
+    rows = targets(spark, objects).join(F.broadcast(spark.createDataFrame(chosen, "config int, target int, slot int")), ["config", "target"])
     turn = F.col("config") % 3
     relation = (
         F.when(F.col("target") == 1, _row("between", "between_edge_bowls", _between()))
@@ -149,24 +157,26 @@ def compact(spark: SparkSession) -> DataFrame:
         _row("ordinal", "position_paraphrase", _ordinal(turn)),
         relation,
     )
-    return rows.withColumn("o", F.get(options, F.col("slot"))).select("*", "o.*").drop("o")
+    return _about(rows.withColumn("o", F.get(options, F.col("slot"))).select("*", "o.*").drop("o"))
 
 
 PROFILES = {"full": (full, 3), "balanced": (balanced, 3), "compact30": (compact, 1)}
 
 
-def plan(spark: SparkSession, profile: str = "balanced", repeats: int | None = None, seed: int | None = 42, policy: str = "", checkpoint: str = "") -> DataFrame:
-    """The trial sheet: rows repeated, numbered in plan order, then in a seeded order unless seed is None."""
+def plan(spark: SparkSession, profile: str = "balanced", repeats: int | None = None, seed: int | None = 42, policy: str = "", checkpoint: str = "", objects: DataFrame | None = None) -> DataFrame:
+    """The trial sheet: rows repeated, numbered in plan order, then in a seeded order unless seed is None. With `objects` (a
+    table with a column `object`, each once), a sheet for each of them."""
     rows, usual = PROFILES[profile]
     repeats = usual if repeats is None else repeats
     if repeats < 1:
         raise ValueError("repeats must be 1 or more")
-    out = rows(spark).withColumn("repeat_id", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    place = F.row_number().over(Window.orderBy("config", *(["slot"] if profile == "compact30" else ["target", "slot"]), "repeat_id"))
+    of = [] if objects is None else ["object"]
+    out = rows(spark, objects).withColumn("repeat_id", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    place = F.row_number().over(Window.partitionBy(*of).orderBy("config", *(["slot"] if profile == "compact30" else ["target", "slot"]), "repeat_id"))
     out = out.withColumn("trial_id", place)
     if seed is not None:
-        out = out.withColumn("trial_id", F.row_number().over(Window.orderBy(seeded_key(F.col("trial_id"), seed), "trial_id")))
-    base = ["trial_id", "repeat_id", "config_name", "left_bowl", "center_bowl", "right_bowl", "target_color", "target_position", "prompt_family", "prompt_variant", "prompt"]
+        out = out.withColumn("trial_id", F.row_number().over(Window.partitionBy(*of).orderBy(seeded_key(F.col("trial_id"), seed), "trial_id")))
+    base = [*of, "trial_id", "repeat_id", "config_name", "left_bowl", "center_bowl", "right_bowl", "target_color", "target_position", "prompt_family", "prompt_variant", "prompt"]
     given = {"policy_repo_id": policy, "checkpoint": checkpoint}
     return out.select(*[F.col(c).cast("string").alias(c) for c in base], *[F.lit(given.get(c, "")).alias(c) for c in SCORING])
 

@@ -333,13 +333,13 @@ def full_outer_prompt_check(spark, sf_dir):
     return joins.presence(own, "task", "top")
 
 
-@query("""WITH f AS (SELECT 'supplier' AS dataset, 's' || i AS field, v AS value FROM (SELECT unnest([1, 2, 3]) AS i, unnest(['key', 'name', 'nation']) AS v)
-UNION ALL SELECT 'customer', 's' || i, v FROM (SELECT unnest([1, 2, 4]) AS i, unnest(['key', 'title', 'nation']) AS v))
-SELECT field, count(DISTINCT dataset) AS n_datasets, count(DISTINCT value) AS n_values, count(DISTINCT dataset) = 2 AND count(DISTINCT value) = 1 AS uniform FROM f GROUP BY field""")
+@query(f"""WITH f AS (SELECT ep % 4 AS dataset, task || '.' || (props->>'$.k') AS field, (floor(max(value) / 100))::BIGINT AS value FROM ({E}) WHERE props->>'$.k' IS NOT NULL GROUP BY 1, 2)
+SELECT field, count(DISTINCT dataset) AS n_datasets, count(DISTINCT value) AS n_values, count(DISTINCT dataset) = 4 AND count(DISTINCT value) = 1 AS uniform FROM f GROUP BY field""")
 def field_uniformity(spark, sf_dir):
-    rows = [("supplier", f"s{i}", v) for i, v in ((1, "key"), (2, "name"), (3, "nation"))]
-    rows += [("customer", f"s{i}", v) for i, v in ((1, "key"), (2, "title"), (4, "nation"))]
-    return report.uniformity(spark.createDataFrame(rows, "dataset string, field string, value string"), 2)
+    """Fields named in the notes of events, over four datasets: their largest values by hundreds."""
+    rows = frames(spark, sf_dir).withColumn("field", F.concat("task", F.lit("."), F.get_json_object("props", "$.k"))).where("field IS NOT NULL")
+    fields = rows.groupBy((F.col("episode_index") % 4).alias("dataset"), "field").agg(F.floor(F.max("value") / 100).alias("value"))
+    return report.uniformity(fields, 4)
 
 
 COUNTS = f"SELECT ep, count(*) AS n, round(avg(value), 6) AS mean FROM ({E}) GROUP BY ep"
@@ -838,17 +838,39 @@ def greedy_box_dedup(spark, sf_dir):
 # Plans and validators
 
 
-@query("SELECT 174 AS n_full, 90 AS n_balanced, 30 AS n_compact")
+_LAYOUTS = ", ".join(f"({i}, '{name}', {list(own)})" for i, (name, *own) in enumerate(trials.CONFIGS))
+#: Targets of all layouts for all suppliers; k is the place from the left, from 1.
+_TARGETS = f"""SELECT s_name AS object, config, name, k, b[k] AS color, CASE WHEN k > 1 THEN b[k - 1] END AS l, CASE WHEN k < 3 THEN b[k + 1] END AS r
+  FROM (VALUES {_LAYOUTS}) c(config, name, b), (SELECT unnest([1, 2, 3]) AS k), supplier"""
+_NEGATION = " ".join(f"WHEN '{color}' THEN '{text}'" for color, text in trials.NEGATIONS.items())
+
+
+@query(f"""WITH t AS ({_TARGETS}), p AS (
+SELECT object, 'color' AS family, replace(unnest({trials.COLOR_WORDINGS}), '{{color}}', color) AS prompt FROM t
+UNION ALL SELECT object, 'negation', CASE color {_NEGATION} END FROM t
+UNION ALL SELECT object, 'ordinal', 'Put the banana into the ' || unnest(({trials.ORDINAL_WORDINGS})[k]) || ' from the robot perspective.' FROM t
+UNION ALL SELECT object, 'relative', 'Put the banana into the bowl on the right of the ' || l || ' bowl from the robot perspective.' FROM t WHERE k > 1
+UNION ALL SELECT object, 'relative', 'Put the banana into the bowl on the left of the ' || r || ' bowl from the robot perspective.' FROM t WHERE k < 3
+UNION ALL SELECT object, 'between', 'Put the banana into the bowl between the ' || CASE WHEN 'blue' IN (l, r) THEN 'blue' ELSE 'red' END || ' bowl and the ' ||
+  CASE WHEN 'green' IN (l, r) THEN 'green' ELSE 'red' END || ' bowl.' FROM t WHERE k = 2)
+SELECT object, family, count(*) AS n, md5(string_agg(replace(prompt, 'banana', object), '|' ORDER BY prompt)) AS prompts FROM p GROUP BY 1, 2""")
 def plan_sizes(spark, sf_dir):
-    sizes = [f(spark).agg(F.count("*").cast("int").alias(n)) for f, n in ((trials.full, "n_full"), (trials.balanced, "n_balanced"), (trials.compact, "n_compact"))]
-    return sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2])
+    """The full plan for each supplier's name as the object; a family's prompts, of which there are 72 at most, as a digest."""
+    rows = trials.full(spark, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("object")))
+    prompts = F.md5(F.array_join(F.array_sort(F.collect_list("prompt")), "|"))
+    return rows.groupBy("object", F.col("prompt_family").alias("family")).agg(F.count("*").alias("n"), prompts.alias("prompts"))
+
+
+_CHOSEN = ", ".join(f"({c}, {s}, {t + 1})" for c, own in enumerate(trials.COMPACT_TARGETS) for s, t in enumerate(own))
 
 
-@query("""SELECT * FROM (VALUES ('config_name', 'config1-green-red-blue', 5), ('config_name', 'config2-red-green-blue', 5), ('config_name', 'config3-red-blue-green', 5), ('config_name', 'config4-blue-red-green', 5),
-('config_name', 'config5-green-blue-red', 5), ('config_name', 'config6-blue-green-red', 5), ('prompt_family', 'color', 12), ('prompt_family', 'negation', 6), ('prompt_family', 'ordinal', 6),
-('prompt_family', 'between', 1), ('prompt_family', 'relative', 5), ('target_color', 'red', 10), ('target_color', 'green', 10), ('target_color', 'blue', 10)) t(dimension, value, n)""")
+@query(f"""WITH t AS ({_TARGETS}), p AS (SELECT t.*, CASE slot WHEN 0 THEN 'color' WHEN 1 THEN 'color' WHEN 2 THEN 'negation' WHEN 3 THEN 'ordinal' ELSE CASE WHEN k = 2 THEN 'between' ELSE 'relative' END END AS family
+  FROM t JOIN (VALUES {_CHOSEN}) c(config, slot, k) USING (config, k))
+SELECT 'config_name' AS dimension, name AS value, count(*) AS n FROM p GROUP BY 2 UNION ALL SELECT 'prompt_family', family, count(*) FROM p GROUP BY 2 UNION ALL SELECT 'target_color', color, count(*) FROM p GROUP BY 2""")
 def cross_plan(spark, sf_dir):
-    return trials.summary(trials.plan(spark, "compact30", seed=None)).withColumn("n", F.col("n").cast("int"))
+    """The compact plan for each supplier's name, counted."""
+    objects = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("object"))
+    return trials.summary(trials.plan(spark, "compact30", seed=None, objects=objects))
 
 
 CONVERSATIONS = """WITH e AS (SELECT conv_id, count(*) AS n, min(turn) AS f0, max(turn) AS f1, count(DISTINCT turn) AS fn FROM conversations GROUP BY 1)"""

@@ -53,6 +53,9 @@ class _File:
     def add(self, rows: pa.RecordBatch) -> None:
         if self.kind == "parquet":
             self.writer.write_batch(rows)
+        elif self.kind == "bytes":
+            for x in rows.column(0).to_pylist():
+                self.out.write(x)
         else:
             self.out.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows.to_pylist()).encode())
 
@@ -142,7 +145,8 @@ def staging_of(folder: str) -> str:
 def write_files(rows: DataFrame, folder: str, column: str, order: list[str], kind: str = "parquet", staging: str | None = None) -> None:
     """Write rows to the files that `column`, which isn't written, names below `folder`, which they then are all of.
 
-    Rows of a file are in `order`. With `staging`, files go there and nothing is published. Names must not be null.
+    Rows of a file are in `order`. A file is Parquet, JSON lines (`kind` "json") or, of kind "bytes", its rows' first column
+    one behind the other. With `staging`, files go there and nothing is published. Names must not be null.
     """
     rows.sparkSession.dataSource.register(PlacedFiles)
     spread = rows.repartition(column).sortWithinPartitions(column, *order)
