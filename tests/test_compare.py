@@ -58,3 +58,19 @@ def test_agreement_of_many(spark):
     a = spark.createDataFrame([(1, 1.0, "x", None), (2, 1.0, "x", None)], SCHEMA)
     out = {x.e: (x.n_datasets, x.n_states, x.agrees) for x in compare.agreement({"a": a, "b": a, "c": a.where("e = 1")}, "e", ["a", "b"]).collect()}
     assert out == {1: (3, 1, True), 2: (2, 1, False)}
+
+
+def test_headers_as_rows(spark):
+    from trajspark.plans import report
+
+    texts = [
+        ("a", '{"fps": 10, "robot_type": "arm", "features": {"v": {"dtype": "f", "shape": [1.0, 20]}, "w": {"video_info": {"video.codec": "av1", "video.fps": 30.0}}}}'),
+        ("b", '{"fps": 10.0, "codebase_version": "v2.0, 1.0", "chunks_size": 1000, "features": {"v": {"shape": [1,20]}}}'),
+        ("c", None), ("d", "{broken"),
+    ]
+    got = {(r.dataset, r.field): r.value for r in report.header_rows(spark.createDataFrame(texts, "dataset string, info string")).collect()}
+    assert got["a", "fps"] == got["b", "fps"] == "10" and got["a", "features.v.shape"] == got["b", "features.v.shape"] == "[1,20]"
+    assert got["b", "codebase_version"] == "v2.0, 1.0" and got["a", "codebase_version"] == "null" and got["b", "chunks_size"] == "1000"
+    assert got["a", "features.w.video.codec"] == "av1" and got["a", "features.w.video.fps"] == "30" and got["a", "features.w.dtype"] == "null"
+    assert {k[1]: v for k, v in got.items() if k[0] == "c"} == dict.fromkeys(report.HEADER, "null") == {k[1]: v for k, v in got.items() if k[0] == "d"}
+    assert len(got) == 4 * 4 + 5 * 3

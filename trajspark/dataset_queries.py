@@ -14,8 +14,8 @@ from .functions import text as X
 from .functions import values as V
 from .model import TrajectoryDataset, features_of, is_text, normalise_videos, video_keys, without_nulls
 from .operators import datasets, edit, greedy, joins, keys, sample, stats, trim
-from .plans import augment, checks, compare, report
-from .queries import BOUNDS, DOWN, E, N, SPANS, STATS, frames, numbered, query, r6, table
+from .plans import augment, checks, compare, report, trials
+from .queries import LAYOUTS, BOUNDS, DOWN, E, N, SPANS, STATS, frames, numbered, query, r6, table
 from .sources import layouts, sink
 from .storage import Scratch, write_text
 
@@ -726,15 +726,54 @@ def column_choice(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, what string")
 
 
-@query("SELECT * FROM (VALUES ('fps', true), ('features.value.dtype', true), ('features.top.video.codec', false)) t(field, uniform)")
+@query("""WITH h AS (SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1),
+f AS (SELECT user_id, unnest(['fps', 'robot_type', 'codebase_version', 'chunks_size', 'features.value.dtype', 'features.value.shape', 'features.value.video.codec', 'features.value.video.pix_fmt', 'features.value.video.fps',
+    'features.top.dtype', 'features.top.shape', 'features.top.video.codec', 'features.top.video.pix_fmt', 'features.top.video.fps']) AS field,
+  unnest(['10', 'arm-' || n % 3, 'null', '1000', 'float32', '[1]', 'null', 'null', 'null', 'video', '[4,2,3]', CASE WHEN top > 300 THEN 'h264' ELSE 'av1' END, 'yuv420p', (n % 2)::VARCHAR]) AS value FROM h)
+SELECT field, count(DISTINCT user_id) AS n_datasets, count(DISTINCT value) AS n_values, count(DISTINCT value) = 1 AS uniform FROM f GROUP BY field""")
 def header_fields(spark, sf_dir):
-    """Two headers flattened to fields; 10 and 10.0 are the same value."""
-    a, b = json.loads(json.dumps(INFO)), json.loads(json.dumps(INFO))
-    b["fps"] = 10.0
-    a["features"]["top"]["info"]["video.codec"], b["features"]["top"]["info"]["video.codec"] = "av1", "h264"
-    rows = spark.createDataFrame(report.header_fields({"a": a, "b": b}), "dataset string, field string, value string")
-    out = report.uniformity(rows, 2)
-    return out.where("field IN ('fps', 'features.value.dtype', 'features.top.video.codec')").select("field", "uniform")
+    """A header for each user's events, flattened to fields; 10 and 10.0 are the same value."""
+    own = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("dataset")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    odd, n = F.col("n") % 2, F.col("n").cast("string")
+    media = F.struct(F.when(F.col("top") > 300, "h264").otherwise("av1").alias("video.codec"), F.lit("yuv420p").alias("video.pix_fmt"), odd.alias("video.fps"))
+    info = F.to_json(F.struct(F.struct(F.lit("video").alias("dtype"), F.array(*map(F.lit, (4, 2, 3))).alias("shape"), media.alias("info")).alias("top")))
+    value = F.when(odd == 0, F.lit('"value":{"dtype":"float32","shape":[1]}')).otherwise(F.lit('"value":{"dtype":"float32","shape":[ 1.0 ]}'))
+    fps = F.when(odd == 0, "10").otherwise("10.0")
+    text = F.concat(F.lit('{"fps":'), fps, F.lit(',"robot_type":"arm-'), (F.col("n") % 3).cast("string"), F.lit('","chunks_size":1000,"features":{'), value, F.lit(","), F.substring(info, 2, 1 << 30), F.lit("}"))
+    rows = report.header_rows(own.select("dataset", text.alias("info")))
+    return report.uniformity(rows, own.count())
+
+
+def _turned(turns: dict, key: str, number: str) -> str:
+    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN ({v})[{number} % {len(v)} + 1]" for k, v in turns.items()) + " END"
+
+
+_SIDE = "'Put the banana into the bowl on the {} of the ' || {} || ' bowl from the robot perspective.'"
+_EXCLUDED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in augment.EXCLUDED.items())
+
+
+@query(f"""WITH {DS}, t AS (SELECT e.e AS ep, length, start, e.e // 18 AS number, k, b[k] AS color, CASE WHEN k > 1 THEN b[k - 1] END AS l, CASE WHEN k < 3 THEN b[k + 1] END AS r, (['left', 'middle', 'right'])[k] AS pos
+  FROM (SELECT *, (e % 3 + 1)::INT AS k FROM e) e JOIN (VALUES {LAYOUTS}) c(config, name, b) ON config = e.e // 3 % 6),
+p AS (SELECT ep, length, start, unnest([0, 1, 2, 3, 4]) AS copy, unnest([{_turned(augment.COLOR_TURNS, 'color', 'number')},
+  'Put the banana into the ' || {_turned(augment.POSITION_TURNS, 'pos', 'number')} || ' from the robot perspective.',
+  'Put the banana into the bowl that is ' || CASE color {_EXCLUDED} END || '.',
+  CASE k WHEN 1 THEN {_SIDE.format('left', 'r')} WHEN 3 THEN {_SIDE.format('right', 'l')} ELSE 'Put the banana into the bowl between the ' || CASE WHEN 'blue' IN (l, r) THEN 'blue' ELSE 'red' END || ' bowl and the ' ||
+    CASE WHEN 'green' IN (l, r) THEN 'green' ELSE 'red' END || ' bowl.' END,
+  CASE WHEN k <> 2 THEN {_turned(augment.COLOR_TURNS, 'color', '(number + 2)')} WHEN number % 2 = 0 THEN {_SIDE.format('right', 'l')} ELSE {_SIDE.format('left', 'r')} END]) AS task FROM t)
+SELECT ep * 5 + copy AS episode_index, task, length, (5 * start + copy * length)::BIGINT AS low, (5 * start + (copy + 1) * length - 1)::BIGINT AS high, sums.s AS source
+FROM p JOIN (SELECT e AS ep, sum(idx)::BIGINT AS s FROM f GROUP BY 1) sums USING (ep)""")
+def five_prompt_dataset(spark, sf_dir):
+    """Every episode five times, once for each of its prompts, with all its frames; episodes take layouts and places in turn."""
+    ds = stored(spark, dataset(spark, sf_dir))
+    e = F.col("episode_index")
+    layout = F.get(F.array(*[F.array(*map(F.lit, own[1:])) for own in trials.CONFIGS]), (F.floor(e / 3) % 6).cast("int"))
+    k = (e % 3).cast("int")
+    place = F.get(F.array(*map(F.lit, augment.POSITION_TURNS)), k)
+    beside = F.when(k > 0, F.get(layout, k - 1)), F.when(k < 2, F.get(layout, k + 1))
+    own = ds.episodes.withColumn("prompts", augment.five_prompts(place, F.get(layout, k), *beside, F.floor(e / 18).cast("int")))
+    rows, episodes, tasks = augment.expand_prompts(ds.frames, own, "prompts")
+    ends = rows.groupBy("episode_index", "task_index").agg(F.count("*").alias("length"), F.min("index").alias("low"), F.max("index").alias("high"), F.sum("source_index").alias("source"))
+    return ends.join(tasks, "task_index").select("episode_index", "task", "length", "low", "high", "source")
 
 
 # Comparison of datasets

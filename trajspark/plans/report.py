@@ -95,6 +95,32 @@ def header_fields(infos: dict[str, dict]) -> list[tuple[str, str, str]]:
     return out
 
 
+#: Fields of a header, and of a feature (a field, and where it lies in the feature).
+HEADER = ("fps", "robot_type", "codebase_version", "chunks_size")
+FEATURE = {"dtype": ["dtype"], "shape": ["shape"], **{f"video.{k}": [f"info['video.{k}']", f"video_info['video.{k}']"] for k in ("codec", "pix_fmt", "fps")}}
+
+
+def header_rows(headers: DataFrame) -> DataFrame:
+    """(dataset, field, value) of a table of headers (dataset, info: JSON text), a header at a time in its task.
+
+    Values are JSON text, texts among them without quotes; whole-number floats are integers, also in shapes. What isn't
+    there is `null`; a header that is null or broken has the four fields of a header, all `null`.
+    """
+    whole = lambda x: F.when(x.rlike(r"^[\[\]\s\d.,-]*$"), F.regexp_replace(F.regexp_replace(x, r"\.0+(?=[,\]\s]|$)", ""), r"\s", "")).otherwise(x)
+    shown = lambda found: F.coalesce(whole(found), F.lit("null"))
+    field = lambda name, value: F.struct(name.alias("field"), value.alias("value"))
+    own = F.array(*[field(F.lit(k), shown(F.get_json_object("info", f"$.{k}"))) for k in HEADER])
+
+    def of_feature(name, text):
+        at = lambda places: F.coalesce(*[F.get_json_object(text, f"$.{p}") for p in places])
+        return F.array(*[field(F.concat(F.lit("features."), name, F.lit(f".{k}")), shown(at(places))) for k, places in FEATURE.items()])
+
+    features = F.from_json(F.get_json_object("info", "$.features"), "map<string,string>")
+    each = F.flatten(F.transform(F.map_entries(features), lambda e: of_feature(e["key"], e["value"])))
+    rows = headers.select("dataset", F.explode(F.concat(own, F.coalesce(each, F.array().cast("array<struct<field:string,value:string>>")))).alias("f"))
+    return rows.select("dataset", "f.field", "f.value")
+
+
 def uniformity(fields: DataFrame, n_datasets: int) -> DataFrame:
     """(dataset, field, value) rows to one row a field: whether all datasets have it with one value."""
     out = fields.groupBy("field").agg(F.count_distinct("dataset").alias("n_datasets"), F.count_distinct("value").alias("n_values"))

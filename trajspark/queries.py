@@ -838,10 +838,10 @@ def greedy_box_dedup(spark, sf_dir):
 # Plans and validators
 
 
-_LAYOUTS = ", ".join(f"({i}, '{name}', {list(own)})" for i, (name, *own) in enumerate(trials.CONFIGS))
+LAYOUTS = ", ".join(f"({i}, '{name}', {list(own)})" for i, (name, *own) in enumerate(trials.CONFIGS))
 #: Targets of all layouts for all suppliers; k is the place from the left, from 1.
 _TARGETS = f"""SELECT s_name AS object, config, name, k, b[k] AS color, CASE WHEN k > 1 THEN b[k - 1] END AS l, CASE WHEN k < 3 THEN b[k + 1] END AS r
-  FROM (VALUES {_LAYOUTS}) c(config, name, b), (SELECT unnest([1, 2, 3]) AS k), supplier"""
+  FROM (VALUES {LAYOUTS}) c(config, name, b), (SELECT unnest([1, 2, 3]) AS k), supplier"""
 _NEGATION = " ".join(f"WHEN '{color}' THEN '{text}'" for color, text in trials.NEGATIONS.items())
 
 
