@@ -368,7 +368,7 @@ def steadiest_frame(spark, sf_dir):
 def episode_stats_map(spark, sf_dir):
     ds = datasets.with_episode_stats(stored(spark, dataset(spark, sf_dir)), ["value", "frame_index"])
     out = datasets.nested_stats(ds.episodes).select("episode_index", F.col("stats")["value"].alias("v"), F.col("stats")["frame_index"].alias("f"))
-    rounded = lambda name: F.transform(F.col("v")[name], lambda x: F.round(x, 4)).alias(name)
+    rounded = lambda name: F.transform(F.col("v")[name], lambda x: V.rounded(x, 4)).alias(name)
     return out.select("episode_index", *[rounded(x) for x in ("min", "max", "mean", "count", "q90")], F.col("f")["min"].alias("first_frame"))
 
 

@@ -71,6 +71,12 @@ def chunk_path(episode: Column, size: int) -> Column:
     return F.format_string("data/chunk-%03d/episode_%06d.parquet", F.floor(episode / size).cast("long"), episode.cast("long"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double to decimal places as loops and other engines round it: scaled, rounded half away from zero, scaled back.
+    F.round goes by the shortest decimal of the double, which differs next to ties."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def human(n: Column) -> Column:
     """A count with K, M or B."""
     return (

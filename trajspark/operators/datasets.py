@@ -86,12 +86,12 @@ def with_episode_stats(ds: TrajectoryDataset, features: list[str] | None = None)
     names = [c for c in (features or FEATURES) if c in ds.frames.columns]
     episodes = without_stats(ds.episodes)
     for name in names:
-        rows = ds.frames.select("episode_index", F.col(f"`{name}`").alias("v"))
+        rows = ds.frames.select("episode_index", F.col("frame_index").alias("_at"), F.col(f"`{name}`").alias("v"))
         if dict(rows.dtypes)["v"].startswith("array"):
-            dims = rows.select("episode_index", F.posexplode("v").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-            own = stats.as_arrays(stats.spread_quantiles(dims.groupBy("episode_index", "dim").agg(*stats.measures(F.col("x")))), ["episode_index"])
+            dims = rows.select("episode_index", "_at", F.posexplode("v").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+            own = stats.as_arrays(stats.scalar_stats(dims, "x", ["episode_index", "dim"], "_at"), ["episode_index"])
         else:
-            own = stats.scalar_stats(rows.select("episode_index", F.col("v").cast("double").alias("v")), "v", ["episode_index"])
+            own = stats.scalar_stats(rows.withColumn("v", F.col("v").cast("double")), "v", ["episode_index"], "_at")
             own = own.select("episode_index", *[F.array(c).alias(c) for c in own.columns if c != "episode_index"])
         # The count is one number, also of a vector.
         own = own.withColumn("count", F.slice("count", 1, 1))

@@ -20,12 +20,19 @@ def spread_quantiles(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.col("quantiles")[i].alias(k) for i, k in enumerate(QUANTILES)]).drop("quantiles")
 
 
-def scalar_stats(frames: DataFrame, value: str, by: list[str]) -> DataFrame:
+def scalar_stats(frames: DataFrame, value: str, by: list[str], order: str | None = None) -> DataFrame:
     """Statistics by group. With groups (episodes, say, which a recording bounds) one buffer holds the distinct values
-    of a group; over the whole table `ranked_stats` counts ranks instead."""
+    of a group; over the whole table `ranked_stats` counts ranks instead. With `order`, a group's values are added up in
+    it: a mean that is a tie to be rounded then falls the same way in every run, and as in a loop over the frames."""
     if not by:
         return ranked_stats(frames.select(F.col(value).cast("double").alias("x")), [])
-    return spread_quantiles(frames.groupBy(*by).agg(*measures(F.col(value))))
+    if order is None:
+        return spread_quantiles(frames.groupBy(*by).agg(*measures(F.col(value))))
+    whole = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = frames.select(*by, F.col(value).cast("double").alias("_x"), F.sum(F.col(value).cast("double")).over(whole).alias("_total"))
+    out = rows.groupBy(*by).agg(*measures(F.col("_x")), F.first("_total").alias("_total"))
+    out = out.withColumn("mean", F.when(F.col("count") > 0, F.col("_total") / F.col("count"))).drop("_total")
+    return spread_quantiles(out)
 
 
 def vector_stats(frames: DataFrame, vector: str, by: list[str]) -> DataFrame:

@@ -378,7 +378,7 @@ def anti_join_missing(spark, sf_dir):
 
 @query(f"SELECT ep AS episode_index, {STATS.format(x='value')} FROM ({E}) GROUP BY ep")
 def scalar_stats(spark, sf_dir):
-    return r6(stats.scalar_stats(frames(spark, sf_dir), "value", ["episode_index"]), *ROUNDED)
+    return r6(stats.scalar_stats(frames(spark, sf_dir), "value", ["episode_index"], "index"), *ROUNDED)
 
 
 @query(f"""SELECT label, dim - 1 AS dim, {STATS.format(x='x')} FROM (SELECT label, unnest(generate_series(1, 64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2""")
@@ -400,7 +400,7 @@ def moment_stats(spark, sf_dir):
 
 @query(f"SELECT ep AS episode_index, min(value) + 5 AS min, max(value) + 5 AS max, round(avg(value) + 5, 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS count FROM ({E}) GROUP BY ep")
 def shifted_stats(spark, sf_dir):
-    out = stats.shifted(stats.scalar_stats(frames(spark, sf_dir), "value", ["episode_index"]), F.lit(5.0))
+    out = stats.shifted(stats.scalar_stats(frames(spark, sf_dir), "value", ["episode_index"], "index"), F.lit(5.0))
     return r6(out.select("episode_index", "min", "max", "mean", "std", "count"), "mean", "std")
 
 
