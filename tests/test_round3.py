@@ -26,3 +26,10 @@ def test_means_add_up_in_frame_order(spark):
 def test_rounding_next_to_ties(spark):
     x = [56.208749999999995, 46.996249999999996, -0.00005, 2.0]
     assert [one(spark, V.rounded(F.lit(v), 4)) for v in x] == [56.2088, 46.9962, -0.0001, 2.0]
+
+
+def test_counts_for_people_round_as_printf_does(spark):
+    for n in (1000, 1005, 22465, 30845, 79125, 88475, 81425, 999995, 1234567, 1125000, 1375000, 10**9, 2345000000):
+        unit, by = next((u, b) for u, b in (("B", 1e9), ("M", 1e6), ("K", 1e3)) if n >= b)
+        assert one(spark, V.human(F.lit(n))) == f"{n / by:.2f}{unit}"
+    assert one(spark, V.human(F.lit(999))) == "999" and one(spark, V.human(F.lit(None).cast("long"))) is None

@@ -78,11 +78,13 @@ def rounded(x: Column, places: int) -> Column:
 
 
 def human(n: Column) -> Column:
-    """A count with K, M or B."""
+    """A count with K, M or B. Two places as C and Python print them: by the double's own value, an exact tie to the
+    even digit (79125: 79.12K); format_string would round the shortest decimal half up."""
+    places = lambda x, unit: F.concat(F.call_function("format_number", x, F.lit("0.00")), F.lit(unit))
     return (
-        F.when(n >= 10**9, F.format_string("%.2fB", n / 1e9))
-        .when(n >= 10**6, F.format_string("%.2fM", n / 1e6))
-        .when(n >= 10**3, F.format_string("%.2fK", n / 1e3))
+        F.when(n >= 10**9, places(n / 1e9, "B"))
+        .when(n >= 10**6, places(n / 1e6, "M"))
+        .when(n >= 10**3, places(n / 1e3, "K"))
         .otherwise(n.cast("string"))
     )
 
