@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from trajspark.functions import text as X
 from trajspark.functions import values as V
 from trajspark.model import TrajectoryDataset
 from trajspark.operators import datasets, stats
@@ -33,3 +34,13 @@ def test_counts_for_people_round_as_printf_does(spark):
         unit, by = next((u, b) for u, b in (("B", 1e9), ("M", 1e6), ("K", 1e3)) if n >= b)
         assert one(spark, V.human(F.lit(n))) == f"{n / by:.2f}{unit}"
     assert one(spark, V.human(F.lit(999))) == "999" and one(spark, V.human(F.lit(None).cast("long"))) is None
+
+
+def test_wordings_work_out_color_and_object_once(spark):
+    rows = spark.createDataFrame([("q", "der", "cup"), ("q", None, "cup"), ("q", "der", None)], "t string, c string, o string")
+    forms = ["a {obj} {color}", "A {OBJ} {color}", "A {obj} {color}", "b", "B", "{color}", "c {obj}"]
+    df = rows.select(X.variants(F.col("t"), F.reverse("c"), F.initcap("o"), forms).alias("v"))
+    assert [r["v"] for r in df.collect()] == [["a Cup red", "A {OBJ} red", "b", "red", "c Cup"], ["q"], ["q"]]
+    plan = spark.range(9).select(F.col("id").cast("string").alias("x")).select(X.variants(F.col("x"), F.reverse("x"), F.initcap("x")).alias("v"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("reverse(") == text.count("initcap(") == 1

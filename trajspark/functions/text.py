@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,13 +140,30 @@ def extract_object(text: Column, skip: list[str] | None = None) -> Column:
     return F.get(F.filter(found, lambda w: ~F.array_contains(stop, w)), F.lit(0))
 
 
+def _with(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def variants(text: Column, color: Column, obj: Column, templates: list[str] = TEMPLATES) -> Column:
     """The wordings of an instruction, distinct without regard to case, in the templates' order; the text alone
     if it has no colour or object."""
-    filled = [F.replace(F.replace(F.lit(t), F.lit("{obj}"), obj), F.lit("{color}"), color) for t in templates]
-    lowered = F.transform(F.array(*filled), F.lower)
-    first = F.filter(F.array(*filled), lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
-    return F.when(color.isNotNull() & obj.isNotNull(), first).otherwise(F.array(text))
+
+    def filled(own: Column) -> Column:
+        pieces = [re.split(r"(\{obj\}|\{color\})", t) for t in templates]
+        part = {"{obj}": own["obj"], "{color}": own["color"]}
+        return F.array(*[F.concat(*[part.get(p, F.lit(p)) for p in own_pieces if p]) for own_pieces in pieces])
+
+    def distinct(own: Column) -> Column:
+        lowered = own["lowered"]
+        first = F.filter(own["filled"], lambda t, i: F.array_position(lowered, F.get(lowered, i)) == i + 1)
+        return F.when(F.size(F.array_distinct(lowered)) == len(templates), own["filled"]).otherwise(first)
+
+    def worded(own: Column) -> Column:
+        every = _with(filled(own), lambda f: _with(F.struct(f.alias("filled"), F.transform(f, F.lower).alias("lowered")), distinct))
+        return F.when(own["color"].isNotNull() & own["obj"].isNotNull(), every).otherwise(F.array(own["text"]))
+
+    return _with(F.struct(text.alias("text"), color.alias("color"), obj.alias("obj")), worded)
 
 
 def normalise_answer(text: Column) -> Column:
