@@ -1,11 +1,15 @@
 """Steps that differed from their SQL or grew too fast on larger tables."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from trajspark.functions import text as X
 from trajspark.functions import values as V
 from trajspark.model import TrajectoryDataset
 from trajspark.operators import datasets, stats
+from trajspark.sources import layouts
+from trajspark.storage import Scratch
 
 
 def one(spark, column):
@@ -44,3 +48,39 @@ def test_wordings_work_out_color_and_object_once(spark):
     plan = spark.range(9).select(F.col("id").cast("string").alias("x")).select(X.variants(F.col("x"), F.reverse("x"), F.initcap("x")).alias("v"))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("reverse(") == text.count("initcap(") == 1
+
+
+def test_siblings_are_copied_without_listing_data(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    for name in ("README.md", ".gitattributes", "meta/notes.txt", "meta/info.json", "meta/episodes/chunk-000/file-000.parquet", "videos/top/chunk-000/file-000.mp4"):
+        (a / name).parent.mkdir(parents=True, exist_ok=True)
+        (a / name).write_text(name)
+    (a / "meta/.notes.txt.crc").write_text("Hadoop's")
+    (a / "data/chunk-000").mkdir(parents=True)
+    for i in range(4000):
+        (a / f"data/chunk-000/file-{i:03d}.parquet").touch()
+    spark.range(1).count()
+    began = time.perf_counter()
+    done = layouts.copy_siblings(spark, f"file://{a}", f"file://{b}")
+    took = time.perf_counter() - began
+    assert done == [".gitattributes", "README.md", "meta/notes.txt", "videos/top/chunk-000/file-000.mp4"]
+    assert all((b / x).read_text() == x for x in done) and sorted(str(x.relative_to(b)) for x in b.rglob("*") if x.is_file()) == done
+    assert took < 12
+
+
+def test_writers_work_out_small_tables_once(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, own=Scratch.table: made.append(name) or own(self, df, name))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    episodes = spark.createDataFrame([(0, 2, ["p"], 0, 0), (1, 1, ["p"], 0, 1)], "episode_index long, length long, tasks array<string>, `data/chunk_index` long, `data/file_index` long")
+    frames = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 1, 0), (2, 1, 0, 0)], "index long, episode_index long, frame_index long, task_index long")
+    ds = TrajectoryDataset(frames, episodes.mapInArrow(counted, episodes.schema), spark.createDataFrame([(0, "p")], "task_index long, task string"), {"fps": 10})
+    layouts.write(ds, f"file://{tmp_path}/a", "3")
+    assert made == ["episodes", "tasks"] and seen.value == 2
+    assert layouts.read(spark, f"file://{tmp_path}/a").frames.count() == 3

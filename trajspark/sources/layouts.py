@@ -167,12 +167,21 @@ def write(
     spark = ds.frames.sparkSession
     if exists(spark, root) and not overwrite:
         raise FileExistsError(root)
+    scratch = Scratch(spark)
+    ds = _worked_out(ds, scratch)
     rows = placed(ds, layout, rows_per_file)
     if rows is None:
         ds.frames.repartitionByRange("episode_index").sortWithinPartitions(*_ORDER).write.mode("overwrite").parquet(f"{root}/data")
     else:
         sink.write_files(rows, f"{root}/data", "_path", _ORDER)
     write_meta(ds, root, layout, tasks_layout)
+    scratch.drop("episodes", "tasks")
+
+
+def _worked_out(ds: TrajectoryDataset, scratch: Scratch) -> TrajectoryDataset:
+    """The dataset with episodes and prompts as tables, as a writer uses each several times: making them may take a pass
+    over all frames."""
+    return TrajectoryDataset(ds.frames, scratch.table(ds.episodes, "episodes"), scratch.table(ds.tasks, "tasks"), ds.info)
 
 
 def write_meta(ds: TrajectoryDataset, root: str, layout: str = "3", tasks_layout: str = "A") -> None:
@@ -205,6 +214,7 @@ def rewrite(ds: TrajectoryDataset, source: str, target: str) -> DataFrame:
     spark, scratch = ds.frames.sparkSession, Scratch(ds.frames.sparkSession)
     if exists(spark, target):
         raise FileExistsError(target)
+    ds = _worked_out(ds, scratch)
     rows = placed(ds)
     if rows is None:
         raise ValueError("episodes don't name their data files")
@@ -221,22 +231,27 @@ def rewrite(ds: TrajectoryDataset, source: str, target: str) -> DataFrame:
     sink.published(staging, f"{target}/data")
     write_meta(ds, target)
     copy_siblings(spark, source, target)
+    scratch.drop("episodes", "tasks")
     return both
 
 
 def copy_siblings(spark: SparkSession, source: str, target: str, skip: tuple[str, ...] = ("data/", "meta/episodes", "meta/tasks", "meta/info.json")) -> list[str]:
-    """Copy the files of a dataset that an edit doesn't rewrite; the copied paths, relative to the dataset."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at, fs = _path(spark, source)
-    base, done = fs.makeQualified(at).toString().rstrip("/") + "/", []
-    for file in files(spark, source):
-        name = file.removeprefix(base)
-        if not name.startswith(skip):
-            to, other = _path(spark, f"{target}/{name}")
-            other.mkdirs(to.getParent())
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, _path(spark, file)[0], other, to, False, True, conf)
-            done.append(name)
-    return done
+    """Copy the files of a dataset that an edit doesn't rewrite, by tasks; the copied paths, relative to the dataset.
+    Folders that `skip` names are not listed: they hold most of a dataset's files."""
+    from pyarrow import fs
+
+    system, base = sink.opened(source)
+    done, folders = [], [base]
+    while folders:
+        for info in system.get_file_info(fs.FileSelector(folders.pop())):
+            name = info.path.removeprefix(base.rstrip("/") + "/")
+            if info.type == fs.FileType.Directory:
+                folders += [] if f"{name}/".startswith(skip) else [info.path]
+            elif not name.startswith(skip) and not (info.base_name.startswith(".") and info.base_name.endswith(".crc")):  # Hadoop's own
+                done.append(name)
+    if done:
+        sink.copy_files(spark.createDataFrame([(x,) for x in done], "path string"), source, target)
+    return sorted(done)
 
 
 def write_card(ds: TrajectoryDataset, root: str, title: str, sources: list[str] | None = None) -> None:
