@@ -8,7 +8,7 @@ from trajspark.functions import text as X
 from trajspark.functions import values as V
 from trajspark.model import TrajectoryDataset
 from trajspark.operators import datasets, stats
-from trajspark.sources import layouts
+from trajspark.sources import layouts, sink
 from trajspark.storage import Scratch
 
 
@@ -84,3 +84,41 @@ def test_writers_work_out_small_tables_once(spark, tmp_path, monkeypatch):
     layouts.write(ds, f"file://{tmp_path}/a", "3")
     assert made == ["episodes", "tasks"] and seen.value == 2
     assert layouts.read(spark, f"file://{tmp_path}/a").frames.count() == 3
+
+
+def test_card_takes_the_header_that_was_written(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    episodes = spark.createDataFrame([(0, 2, ["p"]), (1, 1, ["p"])], "episode_index long, length long, tasks array<string>")
+    frames = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 1, 0), (2, 1, 0, 0)], "index long, episode_index long, frame_index long, task_index long")
+    ds = TrajectoryDataset(frames, episodes.mapInArrow(counted, episodes.schema), spark.createDataFrame([(0, "p")], "task_index long, task string"), {"fps": 10})
+    a = f"file://{tmp_path}/a"
+    info = layouts.write(ds, a, "3")
+    assert info == layouts.read_info(spark, a) and (info["total_episodes"], info["total_frames"], info["total_tasks"]) == (2, 3, 1)
+    layouts.write_card(ds, a, "Own", ["one"], info)
+    assert made.value == 2  # as the write made them
+    own = (tmp_path / "a/README.md").read_text()
+    layouts.write_card(ds, a, "Own", ["one"])
+    assert own == (tmp_path / "a/README.md").read_text() and "| total_frames | 3 |" in own and made.value > 2
+
+
+def test_files_are_copied_by_several_tasks(spark, tmp_path):
+    (tmp_path / "a/x").mkdir(parents=True)
+    names = [f"x/{i}.bin" for i in range(40)]
+    for name in names:
+        (tmp_path / "a" / name).write_text(name)
+    spark.sparkContext.setJobGroup("copies", "")
+    sink.copy_files(spark.createDataFrame([(x,) for x in names], "path string"), f"file://{tmp_path}/a", f"file://{tmp_path}/b")
+    tracker = spark.sparkContext.statusTracker()
+    last = max(s for job in tracker.getJobIdsForGroup("copies") for s in tracker.getJobInfo(job).stageIds)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tracker.getStageInfo(last).numTasks == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert sorted(str(x.relative_to(tmp_path / "b")) for x in (tmp_path / "b").rglob("*.bin")) == sorted(names)
+    assert all((tmp_path / "b" / x).read_text() == x for x in names)
+    sink.copy_files(spark.createDataFrame([], "path string"), f"file://{tmp_path}/a", f"file://{tmp_path}/c")
+    assert not (tmp_path / "c").exists()

@@ -501,8 +501,8 @@ def copied_siblings(spark, sf_dir):
     scratch = Scratch(spark)
     a, b = f"{scratch.at}/a", f"{scratch.at}/b"
     ds = dataset(spark, sf_dir)
-    layouts.write(ds, a, "3")
-    layouts.write_card(ds, a, "Events", ["one", "two"])
+    info = layouts.write(ds, a, "3")
+    layouts.write_card(ds, a, "Events", ["one", "two"], info)
     write_text(spark, f"{a}/meta/notes.txt", "kept as it is")
     write_text(spark, f"{a}/videos/top/a.mp4", "frames")
     done = layouts.copy_siblings(spark, a, b)

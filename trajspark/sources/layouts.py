@@ -157,9 +157,9 @@ _ORDER = ["episode_index", "frame_index"]
 
 def write(
     ds: TrajectoryDataset, root: str, layout: str = "3", overwrite: bool = False, rows_per_file: int | None = None, tasks_layout: str = "A"
-) -> None:
+) -> dict:
     """Write a dataset. Layout 2 has a file for each episode; of layout 3, see `placed`. Data files appear together,
-    in the place of any old ones.
+    in the place of any old ones. The header as it was written, with totals.
 
     Episode rows go to the files that their meta/episodes columns name, to one if they name none. tasks_layout: "A" has
     columns task_index and task, "B" keeps prompts as the index column of a data frame.
@@ -174,8 +174,9 @@ def write(
         ds.frames.repartitionByRange("episode_index").sortWithinPartitions(*_ORDER).write.mode("overwrite").parquet(f"{root}/data")
     else:
         sink.write_files(rows, f"{root}/data", "_path", _ORDER)
-    write_meta(ds, root, layout, tasks_layout)
+    info = write_meta(ds, root, layout, tasks_layout)
     scratch.drop("episodes", "tasks")
+    return info
 
 
 def _worked_out(ds: TrajectoryDataset, scratch: Scratch) -> TrajectoryDataset:
@@ -184,8 +185,8 @@ def _worked_out(ds: TrajectoryDataset, scratch: Scratch) -> TrajectoryDataset:
     return TrajectoryDataset(ds.frames, scratch.table(ds.episodes, "episodes"), scratch.table(ds.tasks, "tasks"), ds.info)
 
 
-def write_meta(ds: TrajectoryDataset, root: str, layout: str = "3", tasks_layout: str = "A") -> None:
-    """Everything of a dataset but its frames."""
+def write_meta(ds: TrajectoryDataset, root: str, layout: str = "3", tasks_layout: str = "A") -> dict:
+    """Everything of a dataset but its frames. The header as it was written, with totals."""
     spark = ds.frames.sparkSession
     stale = ("meta/episodes", "meta/tasks.parquet") if layout == "2" else ("meta/episodes.jsonl", "meta/tasks.jsonl", "meta/tasks.parquet")
     for old in stale:
@@ -202,7 +203,9 @@ def write_meta(ds: TrajectoryDataset, root: str, layout: str = "3", tasks_layout
         number = [F.col(f"`{c}`").cast("long") if c in rows.columns else F.lit(0).cast("long") for c in place]
         rows = rows.withColumn("_path", F.format_string("chunk-%03d/file-%03d.parquet", *number))
         sink.write_files(rows, f"{root}/meta/episodes", "_path", ["episode_index"])
-    write_text(spark, f"{root}/meta/info.json", json.dumps(ds.totals(), indent=2, sort_keys=True))
+    info = ds.totals()
+    write_text(spark, f"{root}/meta/info.json", json.dumps(info, indent=2, sort_keys=True))
+    return info
 
 
 def rewrite(ds: TrajectoryDataset, source: str, target: str) -> DataFrame:
@@ -254,9 +257,10 @@ def copy_siblings(spark: SparkSession, source: str, target: str, skip: tuple[str
     return sorted(done)
 
 
-def write_card(ds: TrajectoryDataset, root: str, title: str, sources: list[str] | None = None) -> None:
-    """A dataset card: a head that tools read, the totals, and where the episodes come from."""
-    info = ds.totals()
+def write_card(ds: TrajectoryDataset, root: str, title: str, sources: list[str] | None = None, info: dict | None = None) -> None:
+    """A dataset card: a head that tools read, the totals, and where the episodes come from. `info` is the header that
+    `write` gave; without it, totals are counted again, which may take a pass over all frames."""
+    info = ds.totals() if info is None else info
     head = ["---", "task_categories:", "- robotics", "configs:", "- config_name: default", "  data_files: data/*/*.parquet", "---", "", f"# {title}", ""]
     names = ["total_episodes", "total_frames", "total_tasks", "fps", "robot_type"]
     facts = [f"| {k} | {info[k]} |" for k in names if k in info]

@@ -155,7 +155,8 @@ def write_files(rows: DataFrame, folder: str, column: str, order: list[str], kin
 
 
 def copy_files(names: DataFrame, source: str, target: str) -> None:
-    """Copy the files that column `path` names from a folder to another, by tasks."""
+    """Copy the files that column `path` names from a folder to another, by tasks: as many as there are files, up to
+    spark.sql.shuffle.partitions. Names are few bytes, so Spark's own sizing would give all files to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -169,7 +170,8 @@ def copy_files(names: DataFrame, source: str, target: str) -> None:
                 b.move(own, final)
             yield batch
 
-    names.select("path").repartition("path").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    tasks = min(names.count(), int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names.select("path").repartition(max(1, tasks), "path").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 def digests(rows: DataFrame, column: str) -> DataFrame:
